@@ -23,8 +23,42 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_prediction_by_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.ppm import score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.text import public_vocabulary
+    from fixlattice.llm.token_files import read_token_files, token_folder, write_token_files
+
+    folder = token_folder(spark)
+    parts = write_token_files(_table(spark, sf_dir, "documents"), folder, public_vocabulary("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(parts, folder, ids=False)
+
+
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.text import public_vocabulary
+    from fixlattice.llm.token_counts import section_tokens
+
+    return section_tokens(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
+
+
+def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.packing import pack_documents
+    from fixlattice.llm.text import public_vocabulary
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES = {
     "op1_weighted_sampling": op1_weighted_sampling,
+    "op3_prediction_by_partial_matching": op3_prediction_by_partial_matching,
+    "op4_token_files": op4_token_files,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op8_section_tokens": op8_section_tokens,
+    "op9_residual_packing": op9_residual_packing,
 }
 ORACLES: dict[str, str] = {}

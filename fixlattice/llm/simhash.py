@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlattice.llm.components import components
-from fixlattice.llm.store import written
+from fixlattice.llm.store import with_fields, written
 from fixlattice.llm.text import slices, words_of
 
 SHINGLE_WORDS = 4
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, text: str
     """docs without its text, with the LONG whose bits are the fingerprint of the whole text (null: no words). No shuffle."""
     kept = docs.drop(name)
     names = [c for c in kept.columns if c != text]
-    schema = kept.select(*names).schema.add(name, "long")
+    schema = with_fields(kept.select(*names).schema, f"`{name}` long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

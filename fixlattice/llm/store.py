@@ -6,10 +6,13 @@ costs the tasks of one later stage, never the passes before the table.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -44,3 +47,35 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def _target(path: str):
+    """(pyarrow file system, path in it); shared folders are reached by the scheme of their URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
+
+
+def write_file(path: str, *chunks: bytes) -> None:
+    """Writes under another name and renames: a task that is run again, or twice at once, leaves the same whole file."""
+    system, at = _target(path)
+    system.create_dir(os.path.dirname(at), recursive=True)
+    temporary = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(temporary) as out:
+        for chunk in chunks:
+            out.write(chunk)
+    system.move(temporary, at)
+
+
+def mapped_file(path: str) -> np.ndarray:
+    """The bytes of a file: memory-mapped where it is in a mounted folder, else read."""
+    system, at = _target(path)
+    if system.type_name == "local":
+        return np.memmap(at, np.uint8, "r") if os.path.getsize(at) else np.empty(0, np.uint8)
+    with system.open_input_file(at) as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields; the given one stays as it is."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlattice.llm import ranges
-from fixlattice.llm.store import written
+from fixlattice.llm.store import with_fields, written
 from fixlattice.llm.text import Memo, slices, words_of
 
 SAMPLES = 64
@@ -190,7 +190,7 @@ def fingerprints(docs: DataFrame, text: str = "text", samples: int = SAMPLES, sh
     Null text counts as empty. Every column of docs stays; one called fingerprint is replaced.
     """
     kept = docs.drop("fingerprint")
-    schema = kept.schema.add("fingerprint", "string")
+    schema = with_fields(kept.schema, "fingerprint string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
