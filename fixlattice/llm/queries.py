@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixlattice.llm import quality
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,19 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(parts, folder, ids=False)
 
 
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.sharding import place
+
+    placed = place(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fixlattice.llm.text import public_vocabulary
     from fixlattice.llm.token_counts import section_tokens
@@ -58,7 +73,9 @@ QUERIES = {
     "op3_prediction_by_partial_matching": op3_prediction_by_partial_matching,
     "op4_token_files": op4_token_files,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op6_sampled_splitters": op6_sampled_splitters,
+    "op7_line_frequency": op7_line_frequency,
     "op8_section_tokens": op8_section_tokens,
     "op9_residual_packing": op9_residual_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_frequency": quality.ORACLE}
