@@ -68,6 +68,12 @@ def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op10_information_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.disclosure import digest, find
+
+    return digest(find(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_weighted_sampling": op1_weighted_sampling,
     "op3_prediction_by_partial_matching": op3_prediction_by_partial_matching,
@@ -77,5 +83,6 @@ QUERIES = {
     "op7_line_frequency": op7_line_frequency,
     "op8_section_tokens": op8_section_tokens,
     "op9_residual_packing": op9_residual_packing,
+    "op10_information_disclosure": op10_information_disclosure,
 }
 ORACLES: dict[str, str] = {"op7_line_frequency": quality.ORACLE}
