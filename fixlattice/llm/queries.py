@@ -25,6 +25,15 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm import mixing
+
+    table, names, _, _ = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mixing.label_domain(), mixing.TARGETS)
+    likely = F.get(F.array(*[F.lit(x) for x in names]), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
+    toxic = sum((F.get("posterior", F.lit(k)) for k, x in enumerate(names) if x in mixing.TOXIC), F.lit(0.0))
+    return table.select("doc_id", "n_tokens", likely.alias("domain"), F.array_max("posterior").alias("probability"), toxic.alias("toxic_probability"), "rate")
+
+
 def op3_prediction_by_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fixlattice.llm.ppm import score_documents
 
@@ -76,6 +85,7 @@ def op10_information_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_weighted_sampling": op1_weighted_sampling,
+    "op2_soft_membership": op2_soft_membership,
     "op3_prediction_by_partial_matching": op3_prediction_by_partial_matching,
     "op4_token_files": op4_token_files,
     "op5_simhash_pivots": op5_simhash_pivots,
