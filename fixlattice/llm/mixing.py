@@ -198,17 +198,18 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
     """(table, domains, targets, reached): table has columns, n_tokens, posterior and rate of every row of docs.
 
     targets: weights of domains in the mixture, brought to ``budget`` times all tokens; a domain that isn't named gets none.
-    None: every domain keeps its expected tokens, those of ``without`` get none.
+    None: every domain keeps the tokens expected in rows that are more likely outside the domains of ``without`` than in them.
     """
     names, weights, bias = fit_domains(docs, labels, domain)
     table = written(posteriors(docs, weights, bias, *columns), "posteriors")
-    first = table.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))) for k in range(len(names))]).first()
+    shares = [F.get("posterior", F.lit(k)) for k in range(len(names))]
+    left_out = sum((s for s, d in zip(shares, names) if d in without), F.lit(0.0)) >= 0.5
+    first = table.agg(F.sum("n_tokens"), *[F.sum(F.when(left_out, 0.0).otherwise(F.col("n_tokens") * s)) for s in shares]).first()
     total = float(first[0] or 0)
     if not total:
         return table.withColumn("rate", F.lit(1.0)), names, np.zeros(len(names)), np.zeros(len(names))
-    natural = np.array([x or 0.0 for x in first[1:]]) / total
     if targets is None:
-        wanted = np.array([0.0 if d in without else s for d, s in zip(names, natural)])
+        wanted = np.array([x or 0.0 for x in first[1:]]) / total
     else:
         wanted = np.array([targets.get(d, 0.0) for d in names])
         wanted = wanted / max(1e-12, wanted.sum()) * budget
@@ -234,7 +235,7 @@ TOXIC = ("good-toxic", "poor-toxic")
 
 
 def take_nearest(docs: DataFrame, labels: DataFrame, domain: Column, without: tuple[str, ...] = TOXIC) -> DataFrame:
-    """docs, each row as many times as its rate's nearest whole number, at targets that take the domains of ``without`` out."""
+    """docs, each row as many times as its rate's nearest whole number, at the tokens of what isn't likely in the domains of ``without``."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     rates = mix(keyed, labels, domain, None, without, columns=("_key",))[0]
     # rows of one key are alike and have one rate
