@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from fixlattice.plans import rates
+
+_MODULES = (rates,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
