@@ -60,7 +60,8 @@ def chain(states: DataFrame) -> DataFrame:
     at_w = _filled(F.col("w"), F.least(F.col("step"), cool), 7)
     at_r = _filled(F.col("r"), F.least(F.greatest(F.col("step") - cool, F.lit(0)), rite), 6)
     at_level = (F.col("level") + F.greatest(F.col("step") - cool - rite, F.lit(0))).cast("int")
-    return out.withColumns({"level": at_level, "w": at_w.cast("bigint"), "r": at_r.cast("bigint")})
+    made = out.select(*[c for c in out.columns if c not in ("level", "w", "r")], at_level.alias("_level"), at_w.cast("bigint").alias("_w"), at_r.cast("bigint").alias("_r"))
+    return made.withColumnsRenamed({"_level": "level", "_w": "w", "_r": "r"})
 
 
 def next_closure(level: Column, w: Column, r: Column) -> tuple[Column, Column]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fixlattice.plans import rates
+from fixlattice.plans import changes, logs, rates
 
-_MODULES = (rates,)
+_MODULES = (rates, logs, changes)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
