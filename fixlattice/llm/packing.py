@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlattice.llm.store import with_fields, written
-from fixlattice.llm.text import encoder
+from fixlattice.llm.text import encoder, slices
 
 CAPACITY = 4096
 #: A bin with less room than this is a sequence as it is.
@@ -60,16 +60,14 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], lis
 def _pieces(path: str, byte_level: bool, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, byte_level)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = []
-            own = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").cast(pa.binary())
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(enc.encode(texts[i].as_py() or b""), enc.dtype)
-                ids = np.append(raw.astype("<u4"), np.uint32(end_id)).astype("<u4")
+            raw = [enc.encode(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), raw):
+                ids = np.append(np.frombuffer(coded, enc.dtype).astype("<u4"), np.uint32(end_id)).astype("<u4")
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
-                    rows.append((own[i], piece, at, len(part), zlib.crc32(part.tobytes())))
+                    rows.append((doc_id, piece, at, len(part), zlib.crc32(part.tobytes())))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

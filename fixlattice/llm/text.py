@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Entries that a worker's memo may hold before it is emptied: bounds its memory, changes no result.
 MEMO_ENTRIES = 400_000
+#: Entries in each of the two generations of a tokenizer's memo.
+GENERATION = 400_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -59,15 +63,16 @@ def tokenizer(path: str):
 
 # A space after a character that is not white space always begins a pre-token of the byte-level pattern,
 # and no pre-token reaches past such a space: texts can be encoded in pieces cut there.
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: UTF-8 of white space other than the space and the line feed, or how it begins.
+_OTHER_BLANKS = (b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
 
-def byte_level_pieces(text: bytes) -> list[str]:
-    """Pieces of the text, in order and joined equal to it, that a byte-level BPE encodes independently."""
-    text = text.decode()
+def byte_level_pieces(raw: bytes) -> tuple[str, list[str]]:
+    """(first piece, the others without the space that each begins with): what a byte-level BPE encodes independently."""
+    text = raw.decode()
     head, *rest = text.split(" ")
-    if head and not _SPACE_AFTER_SPACE.search(text):
-        return [head, *[" " + p for p in rest]]
+    if head and "  " not in text and "\n " not in text and not any(x in raw for x in _OTHER_BLANKS):
+        return head, rest
     pieces, piece = [], head
     for part in rest:
         if piece and not piece[-1].isspace():
@@ -75,40 +80,98 @@ def byte_level_pieces(text: bytes) -> list[str]:
             piece = " " + part
         else:
             piece += " " + part
-    return [*pieces, piece] if piece else pieces
+    first, *rest = [*pieces, piece]
+    return first, [p[1:] for p in rest]
+
+
+class Generations(dict):
+    """A mapping that computes what it lacks. Its memory is bounded by two generations of GENERATION entries:
+
+    what is in use moves to the younger one, and the elder is dropped when the younger is full.
+    """
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.elder = compute, {}
+
+    def __missing__(self, key):
+        if len(self) >= GENERATION:
+            self.elder = dict(self)
+            self.clear()
+        if (out := self.elder.get(key)) is None:
+            out = self.compute(key)
+        self[key] = out
+        return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """Bytes as a byte-level vocabulary writes them: printable Latin-1 characters as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+# The two vocabularies' own pre-token patterns.
+_BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Latin letters, digits and signs that normalisation leaves alone and whose classes no Unicode version disputes.
+_PLAIN = re.compile("[\n\x20-\x7e\xa1-\u012f\u0132-\u024f]*")
+
+
+# Signs that are pre-tokens of their own after a letter.
+_STOPS = (".", ",", "!", "?", ";", ":")
 
 
 class PieceEncoder:
-    """Encodes texts through a memo of pieces; ids are those of tokenizer.encode(text, add_special_tokens=False)."""
+    """Encodes texts piece by piece through a memo; ids are those of tokenizer.encode(text, add_special_tokens=False).
+
+    A piece of plain Latin characters is cut into pre-tokens by the vocabulary's pattern, and each is given to the
+    tokenizer's model, once. Any other piece is given to the tokenizer whole.
+    """
 
     def __init__(self, path: str, byte_level: bool, dtype: str = "<u2"):
         self.tok = tokenizer(path)
         if self.tok.get_vocab_size() > np.iinfo(np.dtype(dtype)).max + 1:
             raise ValueError(f"ids of {path} don't fit {dtype}")
-        self.dtype = np.dtype(dtype)
-        self.pieces = byte_level_pieces if byte_level else bytes.split
-        self.memo: dict[str | bytes, bytes] = {}
-
-    def _learn(self, pieces: list) -> None:
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.memo]
-        if not missing:
-            return
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
-            self.memo.clear()
-            missing = list(dict.fromkeys(pieces))
-        as_text = [p if isinstance(p, str) else p.decode() for p in missing]
-        for piece, enc in zip(missing, self.tok.encode_batch_fast(as_text, add_special_tokens=False)):
-            self.memo[piece] = np.asarray(enc.ids, dtype=self.dtype).tobytes()
+        self.dtype, self.byte_level, self.model = np.dtype(dtype), byte_level, self.tok.model
+        self.cut = regex.compile(_BYTE_LEVEL_PATTERN if byte_level else _WORD_LEVEL_PATTERN).findall
+        self.letters = _byte_letters()
+        self.memo, self.pre_tokens = Generations(self._after_space if byte_level else self._word), Generations(self._pre_token)
+        # a byte-level token is written with one character for each of its bytes
+        self.widths = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for token, i in self.tok.get_vocab().items():
+            self.widths[i] = len(token)
+
+    def _pre_token(self, text: str) -> bytes:
+        as_bytes = text.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.model.tokenize(as_bytes)]).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        if not _PLAIN.fullmatch(text):
+            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return b"".join(map(self.pre_tokens.__getitem__, self.cut(text if self.byte_level else text.lower())))
+
+    def _after_space(self, piece: str) -> bytes:
+        if piece.isalpha() and max(piece) < "\u0130":
+            return self._pre_token(" " + piece)
+        if piece[-1:] in _STOPS and piece[:-1].isalpha():
+            return self.memo[piece[:-1]] + self.pre_tokens[piece[-1]]
+        return self._piece(" " + piece)
+
+    def _word(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if text.isalpha() and max(text) < "\u0130":
+            return self._pre_token(text.lower())
+        if text[-1:] in _STOPS and text[:-1].isalpha():
+            return self.memo[piece[:-1]] + self.pre_tokens[text[-1]]
+        return self._piece(text)
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian bytes of the encoder's dtype."""
-        pieces = self.pieces(text)
-        get = self.memo.__getitem__
-        try:
-            return b"".join(map(get, pieces))
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.memo.__getitem__, pieces))
+        if not self.byte_level:
+            return b"".join(map(self.memo.__getitem__, text.split()))
+        head, rest = byte_level_pieces(text)
+        return self._piece(head) + b"".join(map(self.memo.__getitem__, rest))
 
 
 _encoders: dict[tuple, PieceEncoder] = {}

@@ -22,40 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixlattice.llm.text import MEMO_ENTRIES, byte_level_pieces, slices, tokenizer
+from fixlattice.llm.text import encoder, slices
 
 RULES = ("largest", "first", "last")
 
 
-class SpanEncoder:
-    """Byte lengths of a text's tokens, by way of pieces that are encoded once."""
-
-    def __init__(self, path: str):
-        self.tok = tokenizer(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
-            self.memo.clear()
-            missing = list(dict.fromkeys(pieces))
-        for piece, enc in zip(missing, self.tok.encode_batch(missing, add_special_tokens=False)):
-            # a byte-level token is written with one character for each of its bytes
-            self.memo[piece] = np.fromiter(map(len, enc.tokens), "<u4", len(enc.tokens)).tobytes()
-
-    def lengths(self, text: bytes) -> np.ndarray:
-        pieces = byte_level_pieces(text)
-        try:
-            got = b"".join(map(self.memo.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-            got = b"".join(map(self.memo.__getitem__, pieces))
-        return np.frombuffer(got, "<u4").astype(np.int64)
-
-
-_encoders: dict[str, SpanEncoder] = {}
-
-
 def token_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character and the one after the last of each token."""
     ends = np.cumsum(lengths)
@@ -92,20 +63,19 @@ def section_tokens(docs: DataFrame, path: str, fields: tuple[str, ...] = ("sourc
     kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = SpanEncoder(path)
-        enc = _encoders[path]
+        enc = encoder(path, byte_level=True)
         for batch in batches:
             for part in slices(batch, "_text"):
                 cols: list[list] = [[] for _ in names]
-                for doc_id, raw, lines in zip(part.column("doc_id").to_pylist(), part.column("_text").cast(pa.binary()).to_pylist(), part.column("_lines").to_pylist()):
+                texts = part.column("_text").cast(pa.binary()).to_pylist()
+                for doc_id, raw, coded, lines in zip(part.column("doc_id").to_pylist(), texts, map(enc.encode, texts), part.column("_lines").to_pylist()):
                     sizes = np.fromiter((len(x) + 1 for x in raw.decode().split("\n")), np.int64)
                     sizes[-1] -= 1
                     # a field that has line breaks of its own is one section
                     heads = np.concatenate([np.cumsum([0, *lines]), np.arange(sum(lines) + 1, len(sizes))]).astype(np.int64)
                     bounds = np.append(np.concatenate([[0], np.cumsum(sizes)])[heads], sizes.sum())
                     n = len(bounds) - 1
-                    starts, ends = token_spans(raw, enc.lengths(raw)) if raw else (np.empty(0, np.int64),) * 2
+                    starts, ends = token_spans(raw, enc.widths[np.frombuffer(coded, enc.dtype)]) if raw else (np.empty(0, np.int64),) * 2
                     section, crosses = allocate(starts, ends, bounds, rule)
                     cols[0] += [doc_id] * n
                     cols[1] += range(n)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fixlattice.llm import ranges
 from fixlattice.llm.store import fresh, mapped_file, write_file, written
-from fixlattice.llm.text import encoder, tokenizer
+from fixlattice.llm.text import encoder, slices, tokenizer
 
 MAGIC = b"FXTOKENS"
 
@@ -55,18 +55,16 @@ def _writer(folder: str, path: str, byte_level: bool, end_id: int):
                 x.clear()
 
         for batch in batches:
-            parts = batch.column("bucket").to_pylist()
-            own = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").cast(pa.binary())
-            for i in range(batch.num_rows):
-                if parts[i] != part:
-                    finish()
-                    part = parts[i]
-                raw = enc.encode(texts[i].as_py())
-                ids += (raw, end)
-                sizes.append(len(raw) // wide + 1)
-                doc_ids.append(own[i] or 0)
-                nulls.append(own[i] is None)
+            for some in slices(batch, "text"):
+                raw = map(enc.encode, some.column("text").cast(pa.binary()).to_pylist())
+                for own, doc_id, coded in zip(some.column("bucket").to_pylist(), some.column("doc_id").to_pylist(), raw):
+                    if own != part:
+                        finish()
+                        part = own
+                    ids += (coded, end)
+                    sizes.append(len(coded) // wide + 1)
+                    doc_ids.append(doc_id or 0)
+                    nulls.append(doc_id is None)
         finish()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), (pa.int32(), pa.int64(), pa.int64()))], names=["part", "n_docs", "n_ids"])
