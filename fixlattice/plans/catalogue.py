@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fixlattice.plans import changes, logs, rates
+from fixlattice.plans import changes, checking, logs, rates
 
-_MODULES = (rates, logs, changes)
+_MODULES = (rates, logs, changes, checking)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -13,7 +13,7 @@ from fixlattice.session import table
 def _deltas(spark, sf):
     """Events as delta programs of their users: purchases add, errors exclude, all else overrides; the path is k mod 10."""
     op = F.when(F.col("event_type") == "purchase", "add").when(F.col("event_type") == "error", "exclude").otherwise("override")
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", K.alias("k"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", K().alias("k"))
     return e.select(F.col("user_id").alias("program"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("k") % 10).cast("string").alias("path"), F.col("k").cast("string").alias("value"))
 
 
@@ -21,7 +21,7 @@ def _short(spark, sf):
     """The first three deltas of each hour of a user: programs short enough to succeed at times."""
     from pyspark.sql import Window
 
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", K.alias("k"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", K().alias("k"))
     op = F.when(F.col("event_type") == "purchase", "add").when(F.col("event_type") == "error", "exclude").otherwise("override")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     return e.select((F.col("user_id") * 100000 + F.floor(n / 3)).alias("program"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("k") % 10).cast("string").alias("path"), F.col("k").cast("string").alias("value"))

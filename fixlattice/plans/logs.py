@@ -11,7 +11,9 @@ from fixlattice.operators import log as G
 from fixlattice.session import table
 from fixlattice.sources import log_store
 
-K = F.get_json_object("props", "$.k").cast("int")
+def K():
+    """The one number in an event's props."""
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def _bit(i):
@@ -20,7 +22,7 @@ def _bit(i):
 
 def as_log(spark, sf):
     """Events as log records: sign-ups are witnesses, purchases bring gauge passes."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", K.alias("k"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", K().alias("k"))
     none = F.array().cast("array<string>")
 
     def some(test, word):
@@ -51,7 +53,7 @@ def loop_trace(spark, sf):
 
 
 def _user_masks(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.bit_or(F.when(F.col("event_type") == "purchase", _bit(K % 7))).alias("w0"), F.bit_or(F.when(F.col("event_type") == "click", _bit(K % 6))).alias("r0"), (F.count("*") % 10).cast("int").alias("level")).select(
+    return table(spark, sf, "events").groupBy("user_id").agg(F.bit_or(F.when(F.col("event_type") == "purchase", _bit(K() % 7))).alias("w0"), F.bit_or(F.when(F.col("event_type") == "click", _bit(K() % 6))).alias("r0"), (F.count("*") % 10).cast("int").alias("level")).select(
         "user_id", "level", F.coalesce("w0", F.lit(0)).cast("bigint").alias("w"), F.coalesce("r0", F.lit(0)).cast("bigint").alias("r")
     )
 
@@ -91,7 +93,7 @@ def leq_pairs(spark, sf):
 
 
 def lub_by_event_type(spark, sf):
-    e = table(spark, sf, "events").select("event_type", (K % 10).alias("level"), _bit(K % 7).cast("bigint").alias("w"), _bit(K % 6).cast("bigint").alias("r"))
+    e = table(spark, sf, "events").select("event_type", (K() % 10).alias("level"), _bit(K() % 7).cast("bigint").alias("w"), _bit(K() % 6).cast("bigint").alias("r"))
     return e.groupBy("event_type").agg(*L.lub())
 
 
