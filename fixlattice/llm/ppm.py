@@ -414,7 +414,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, shard
     words = counts.where(F.col("kind") == WORD)
     sizes = words.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()
     total, kinds = sum(r.n for r in sizes), sum(r.v for r in sizes)
-    least, among = 63, 0  # the lowest power of two such that few enough words are as frequent
+    least, among = 62, 0  # the lowest power of two such that few enough words are as frequent
     for r in sorted(sizes, reverse=True):
         if among + r.v > FREQUENT_WORDS:
             break

@@ -1,8 +1,8 @@
 """Quality rules: counts of each text, and the frequency of its lines across the documents of its host.
 
 SQL functions only. A line is normalised (lower case, white space collapsed, ends trimmed) and hashed. For each host
-the distinct documents that hold a line are counted; documents of equal least line (by MD5 of the normalised
-lines) count as one, so copies and near copies of one text don't make its lines boilerplate. Lines held by more than ``line_limit`` distinct
+the distinct documents that hold a line are counted; documents whose other lines have the same least MD5
+count as one, so copies and near copies of one text don't make its lines boilerplate. Lines held by more than ``line_limit`` distinct
 documents of a host are removed; a document that keeps less than ``least_left`` of its words is depleted and rejected.
 
 Null text: no words, which fails the base rule. Null hosts are one host. Repeated rows are judged alike.
@@ -48,7 +48,7 @@ def _covered(hashes: Column, window: int) -> Column:
 
 
 def counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """(row, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, sketch, lines) of each row; lines: (key, words) of each. One pass, no shuffle."""
+    """(row, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines) of each row; lines: (key, words, sketch) of each. One pass, no shuffle."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("words", words(F.col("text"))).withColumn("split", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{BLANK}]")))
     normal = F.transform("split", lambda x: F.lower(F.array_join(words(x), " ")))
@@ -61,14 +61,30 @@ def counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("split") - F.size(F.array_distinct("split"))).cast("long").alias("n_dup_lines"),
         _covered(F.transform("words", lambda w: F.xxhash64(w)), WINDOW).alias("n_repeat_words"),
-        let(normal, lambda n: F.struct(F.array_min(F.transform(n, lambda x: F.md5(x))).alias("sketch"), F.transform(n, lambda x: F.struct(F.xxhash64(x).alias("key"), F.size(F.split(x, " ")).alias("words"))).alias("lines"))).alias("made"),
-    ).select("*", "made.sketch", "made.lines").drop("made")
+        let(normal, _lines).alias("lines"),
+    )
+
+
+def _lines(normal: Column) -> Column:
+    """(key, words, sketch) of each normalised line; the sketch is the least MD5 of the text's other lines, empty if it has none."""
+
+    def of(least: Column) -> Column:
+        return F.transform(
+            normal,
+            lambda x: F.struct(
+                F.xxhash64(x).alias("key"),
+                F.size(F.split(x, " ")).alias("words"),
+                F.coalesce(F.when(F.md5(x) == F.get(least, 0), F.get(least, 1)).otherwise(F.get(least, 0)), F.lit("")).alias("sketch"),
+            ),
+        )
+
+    return let(F.slice(F.array_sort(F.array_distinct(F.transform(normal, lambda x: F.md5(x)))), 1, 2), of)
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words) of each row."""
     base = written(counts(docs, host, text), "quality")
-    lines = base.select("row", "host", "sketch", F.explode("lines").alias("l")).select("row", F.coalesce("host", F.lit("")).alias("host"), "sketch", "l.key", "l.words")
+    lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", F.coalesce("host", F.lit("")).alias("host"), "l.sketch", "l.key", "l.words")
     held = lines.select("host", "key", "sketch").distinct()
     frequent = held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key")
     removed = lines.join(frequent, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
@@ -96,8 +112,8 @@ ls AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d
 lw AS (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM ls),
 ln AS (SELECT doc_id, source, line, len(words) AS n, lower(array_to_string(words, ' ')) AS norm FROM lw WHERE len(words) > 0),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY doc_id),
-sk AS (SELECT doc_id, min(md5(norm)) AS sketch FROM ln GROUP BY doc_id),
-fr AS (SELECT source, norm FROM ln JOIN sk USING (doc_id) GROUP BY source, norm HAVING count(DISTINCT sketch) > 50),
+sk AS (SELECT doc_id, min(h) AS least, list_sort(list(h))[2] AS next FROM (SELECT DISTINCT doc_id, md5(norm) AS h FROM ln) GROUP BY doc_id),
+fr AS (SELECT source, norm FROM ln JOIN sk USING (doc_id) GROUP BY source, norm HAVING count(DISTINCT CASE WHEN md5(norm) = least THEN coalesce(next, '') ELSE least END) > 50),
 rm AS (SELECT doc_id, sum(n) AS n FROM ln JOIN fr USING (source, norm) GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
