@@ -2,8 +2,8 @@
 
 SQL functions only. A line is normalised (lower case, white space collapsed, ends trimmed) and hashed. For each host
 the distinct documents that hold a line are counted; documents whose other lines have the same least MD5
-count as one, so copies and near copies of one text don't make its lines boilerplate. Lines held by more than ``line_limit`` distinct
-documents of a host are removed; a document that keeps less than ``least_left`` of its words is depleted and rejected.
+count as one, and a line of which one such company has more than MOST_SHARE of all rows is no boilerplate: copies and near copies
+of one text leave its lines alone. Other lines held by more than ``line_limit`` distinct documents of a host are removed; a document that keeps less than ``least_left`` of its words is depleted and rejected.
 
 Null text: no words, which fails the base rule. Null hosts are one host. Repeated rows are judged alike.
 An empty table gives no rows.
@@ -20,6 +20,8 @@ from fixlattice.llm.store import written
 LINE_LIMIT = 50
 LEAST_LEFT = 0.2
 WINDOW = 8
+#: A line that stands in one and the same company in more than this part of its rows belongs to a text that was copied.
+MOST_SHARE = 0.2
 
 
 def _covered(hashes: Column, window: int) -> Column:
@@ -85,8 +87,9 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words) of each row."""
     base = written(counts(docs, host, text), "quality")
     lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", F.coalesce("host", F.lit("")).alias("host"), "l.sketch", "l.key", "l.words")
-    held = lines.select("host", "key", "sketch").distinct()
-    frequent = held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key")
+    held = lines.groupBy("host", "key", "sketch").agg(F.count("*").alias("rows"))
+    common = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
+    frequent = common.where((F.col("n") > line_limit) & (F.col("most") <= F.lit(MOST_SHARE) * F.col("all"))).select("host", "key")
     removed = lines.join(frequent, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = base.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
@@ -113,7 +116,8 @@ lw AS (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+'
 ln AS (SELECT doc_id, source, line, len(words) AS n, lower(array_to_string(words, ' ')) AS norm FROM lw WHERE len(words) > 0),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY doc_id),
 sk AS (SELECT doc_id, min(h) AS least, list_sort(list(h))[2] AS next FROM (SELECT DISTINCT doc_id, md5(norm) AS h FROM ln) GROUP BY doc_id),
-fr AS (SELECT source, norm FROM ln JOIN sk USING (doc_id) GROUP BY source, norm HAVING count(DISTINCT CASE WHEN md5(norm) = least THEN coalesce(next, '') ELSE least END) > 50),
+co AS (SELECT source, norm, CASE WHEN md5(norm) = least THEN coalesce(next, '') ELSE least END AS sketch, count(*) AS n FROM ln JOIN sk USING (doc_id) GROUP BY ALL),
+fr AS (SELECT source, norm FROM co GROUP BY source, norm HAVING count(*) > 50 AND max(n) <= 0.2 * sum(n)),
 rm AS (SELECT doc_id, sum(n) AS n FROM ln JOIN fr USING (source, norm) GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
