@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fixlattice.plans import changes, checking, logs, rates
+from fixlattice.plans import changes, checking, logs, nodes, rates
 
-_MODULES = (rates, logs, changes, checking)
+_MODULES = (rates, logs, changes, checking, nodes)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -84,3 +84,72 @@ def rings_from_json(text: Column) -> Column:
 
 
 __all__ = ["DIMENSIONS", "document", "escape", "owl_classes", "owl_individual", "parse_prolog", "prolog_facts", "rings_from_json", "rings_from_xml", "rings_to_json", "rings_to_xml"]
+
+
+STRING = "http://www.w3.org/2001/XMLSchema#string"
+
+
+def owl_ring(ring: Column) -> Column:
+    """A ring struct (name, adds, requires, verbs) as text: its verbs as individuals, then its class with one restriction for each capability and verb."""
+    name = escape(ring["name"])
+
+    def restriction(prop: str, target: Column) -> Column:
+        return F.concat(F.lit(f'    <rdfs:subClassOf><owl:Restriction>\n      <owl:onProperty rdf:resource="#{prop}"/>\n      <owl:hasValue rdf:resource="#'), target, F.lit('"/>\n    </owl:Restriction></rdfs:subClassOf>'))
+
+    def verb_id(v: Column) -> Column:
+        return F.concat(F.lit("verb_"), name, F.lit("_"), escape(v["name"]))
+
+    def field(prop: str, value: Column) -> Column:
+        return F.concat(F.lit(f'    <{prop} rdf:datatype="{STRING}">'), escape(value), F.lit(f"</{prop}>\n"))
+
+    def individual(v: Column) -> Column:
+        return F.concat(F.lit('  <owl:NamedIndividual rdf:about="#'), verb_id(v), F.lit('">\n    <rdf:type rdf:resource="#Verb"/>\n'), field("verb_name", v["name"]), field("verb_source", v["source"]), field("verb_slots", F.array_join(v["slots"], ",")), F.lit("  </owl:NamedIndividual>"))
+
+    subs = F.concat(
+        F.transform(ring["adds"], lambda c: restriction("adds", F.concat(F.lit("cap_"), escape(c)))),
+        F.transform(ring["requires"], lambda c: restriction("requires", F.concat(F.lit("cap_"), escape(c)))),
+        F.transform(ring["verbs"], lambda v: restriction("has_verb", verb_id(v))),
+    )
+    own = F.concat(F.lit('  <owl:Class rdf:about="#'), name, F.lit('">\n    <rdfs:subClassOf rdf:resource="#Ring"/>\n'), F.array_join(subs, "\n"), F.lit("\n  </owl:Class>"))
+    return F.array_join(F.concat(F.transform(ring["verbs"], individual), F.array(own)), "\n")
+
+
+@F.udtf(returnType="name string, adds array<string>, requires array<string>, verbs array<struct<name:string,source:string,slots:array<string>>>")
+class RingsFromOwl:
+    """One row for each ring class of an OWL document; verb names come from the individuals, not from their ids."""
+
+    def eval(self, text: str):
+        import xml.etree.ElementTree as ET
+
+        rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+        owl = "{http://www.w3.org/2002/07/owl#}"
+        rdfs = "{http://www.w3.org/2000/01/rdf-schema#}"
+        root = ET.fromstring(text)
+        found = {}
+        for e in root.iter(f"{owl}NamedIndividual"):
+            values = {c.tag.rpartition("}")[2]: c.text or "" for c in e}
+            if "verb_name" in values:
+                found[e.get(f"{rdf}about")] = (values["verb_name"], values.get("verb_source", ""), [s for s in values.get("verb_slots", "").split(",") if s])
+        for c in root.iter(f"{owl}Class"):
+            subs = c.findall(f"{rdfs}subClassOf")
+            if not any(s.get(f"{rdf}resource") == "#Ring" for s in subs):
+                continue
+            links = [(r.find(f"{owl}onProperty").get(f"{rdf}resource"), r.find(f"{owl}hasValue").get(f"{rdf}resource")) for s in subs for r in s.findall(f"{owl}Restriction")]
+            of = lambda prop: [v for p, v in links if p == prop]
+            yield (c.get(f"{rdf}about")[1:], [v.removeprefix("#cap_") for v in of("#adds")], [v.removeprefix("#cap_") for v in of("#requires")], [found[v] for v in of("#has_verb")])
+
+
+def render_verb(verb: Column) -> Column:
+    """A verb struct as the text of its source form; text alone."""
+    return F.concat(F.lit("def "), verb["name"], F.lit("(self, *args, **kwargs):\n    "), F.regexp_replace(verb["source"], "\n", "\n    "))
+
+
+def render_ring(ring: Column) -> Column:
+    """A ring struct as the text of a class: what it adds and requires, then its verbs."""
+    body = F.array_join(F.transform(ring["verbs"], lambda v: F.concat(F.lit("    "), F.regexp_replace(render_verb(v), "\n", "\n    "))), "\n")
+    return F.concat(F.lit("class "), ring["name"], F.lit(":\n    # adds "), F.array_join(ring["adds"], ", "), F.lit("\n    # requires "), F.array_join(ring["requires"], ", "), F.lit("\n"), body)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """A one-column table of text as a text file sink."""
+    lines.write.mode("overwrite").text(path)
