@@ -34,6 +34,7 @@ TOLERANCE = 1e-3
 #: Standard errors by which a hashed word's share in one class must differ from the others' to be a feature.
 SIGNIFICANT = 4.0
 
+_SIGNS, _CAPITALS, _DIGITS = b"#*$%&|<>!", bytes(range(65, 91)), b"0123456789"
 _bucket = Memo(lambda w: xxhash.xxh32_intdigest(w) % BUCKETS)
 
 
@@ -43,10 +44,9 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     n = len(words)
     columns = np.unique(np.fromiter(map(_bucket.__getitem__, words), np.int64, n))
     size = max(1, len(text))
-    symbols = sum(map(text.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!")))
-    capitals = sum(w[:2].isupper() for w in text.split())
+    symbols, capitals, digits = ((len(text) - len(text.translate(None, kind))) / size for kind in (_SIGNS, _CAPITALS, _DIGITS))
     lines = text.split(b"\n")
-    dense = (symbols / size * 5, len(columns) / max(1, n), capitals / max(1, n), np.log1p(n) / 8, len(set(lines)) / len(lines), sum(text.count(b"%d" % d) for d in range(10)) / size * 5)
+    dense = (symbols * 5, len(columns) / max(1, n), capitals * 5, np.log1p(n) / 8, len(set(lines)) / len(lines), digits * 5)
     return columns, np.array(dense), n
 
 
