@@ -148,35 +148,48 @@ def linked(a: np.ndarray, b: np.ndarray, most: int, references: np.ndarray) -> t
     return left[near], right[near]
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray, root: list[int]) -> list[tuple[int, int]]:
-    """The links that join two trees yet apart; root is brought up to date."""
+class _Forest:
+    """Trees over n members; a link is kept only where it joins two trees yet apart."""
 
-    def top(x: int) -> int:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    out = []
-    for x, y in zip(left.tolist(), right.tolist()):
-        p, q = top(x), top(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    def tops(self, start: int, stop: int) -> np.ndarray:
+        return np.fromiter(map(self.top, range(start, stop)), np.int64, stop - start)
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        for x, y in zip(left.tolist(), right.tolist()):
+            p, q = self.top(x), self.top(y)
+            if p != q:
+                self.root[max(p, q)] = min(p, q)
+                self.links.append((x, y))
 
 
 def _within(fps: np.ndarray, most: int, references: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among ascending fingerprints, block by block."""
     if len(fps) == 2:
         return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= most else []
-    root, out, step = list(range(len(fps))), [], 512
-    for i in range(0, len(fps), step):
-        for j in range(i, len(fps), step):
+    forest, step, n = _Forest(len(fps)), 512, len(fps)
+    for i in range(0, n, step):
+        for j in range(i, n, step):
+            mine, other = forest.tops(i, min(i + step, n)), forest.tops(j, min(j + step, n))
+            if mine[0] == other[0] and (mine == mine[0]).all() and (other == other[0]).all():
+                continue  # one tree already
             left, right = linked(fps[i : i + step], fps[j : j + step], most, references)
-            keep = left + i < right + j
-            out += _forest(len(fps), left[keep] + i, right[keep] + j, root)
-    return out
+            # of the links between two trees one is enough
+            apart = np.flatnonzero((mine[left] != other[right]) & (left + i < right + j))
+            _, first = np.unique(mine[left[apart]] * n + other[right[apart]], return_index=True)
+            keep = apart[np.sort(first)]
+            forest.add(left[keep] + i, right[keep] + j)
+    return forest.links
 
 
 def _links_of_places(most: int):
