@@ -87,7 +87,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words) of each row."""
     base = written(counts(docs, host, text), "quality")
     lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", F.coalesce("host", F.lit("")).alias("host"), "l.sketch", "l.key", "l.words")
-    held = lines.groupBy("host", "key", "sketch").agg(F.count("*").alias("rows"))
+    # a document has one say on a line, however often it repeats it
+    held = lines.select("row", "host", "key", "sketch").distinct().groupBy("host", "key", "sketch").agg(F.count("*").alias("rows"))
     common = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
     frequent = common.where((F.col("n") > line_limit) & (F.col("most") <= F.lit(MOST_SHARE) * F.col("all"))).select("host", "key")
     removed = lines.join(frequent, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))

@@ -186,6 +186,19 @@ def test_lines_of_copies_are_no_boilerplate(spark):
     assert rows[100].n_removed_words == 4 and not rows[300].kept
 
 
+def _page(i):
+    return " ".join(f"own{i}x{k}" for k in range(20))
+
+
+def test_a_line_counts_once_for_each_document(spark):
+    footer = "footer of every page"
+    pages = [(i, f"{_page(i)}\n{footer}", "h") for i in range(80)]
+    log = [(300, "\n".join([_page(300).rsplit(" ", 16)[0]] + [footer] * 21), "h")]
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame(pages + log, "doc_id long, text string, source string")).collect()}
+    assert all(rows[i].kept and rows[i].n_removed_words == 4 for i in range(80))
+    assert rows[300].n_removed_words == 84 and not rows[300].kept
+
+
 def test_shards_are_near_equal_with_a_hot_text(spark):
     rows = [(i, "hot " * 200) for i in range(1500)] + [(2000 + i, f"text {i} " * (i % 90 + 1)) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
