@@ -1,9 +1,9 @@
 """Quality rules: counts of each text, and the frequency of its lines across the documents of its host.
 
 SQL functions only. A line is normalised (lower case, white space collapsed, ends trimmed) and hashed. For each host
-the distinct documents that hold a line are counted; documents whose other lines have the same least MD5
-count as one, and a line of which one such company has more than MOST_SHARE of all rows is no boilerplate: copies and near copies
-of one text leave its lines alone. Other lines held by more than ``line_limit`` distinct documents of a host are removed; a document that keeps less than ``least_left`` of its words is depleted and rejected.
+the distinct documents that hold a line are counted; near copies (whole texts of Jaccard similarity SAME or more, or joined by such)
+count as one, so that copies of one text leave its lines alone. Lines held by more than ``line_limit`` distinct documents of a
+host are removed; a document that keeps less than ``least_left`` of its words is depleted and rejected.
 
 Null text: no words, which fails the base rule. Null hosts are one host. Repeated rows are judged alike.
 An empty table gives no rows.
@@ -14,14 +14,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fixlattice.llm.components import components
 from fixlattice.llm.native import BLANK, let, words
 from fixlattice.llm.store import written
 
 LINE_LIMIT = 50
 LEAST_LEFT = 0.2
 WINDOW = 8
-#: A line that stands in one and the same company in more than this part of its rows belongs to a text that was copied.
-MOST_SHARE = 0.2
+#: Texts are near copies at this Jaccard similarity of their sets of five-word shingles.
+SAME = 0.8
+SHINGLE_WORDS = 5
+SKETCH = 128
+#: Residue classes of shingle hashes, and those whose least members are a meeting place.
+BINS = 16
+MEETINGS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 3), (1, 4, 6), (2, 5, 7), (8, 11, 13), (10, 12, 14))
 
 
 def _covered(hashes: Column, window: int) -> Column:
@@ -50,7 +56,7 @@ def _covered(hashes: Column, window: int) -> Column:
 
 
 def counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """(row, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines) of each row; lines: (key, words, sketch) of each. One pass, no shuffle."""
+    """(row, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, copy, sketch, lines) of each row; lines: (key, words) of each; copy: a hash of the text; sketch: the least hashes of its shingles. One pass, no shuffle."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("words", words(F.col("text"))).withColumn("split", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{BLANK}]")))
     normal = F.transform("split", lambda x: F.lower(F.array_join(words(x), " ")))
@@ -63,34 +69,71 @@ def counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("split") - F.size(F.array_distinct("split"))).cast("long").alias("n_dup_lines"),
         _covered(F.transform("words", lambda w: F.xxhash64(w)), WINDOW).alias("n_repeat_words"),
+        F.xxhash64("text").alias("copy"),
+        _sketch(F.transform("words", lambda w: F.hash(F.lower(w)))).alias("sketch"),
         let(normal, _lines).alias("lines"),
     )
 
 
 def _lines(normal: Column) -> Column:
-    """(key, words, sketch) of each normalised line; the sketch is the least MD5 of the text's other lines, empty if it has none."""
-
-    def of(least: Column) -> Column:
-        return F.transform(
-            normal,
-            lambda x: F.struct(
-                F.xxhash64(x).alias("key"),
-                F.size(F.split(x, " ")).alias("words"),
-                F.coalesce(F.when(F.md5(x) == F.get(least, 0), F.get(least, 1)).otherwise(F.get(least, 0)), F.lit("")).alias("sketch"),
-            ),
-        )
+    """(key, words) of each normalised line."""
+    return F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("key"), F.size(F.split(x, " ")).alias("words")))
+
+
+def _sketch(hashes: Column) -> Column:
+    """The SKETCH least hashes of SHINGLE_WORDS words in a row; of fewer words, of the whole sequence."""
+
+    def of(h: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE_WORDS), lambda i: F.hash(*[F.get(h, i + k) for k in range(SHINGLE_WORDS)]))
+        return F.slice(F.sort_array(F.array_distinct(F.when(F.size(h) < SHINGLE_WORDS, F.array(F.hash(h))).otherwise(runs))), 1, SKETCH)
+
+    return let(hashes, of)
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two sketches show a Jaccard similarity of SAME or more: the part of the least hashes of both that is in either (exact for texts of up to SKETCH shingles)."""
+    both = F.size(F.array_intersect(x, y))
+    least = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
+    full = (F.size(x) == SKETCH) | (F.size(y) == SKETCH)
+    return F.when(full, F.size(F.array_intersect(least, F.array_intersect(x, y))) >= F.lit(SAME) * F.size(least)).otherwise(both >= F.lit(SAME) * (F.size(x) + F.size(y) - both))
+
+
+def _meetings(sketch: Column) -> Column:
+    """Keys under which sets of great Jaccard similarity meet: the least members of three of BINS residue classes at a time."""
+    least = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.coalesce(F.array_min(F.filter(sketch, lambda x: F.pmod(x, F.lit(BINS)) == j)), F.lit(-1)))
+    return let(least, lambda m: F.array(*[F.xxhash64(F.lit(k), *[F.get(m, j) for j in chosen]) for k, chosen in enumerate(MEETINGS)]))
+
+
+def _classes(base: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, copy, class) of pages (host, copy): texts of a host are of one class if links of Jaccard similarity SAME or more join them.
+
+    Where texts meet, each is held against the least and the greatest of them: links grow with the texts, never with their pairs.
+    """
+    own = base.select(F.coalesce("host", F.lit("")).alias("host"), "copy", "sketch")
+    sets = written(own.join(pages.hint("merge"), ["host", "copy"], "left_semi").groupBy(F.xxhash64("host", "copy").alias("node"), "host").agg(F.first("sketch").alias("set")), "quality-sets")
+    met = written(sets.select("node", F.explode(F.transform(_meetings(F.col("set")), lambda m: F.xxhash64("host", m))).alias("place")).distinct(), "quality-places")
+    ends = met.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    pairs = met.join(ends, "place").select("node", F.explode(F.array("a", "b")).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
+    held = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+    alike = held.where(_alike(F.col("x"), F.col("y"))).select("u", "v")
+    root = components(alike, "quality-links").withColumnRenamed("u", "node")
+    return pages.withColumn("node", F.xxhash64("host", "copy")).join(root, "node", "left").select("host", "copy", F.coalesce("root", "node").alias("class"))
+
 
-    return let(F.slice(F.array_sort(F.array_distinct(F.transform(normal, lambda x: F.md5(x)))), 1, 2), of)
+def _frequent(base: DataFrame, lines: DataFrame, line_limit: int) -> DataFrame:
+    """(host, key) of the lines that more than line_limit distinct documents of the host hold."""
+    held = written(lines.select("host", "key", "copy").distinct(), "quality-lines")
+    wide = held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key")
+    wide = written(held.join(wide, ["host", "key"]), "quality-wide")
+    classes = _classes(base, wide.select("host", "copy").distinct())
+    return wide.join(classes, ["host", "copy"]).select("host", "key", "class").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key")
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words) of each row."""
     base = written(counts(docs, host, text), "quality")
-    lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", F.coalesce("host", F.lit("")).alias("host"), "l.sketch", "l.key", "l.words")
-    # a document has one say on a line, however often it repeats it
-    held = lines.select("row", "host", "key", "sketch").distinct().groupBy("host", "key", "sketch").agg(F.count("*").alias("rows"))
-    common = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
-    frequent = common.where((F.col("n") > line_limit) & (F.col("most") <= F.lit(MOST_SHARE) * F.col("all"))).select("host", "key")
+    lines = base.select("row", F.coalesce("host", F.lit("")).alias("host"), "copy", F.explode("lines").alias("l")).select("row", "host", "copy", "l.key", "l.words")
+    frequent = _frequent(base, lines, line_limit)
     removed = lines.join(frequent, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = base.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))

@@ -199,6 +199,19 @@ def test_a_line_counts_once_for_each_document(spark):
     assert rows[300].n_removed_words == 84 and not rows[300].kept
 
 
+def test_template_lines_are_boilerplate_and_near_copies_are_not(spark):
+    template = [" ".join(f"{part}{k}" for k in range(10)) for part in ("header", "menu", "side", "legal", "footer")]
+    pages = [(i, "\n".join([*template[:2], _page(i), *template[2:]]), "h") for i in range(200)]
+    thin = [(300 + i, "\n".join([*template[:2], " ".join(f"short{i}x{k}" for k in range(6)), *template[2:]]), "h") for i in range(70)]
+    base = [f"word{k}" for k in range(150)]
+    near = [(500 + i, " ".join(base[:i] + [f"edit{i}"] + base[i + 1 :]) + "\n" + " ".join(f"tail{k}" for k in range(20)), "h") for i in range(120)]
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame(pages + thin + near, "doc_id long, text string, source string")).collect()}
+    total = sum(len(x.split()) for x in template)
+    assert all(rows[i].n_removed_words == total and rows[i].kept for i in range(200))
+    assert all(rows[300 + i].n_removed_words == total and not rows[300 + i].base_failed and not rows[300 + i].kept for i in range(70))
+    assert all(rows[500 + i].n_removed_words == 0 and rows[500 + i].kept for i in range(120))
+
+
 def test_shards_are_near_equal_with_a_hot_text(spark):
     rows = [(i, "hot " * 200) for i in range(1500)] + [(2000 + i, f"text {i} " * (i % 90 + 1)) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
