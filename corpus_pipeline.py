@@ -14,7 +14,7 @@ from fixlattice.llm.text import public_vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or line frequency reject go."""
+    """Documents that the base rules or line frequency reject go; the frequent lines of the others go, and n_chars follows."""
     return quality.keep_good(docs)
 
 

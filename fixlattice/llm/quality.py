@@ -131,21 +131,38 @@ def _frequent(base: DataFrame, lines: DataFrame, line_limit: int) -> DataFrame:
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words) of each row."""
+    return _judged(docs, host, text, line_limit, least_left).drop("cut")
+
+
+def _judged(docs: DataFrame, host: str, text: str, line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The columns of ``judge`` and cut, the keys of the lines that are removed (null: none)."""
     base = written(counts(docs, host, text), "quality")
     lines = base.select("row", F.coalesce("host", F.lit("")).alias("host"), "copy", F.explode("lines").alias("l")).select("row", "host", "copy", "l.key", "l.words")
     frequent = _frequent(base, lines, line_limit)
-    removed = lines.join(frequent, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    removed = lines.join(frequent, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("key").alias("cut"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = base.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     depleted = (F.col("n_words") - F.col("n_removed_words")) < F.lit(least_left) * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words", "cut")
+
+
+def _without(text: Column, cut: Column) -> Column:
+    """The text without the lines whose keys are in cut; all other lines, blank ones too, as they are."""
+    key = lambda x: F.xxhash64(F.lower(F.array_join(words(x), " ")))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(f"[^{BLANK}]") & F.array_contains(cut, key(x)))), "\n")
+
 
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", length: str | None = "n_chars", **options) -> DataFrame:
+    """docs without the rows that are rejected, and the texts of the others without their frequent lines; ``length`` (if there is such a column) follows.
 
-def keep_good(docs: DataFrame, host: str = "source", text: str = "text", **options) -> DataFrame:
-    """docs without the rows that are rejected; columns as they are. A verdict follows from text and host, which rows are joined by."""
+    Verdict and lines follow from text and host, which rows are joined by."""
     marked = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))))
-    verdicts = judge(marked.select(F.col("_key").alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), **options)
-    return marked.join(verdicts.where("not kept").select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+    judged = _judged(marked.select(F.col("_key").alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), "source", "text", **options)
+    changed = judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias("_key")).agg(F.first("kept").alias("_kept"), F.first("cut").alias("_cut"))
+    out = marked.join(changed, "_key", "left").where(F.coalesce("_kept", F.lit(True)))
+    out = out.withColumn("_new", F.when(F.col("_cut").isNotNull(), _without(F.col(text), F.col("_cut"))).otherwise(F.col(text)))
+    replaced = {text: F.col("_new")} | ({length: F.when(F.col("_cut").isNotNull(), F.length("_new").cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
+    return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

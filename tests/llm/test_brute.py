@@ -212,6 +212,16 @@ def test_template_lines_are_boilerplate_and_near_copies_are_not(spark):
     assert all(rows[500 + i].n_removed_words == 0 and rows[500 + i].kept for i in range(120))
 
 
+def test_frequent_lines_are_cut_from_the_texts(spark):
+    import corpus_pipeline
+
+    pages = [(i, f"{_page(i)}\n\nFooter  of every page\nlast {i}", "h", 1) for i in range(80)] + [(90, None, "h", None), (91, _page(91), "g", 7)]
+    df = spark.createDataFrame(pages, "doc_id long, text string, source string, n_chars long")
+    rows = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert set(rows) == {*range(80), 91} and rows[91].text == _page(91) and rows[91].n_chars == 7
+    assert all(rows[i].text == f"{_page(i)}\n\nlast {i}" and rows[i].n_chars == len(rows[i].text) for i in range(80))
+
+
 def test_shards_are_near_equal_with_a_hot_text(spark):
     rows = [(i, "hot " * 200) for i in range(1500)] + [(2000 + i, f"text {i} " * (i % 90 + 1)) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
