@@ -272,26 +272,40 @@ def links(distinct: DataFrame, most: int = MOST_BITS, widths: tuple[int, ...] =
     return out
 
 
+def _classes(docs: DataFrame, key: str, text: str, shingle_words: int, most: int, widths: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs with their fingerprint, without text; (fp, least, root) of each fingerprint: its least key and the least fingerprint that links reach)."""
+    marked = written(fingerprints(docs, shingle_words, text), "simhash")
+    nodes = written(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
+    joined = components(links(nodes, most, widths), "simhash-links")  # least fingerprint of the component
+    return marked, nodes.join(joined.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, most: int = MOST_BITS, widths: tuple[int, ...] = BANDS) -> DataFrame:
     """(key, fp, component_id) for every row of docs: its fingerprint and the least key that links reach from it.
 
     Rows of equal fingerprint (equal texts among them) are one node, so copies are never paired. Null keys take part
     but are no representatives unless a component has no other. Empty table: empty result.
     """
-    marked = written(fingerprints(docs.select(F.col(key), F.col(text).alias("text")), shingle_words), "simhash")
-    nodes = written(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
-    joined = components(links(nodes, most, widths), "simhash-links")  # least fingerprint of the component
-    rooted = nodes.join(joined.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marked, rooted = _classes(docs.select(F.col(key), F.col(text).alias("text")), key, "text", shingle_words, most, widths)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(names, "root").select("fp", "component_id")
     # one fingerprint may hold very many rows: the join keeps them where adaptive execution splits them
     return marked.join(classes, "fp", "left").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each component: that of the least key (rows that share it are ordered by text and only the first stays)."""
-    own = near_duplicates(docs, key, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep")).distinct()
-    kept = docs.join(own, docs[key].eqNullSafe(own["_keep"]), "left_semi")
-    # repeated rows of a key: one of them
-    rest = [c for c in kept.columns if c != key]
-    return kept.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64("text"), "text")).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) if c != key else F.col(key) for c in docs.columns])
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, most: int = MOST_BITS, widths: tuple[int, ...] = BANDS) -> DataFrame:
+    """docs with one row of each component: that of the least key (nulls last), then of the least text hash.
+
+    Rows are told apart by key and text, so texts that share a key, or have none, are judged each on its own. Of repeated rows one stays."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    same = {"_null": F.col(key).isNull(), "_id": F.coalesce(F.col(key).cast("string"), F.lit("")), "_a": F.xxhash64(value), "_b": F.crc32(value)}
+    # the order of keys of any type; the strings only tell rows apart
+    first = F.struct(F.col("_null"), F.col("_key"), F.col("_a"), F.col("_b"), F.col("_id"))
+    own = docs.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in same.items()], F.col(text).alias("text"))
+    marked, rooted = _classes(own, "_key", "text", shingle_words, most, widths)
+    nodes = marked.groupBy("fp").agg(F.min(first).alias("first")).join(rooted.select("fp", "root"), "fp")
+    own = nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("_key")
+    kept = docs.withColumns(same).join(own, list(same), "left_semi")
+    # repeated rows: one of them
+    rest = [F.xxhash64(c) for c in docs.columns]
+    return kept.groupBy(*same).agg(F.min_by(F.struct(*docs.columns), F.struct(*rest)).alias("_row")).select("_row.*")

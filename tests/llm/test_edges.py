@@ -75,6 +75,15 @@ def test_simhash(docs, none):
     assert simhash.keep_one(none).isEmpty()
 
 
+def test_rows_without_an_id_or_of_one_id_are_told_apart(spark):
+    def text(i):
+        return " ".join(f"w{i}x{k}" for k in range(30))
+
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(5)), (4, text(6)), (5, text(6)), (None, text(6))]
+    kept = sorted(simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.text)
+    assert [(r.doc_id, r.text) for r in kept] == [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (4, text(6))]
+
+
 def test_packing(docs, none):
     path = public_vocabulary("word_bpe_49k.json")
     rows = packing.pack_documents(docs, path).collect()
