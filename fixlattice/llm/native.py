@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Regular expression class of what separates words: space and 0x09-0x0D.
 BLANK = r"\x20\x09-\x0D"
+_BLOCK = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,6 +22,24 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{BLANK}]+"), "")
 
 
+def running(values: Column, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """start, then what op (associative, start neutral) makes of the first 1, 2, ... of an array that isn't empty.
+
+    Folds are taken within blocks and over them, so that a long array isn't copied once for each of its members."""
+
+    def folds(xs: Column, first: Column) -> Column:
+        return F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+    return let(
+        blocks,
+        lambda bs: let(
+            folds(F.transform(bs, lambda xs: F.aggregate(xs, start, op)), start),
+            lambda bases: F.concat(F.array(start), F.flatten(F.transform(bs, lambda b, i: F.slice(folds(b, F.get(bases, i)), F.lit(2), F.size(b))))),
+        ),
+    )
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, value>> of the leftmost non-overlapping matches, in code points, stop exclusive.
 
@@ -32,10 +51,9 @@ def matches(text: Column, pattern: str) -> Column:
     none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")
 
     def cut(pieces: Column) -> Column:
-        ends = F.aggregate(pieces, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
         # piece k ends at ends[k + 1]; the matches are the odd pieces
         return let(
-            ends,
+            running(F.transform(pieces, lambda x: F.length(x).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x),
             lambda e: F.transform(
                 F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)),
                 lambda i: F.struct(F.get(e, i).alias("start"), F.get(e, i + 1).alias("stop"), F.get(pieces, i).alias("value")),

@@ -1,12 +1,15 @@
 """Quality rules: counts of each text, and the frequency of its lines across the documents of its host.
 
 SQL functions only. A line is normalised (lower case, white space collapsed, ends trimmed) and hashed. For each host
-the distinct documents that hold a line are counted; near copies (whole texts of Jaccard similarity SAME or more, or joined by such)
-count as one, so that copies of one text leave its lines alone. Lines held by more than ``line_limit`` distinct documents of a
-host are removed; a document that keeps less than ``least_left`` of its words is depleted and rejected.
-
-Null text: no words, which fails the base rule. Null hosts are one host. Repeated rows are judged alike.
-An empty table gives no rows.
+the distinct documents that hold a line are counted: every row is a document, and a line that it repeats counts
+once. Lines held by more than ``line_limit`` documents of a host are removed; a document that keeps less than
+``least_left`` of its words is depleted and rejected. With ``copies_once`` (off by default) rows of one host with
+equal texts count as one document, so that copies of one text leave its lines alone.
+
+Null text: no words, which fails the base rule. Null hosts are one host. Repeated rows are documents of their own and
+judged alike. Ties: a line held by exactly ``line_limit`` documents stays, a document that keeps exactly
+``least_left`` of its words too. Very long texts are read whole, one at a time. Extra columns, whatever their names, are carried
+along by ``keep_good`` and ignored by ``judge``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,20 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixlattice.llm.components import components
 from fixlattice.llm.native import BLANK, let, words
-from fixlattice.llm.store import written
+from fixlattice.llm.store import free_names, written
 
 LINE_LIMIT = 50
 LEAST_LEFT = 0.2
 WINDOW = 8
-#: Texts are near copies at this Jaccard similarity of their sets of five-word shingles.
-SAME = 0.8
-SHINGLE_WORDS = 5
-SKETCH = 128
-#: Residue classes of shingle hashes, and those whose least members are a meeting place.
-BINS = 16
-MEETINGS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 3), (1, 4, 6), (2, 5, 7), (8, 11, 13), (10, 12, 14))
 
 
 def _covered(hashes: Column, window: int) -> Column:
@@ -56,8 +51,8 @@ def _covered(hashes: Column, window: int) -> Column:
 
 
 def counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """(row, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, copy, sketch, lines) of each row; lines: (key, words) of each; copy: a hash of the text; sketch: the least hashes of its shingles. One pass, no shuffle."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(row, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, copy, lines) of each row; lines: (key, words) of each; copy: a hash of the text. One pass, no shuffle."""
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("words", words(F.col("text"))).withColumn("split", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{BLANK}]")))
     normal = F.transform("split", lambda x: F.lower(F.array_join(words(x), " ")))
     return own.select(
@@ -70,75 +65,29 @@ def counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
         (F.size("split") - F.size(F.array_distinct("split"))).cast("long").alias("n_dup_lines"),
         _covered(F.transform("words", lambda w: F.xxhash64(w)), WINDOW).alias("n_repeat_words"),
         F.xxhash64("text").alias("copy"),
-        _sketch(F.transform("words", lambda w: F.hash(F.lower(w)))).alias("sketch"),
-        let(normal, _lines).alias("lines"),
+        F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("key"), F.size(F.split(x, " ")).alias("words"))).alias("lines"),
     )
 
 
-def _lines(normal: Column) -> Column:
-    """(key, words) of each normalised line."""
-    return F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("key"), F.size(F.split(x, " ")).alias("words")))
-
-
-def _sketch(hashes: Column) -> Column:
-    """The SKETCH least hashes of SHINGLE_WORDS words in a row; of fewer words, of the whole sequence."""
-
-    def of(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE_WORDS), lambda i: F.hash(*[F.get(h, i + k) for k in range(SHINGLE_WORDS)]))
-        return F.slice(F.sort_array(F.array_distinct(F.when(F.size(h) < SHINGLE_WORDS, F.array(F.hash(h))).otherwise(runs))), 1, SKETCH)
-
-    return let(hashes, of)
-
-
-def _alike(x: Column, y: Column) -> Column:
-    """Whether two sketches show a Jaccard similarity of SAME or more: the part of the least hashes of both that is in either (exact for texts of up to SKETCH shingles)."""
-    both = F.size(F.array_intersect(x, y))
-    least = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
-    full = (F.size(x) == SKETCH) | (F.size(y) == SKETCH)
-    return F.when(full, F.size(F.array_intersect(least, F.array_intersect(x, y))) >= F.lit(SAME) * F.size(least)).otherwise(both >= F.lit(SAME) * (F.size(x) + F.size(y) - both))
-
-
-def _meetings(sketch: Column) -> Column:
-    """Keys under which sets of great Jaccard similarity meet: the least members of three of BINS residue classes at a time."""
-    least = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.coalesce(F.array_min(F.filter(sketch, lambda x: F.pmod(x, F.lit(BINS)) == j)), F.lit(-1)))
-    return let(least, lambda m: F.array(*[F.xxhash64(F.lit(k), *[F.get(m, j) for j in chosen]) for k, chosen in enumerate(MEETINGS)]))
-
-
-def _classes(base: DataFrame, pages: DataFrame) -> DataFrame:
-    """(host, copy, class) of pages (host, copy): texts of a host are of one class if links of Jaccard similarity SAME or more join them.
-
-    Where texts meet, each is held against the least and the greatest of them: links grow with the texts, never with their pairs.
-    """
-    own = base.select(F.coalesce("host", F.lit("")).alias("host"), "copy", "sketch")
-    sets = written(own.join(pages.hint("merge"), ["host", "copy"], "left_semi").groupBy(F.xxhash64("host", "copy").alias("node"), "host").agg(F.first("sketch").alias("set")), "quality-sets")
-    met = written(sets.select("node", F.explode(F.transform(_meetings(F.col("set")), lambda m: F.xxhash64("host", m))).alias("place")).distinct(), "quality-places")
-    ends = met.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    pairs = met.join(ends, "place").select("node", F.explode(F.array("a", "b")).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
-    held = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    alike = held.where(_alike(F.col("x"), F.col("y"))).select("u", "v")
-    root = components(alike, "quality-links").withColumnRenamed("u", "node")
-    return pages.withColumn("node", F.xxhash64("host", "copy")).join(root, "node", "left").select("host", "copy", F.coalesce("root", "node").alias("class"))
-
-
-def _frequent(base: DataFrame, lines: DataFrame, line_limit: int) -> DataFrame:
-    """(host, key) of the lines that more than line_limit distinct documents of the host hold."""
-    held = written(lines.select("host", "key", "copy").distinct(), "quality-lines")
-    wide = held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key")
-    wide = written(held.join(wide, ["host", "key"]), "quality-wide")
-    classes = _classes(base, wide.select("host", "copy").distinct())
-    return wide.join(classes, ["host", "copy"]).select("host", "key", "class").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key")
+def _frequent(base: DataFrame, line_limit: int, copies_once: bool) -> DataFrame:
+    """(host, key) of the lines that more than line_limit documents of the host hold, as a written table."""
+    held = base.select("host", "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+    if copies_once:
+        held = held.distinct()
+    return written(held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key"), "quality-lines")
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT, copies_once: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words) of each row."""
-    return _judged(docs, host, text, line_limit, least_left).drop("cut")
+    return _judged(docs, host, text, line_limit, least_left, copies_once).drop("cut")
 
 
-def _judged(docs: DataFrame, host: str, text: str, line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+def _judged(docs: DataFrame, host: str, text: str, line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT, copies_once: bool = False) -> DataFrame:
     """The columns of ``judge`` and cut, the keys of the lines that are removed (null: none)."""
     base = written(counts(docs, host, text), "quality")
-    lines = base.select("row", F.coalesce("host", F.lit("")).alias("host"), "copy", F.explode("lines").alias("l")).select("row", "host", "copy", "l.key", "l.words")
-    frequent = _frequent(base, lines, line_limit)
+    frequent = _frequent(base, line_limit, copies_once)
+    lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.key", "l.words")
+    # the written table's size decides whether it is broadcast; the rows of a hot line stay where they are or are split
     removed = lines.join(frequent, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("key").alias("cut"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = base.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
@@ -155,13 +104,14 @@ def _without(text: Column, cut: Column) -> Column:
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text", length: str | None = "n_chars", **options) -> DataFrame:
     """docs without the rows that are rejected, and the texts of the others without their frequent lines; ``length`` (if there is such a column) follows.
 
-    Verdict and lines follow from text and host, which rows are joined by."""
-    marked = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))))
-    judged = _judged(marked.select(F.col("_key").alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), "source", "text", **options)
-    changed = judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias("_key")).agg(F.first("kept").alias("_kept"), F.first("cut").alias("_cut"))
-    out = marked.join(changed, "_key", "left").where(F.coalesce("_kept", F.lit(True)))
-    out = out.withColumn("_new", F.when(F.col("_cut").isNotNull(), _without(F.col(text), F.col("_cut"))).otherwise(F.col(text)))
-    replaced = {text: F.col("_new")} | ({length: F.when(F.col("_cut").isNotNull(), F.length("_new").cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
+    Verdict and lines follow from text and host, by whose hash rows are joined. All columns stay, whatever their names."""
+    own, kept, cut, new = free_names(docs, "_key", "_kept", "_cut", "_new")
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))))
+    judged = _judged(marked.select(F.col(own).alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), "source", "text", **options)
+    changed = written(judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias(own)).agg(F.first("kept").alias(kept), F.first("cut").alias(cut)), "quality-changed")
+    out = marked.join(changed, own, "left").where(F.coalesce(kept, F.lit(True)))
+    out = out.withColumn(new, F.when(F.col(cut).isNotNull(), _without(F.col(text), F.col(cut))).otherwise(F.col(text)))
+    replaced = {text: F.col(new)} | ({length: F.when(F.col(cut).isNotNull(), F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
     return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
@@ -172,13 +122,11 @@ win AS (SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS s
         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
 dup AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) >= 2),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT win.doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN dup USING (doc_id, s)) GROUP BY doc_id),
-ls AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+ls AS (SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM ls),
 ln AS (SELECT doc_id, source, line, len(words) AS n, lower(array_to_string(words, ' ')) AS norm FROM lw WHERE len(words) > 0),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY doc_id),
-sk AS (SELECT doc_id, min(h) AS least, list_sort(list(h))[2] AS next FROM (SELECT DISTINCT doc_id, md5(norm) AS h FROM ln) GROUP BY doc_id),
-co AS (SELECT source, norm, CASE WHEN md5(norm) = least THEN coalesce(next, '') ELSE least END AS sketch, count(*) AS n FROM ln JOIN sk USING (doc_id) GROUP BY ALL),
-fr AS (SELECT source, norm FROM co GROUP BY source, norm HAVING count(*) > 50 AND max(n) <= 0.2 * sum(n)),
+fr AS (SELECT source, norm FROM ln GROUP BY source, norm HAVING count(DISTINCT doc_id) > 50),
 rm AS (SELECT doc_id, sum(n) AS n FROM ln JOIN fr USING (source, norm) GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

@@ -79,3 +79,14 @@ def mapped_file(path: str) -> np.ndarray:
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """A schema with further fields; the given one stays as it is."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like the stems that df doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

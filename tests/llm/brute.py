@@ -19,7 +19,7 @@ PATTERNS = {
 }
 
 
-def _holds(kind: str, value: str) -> bool:
+def holds(kind: str, value: str) -> bool:
     digits = re.sub("[^0-9]", "", value)
     if kind == "ip":
         return all(int(p) <= 255 for p in value.split("."))
@@ -30,5 +30,5 @@ def _holds(kind: str, value: str) -> bool:
 
 def personal(text: str) -> tuple[str, list[int]]:
     """(base spans joined, counts by kind)."""
-    found = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text) if _holds(k, m.group())] for k, p in PATTERNS.items()}
+    found = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text) if holds(k, m.group())] for k, p in PATTERNS.items()}
     return ",".join(x for k in PATTERNS for x in found[k]), [len(found[k]) for k in PATTERNS]
