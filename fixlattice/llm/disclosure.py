@@ -1,32 +1,40 @@
 """Personal data: patterns, and terms that disclose it, by information-theoretic sanitisation.
 
 SQL functions only. Patterns find e-mail addresses, IP addresses, payment cards and phone numbers in
-every whole text; each distinct value is a protected entity. Terms are runs of letters, lower-cased, among the
-CONTEXT_WORDS nearest on either side of an entity's mention. With document frequencies over the whole corpus of N rows,
+every whole text; each distinct value is a protected entity. Terms are runs of letters outside those values,
+lower-cased. How strongly a term reveals an entity is estimated from co-occurrence in whole documents over the corpus
+of N rows:
 
-    PMI(t, e) = ln(N n(t, e) / (n(t) n(e))),   IC(e) = ln(N / n(e)),
+    PMI(t, e) = ln(N n(t, e) / (n(t) n(e))),   IC(e) = ln(N / n(e)).
 
-a term discloses an entity if PMI(t, e) >= threshold * IC(e): it gives away that part of what there is to know. At least
-``support`` different contexts must show the pair, so that copies and chance neighbours are no
-evidence. Disclosing terms are spans of kind ``term`` wherever they stand by that entity; ``sanitised`` generalises
-every span to its kind.
+A term discloses an entity if PMI(t, e) >= ``threshold`` * IC(e), so that it gives away that part of what there is to know,
+and if at most ``residual_bits`` bits of IC(e) are left once it is seen (IC - PMI = -log P(e | t)). At least
+``support`` documents must hold both; rarer pairs are no evidence. Every occurrence of a disclosing term outside base spans, in any document, is
+a span of kind ``term``; ``sanitised`` generalises every span to its kind. With ``copies_once`` (off by
+default) rows of equal texts count as one document in all four counts.
 
-Null text: empty. Texts of no spans give zero counts and empty strings. Repeated rows are found alike. An empty table gives no rows.
+Only entities of ``support`` documents can have disclosing terms, so only their documents are paired with terms, equal
+texts once with their number; pairs of one document are as many as its entities times its terms.
+
+Null text: empty. Texts of no spans give zero counts and empty strings. Repeated rows are documents of their own and found alike. Ties: a
+pair exactly at a threshold discloses. Very long texts are read whole. Extra columns, whatever their names, are carried along by
+``sanitised`` and ignored by ``find``. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixlattice.llm.native import let, matches
-from fixlattice.llm.store import written
+from fixlattice.llm.native import let, matches, running
+from fixlattice.llm.store import free_names, written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT_WORDS = 6
-CONTEXT_CHARS = 120
-SUPPORT = 3
+SUPPORT = 2
 THRESHOLD = 0.8
+RESIDUAL_BITS = 0.5
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: A match can only begin where a run of its first class does, or where the match before has ended: said
@@ -38,7 +46,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NONE = "array<struct<start:bigint,stop:bigint,value:string>>"
-_OCCURRENCES = "array<struct<entity:string,term:string,start:bigint,stop:bigint,context:bigint>>"
+_SPANS = "array<struct<kind:string,start:bigint,stop:bigint>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -72,82 +80,82 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: of(k) for k in KINDS}
 
 
-def _near(text: Column, mention: Column) -> Column:
-    """The terms by one mention: array<struct<term, start, stop>>."""
-    low = F.greatest(mention["start"] - CONTEXT_CHARS, F.lit(0))
-
-    def words(segment: Column, at: Column, whole) -> Column:
-        return F.transform(F.filter(matches(segment, r"\p{L}++"), whole), lambda m: F.struct(F.lower(m["value"]).alias("term"), (at + m["start"]).alias("start"), (at + m["stop"]).alias("stop")))
-
-    # a word that the edge of the segment may have cut is left out
-    before = words(F.substr(text, (low + 1).cast("int"), (mention["start"] - low).cast("int")), low, lambda m: (low == 0) | (m["start"] > 0))
-    after = words(F.substr(text, (mention["stop"] + 1).cast("int"), F.lit(CONTEXT_CHARS)), mention["stop"], lambda m: (m["stop"] < CONTEXT_CHARS) | (mention["stop"] + CONTEXT_CHARS >= F.length(text)))
-    last = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS)))
-    return F.concat(last, F.slice(after, 1, CONTEXT_WORDS))
-
+def _without(text: Column, mentions: Column) -> Column:
+    """The text with each mention, or what of it is left of an overlap, replaced by a space."""
+    return F.when(F.size(mentions) > 0, _replaced(text, mentions, lambda s: F.lit(" "))).otherwise(text)
 
-def _occurrences(text: Column, mentions: Column) -> Column:
-    """Terms by all mentions of a text, apart from what is personal data itself."""
 
-    def of(mention: Column) -> Column:
-        return let(
-            _near(text, mention),
-            lambda near: let(
-                F.xxhash64(F.array_join(F.transform(near, lambda t: t["term"]), " ")),
-                lambda context: F.transform(
-                    F.filter(near, lambda t: ~F.exists(mentions, lambda m: (m["start"] < t["stop"]) & (t["start"] < m["stop"]))),
-                    lambda t: F.struct(F.concat_ws(":", mention["kind"], F.lower(mention["value"])).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["stop"].alias("stop"), context.alias("context")),
-                ),
-            ),
-        )
-
-    return F.flatten(F.transform(mentions, of))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text: array<string>."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(text, r"\P{L}+"), F.lower)), "")
 
 
 def _text_of(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
 
 
-def find(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base_spans, term_spans) of each row.
+def _key(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.crc32(text).alias("b"))
+
+
+def disclosing(base: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, residual_bits: float = RESIDUAL_BITS, copies_once: bool = False) -> DataFrame:
+    """(entity, term, n_e, n_t, n_te): the pairs that disclose, from base (text_key, entities, terms)."""
+    if copies_once:
+        base = base.groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    n = base.count()
+    known = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < n))
+    held = base.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    # texts of entities that occur often enough, with those entities alone
+    told = held.select("text_key", "copies", "terms", F.explode("entities").alias("entity")).join(known, "entity")
+    pairs = told.select("entity", "n_e", "copies", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_te")).where(F.col("n_te") >= support)
+    pairs = written(pairs, "personal-pairs")
+    frequency = base.select(F.explode("terms").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    content = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
+    left = F.log(F.col("n_t") / F.col("n_te"))  # IC - PMI
+    # a hair of room for what rounding does to a pair exactly at a threshold
+    return pairs.join(frequency, "term").where((content - left >= threshold * content - 1e-12) & (left <= residual_bits * math.log(2) + 1e-12)).select("entity", "term", "n_e", "n_t", "n_te")
+
+
+def find(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base_spans, term_spans) of each row; options: those of ``disclosing``.
 
     Spans are array<struct<kind, start, stop>> in code points, stop exclusive: base ones by kind, then start; terms by start.
     text_key is a struct of two hashes of the text, by which rows of one text can be joined.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), value.alias("text"))
-    spans = own.select("row", "doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    spans = own.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
 
-    spans = spans.select("row", "doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*map(tagged, KINDS)).alias("mentions"))
+    spans = spans.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*map(tagged, KINDS)).alias("mentions"))
     base = written(
         spans.select(
-            "row",
             "doc_id",
-            F.struct(F.xxhash64("text").alias("a"), F.crc32("text").alias("b")).alias("text_key"),
+            _key(F.col("text")).alias("text_key"),
             *[f"n_{k}" for k in KINDS],
-            "mentions",
-            F.when(F.size("mentions") > 0, _occurrences(F.col("text"), F.col("mentions"))).otherwise(F.array().cast(_OCCURRENCES)).alias("near"),
+            F.transform("mentions", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"))).alias("base_spans"),
+            F.array_distinct(F.transform("mentions", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"])))).alias("entities"),
+            _terms(_without(F.col("text"), F.col("mentions"))).alias("terms"),
         ),
         "personal-data",
     )
-    n = base.count()
-    near = base.where(F.size("near") > 0).select("row", F.explode("near").alias("o")).select("row", "o.*")
-    entities = base.where(F.size("mentions") > 0).select(F.explode(F.array_distinct(F.transform("mentions", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    terms = own.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    told = pairs.join(entities, "entity").join(terms, "term")
-    content = F.log(F.lit(float(n)) / F.col("n_e")) if n else F.lit(0.0)
-    pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) if n else F.lit(0.0)
-    disclosing = told.where((content > 0) & (pmi >= threshold * content)).select("entity", "term")
-    # the terms of one row: as many as its mentions bring
-    more = near.join(disclosing, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("start"), F.col("stop")))).alias("t"))
-    kept = F.transform("mentions", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop")))
-    found = F.transform("t", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")
-    return base.join(more, "row", "left").select("doc_id", "text_key", *[f"n_{k}" for k in KINDS], kept.alias("base_spans"), F.coalesce(found, none).alias("term_spans"))
+    found = [*[c for c in base.columns if c not in ("entities", "terms")]]
+    revealing = written(disclosing(base, **options).select("term").distinct(), "personal-terms")
+    if revealing.isEmpty():
+        return base.select(*found, F.array().cast(_SPANS).alias("term_spans"))
+    # the texts that hold them, once each; the written tables' sizes decide what is broadcast
+    texts = base.select("text_key", "base_spans", F.explode("terms").alias("term")).join(revealing, "term")
+    texts = texts.groupBy("text_key").agg(F.first("base_spans").alias("spans"), F.collect_set("term").alias("told"))
+    texts = written(texts.select(F.col("text_key.a").alias("a"), F.col("text_key.b").alias("b"), "spans", "told"), "personal-texts")
+    placed = own.select(_key(F.col("text")).alias("k"), "text").select("k.a", "k.b", "text").join(texts, ["a", "b"])
+    words = F.filter(
+        matches(F.col("text"), r"\p{L}++"),
+        lambda w: F.array_contains(F.col("told"), F.lower(w["value"])) & ~F.exists("spans", lambda m: (m["start"] < w["stop"]) & (w["start"] < m["stop"])),
+    )
+    placed = placed.select("a", "b", F.transform(words, lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["stop"].alias("stop"))).alias("term_spans"))
+    placed = placed.groupBy("a", "b").agg(F.first("term_spans").alias("term_spans")).select(F.struct("a", "b").alias("text_key"), "term_spans")
+    return base.join(placed, "text_key", "left").select(*found, F.coalesce("term_spans", F.array().cast(_SPANS)).alias("term_spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -156,25 +164,38 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
 
 
-def _generalised(text: Column, spans: Column) -> Column:
-    """The text with each span, or what of it is left of an overlap, replaced by its kind in brackets."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each span, or what of it is left of an overlap, replaced by ``by`` of the span."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["stop"], s["kind"])))
+
+    def whole(s: Column) -> Column:
+        # reach: where the spans before each one end
+        return let(running(F.transform(s, lambda x: x["stop"]), F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x)), lambda reach: joined(s, reach))
+
+    def joined(s: Column, reach: Column) -> Column:
+        parts = F.transform(s, lambda x, i: let(F.get(reach, i), lambda at: F.when(x["stop"] <= at, F.lit("")).otherwise(F.concat(_between(text, at, F.greatest(x["start"], at)), by(x)))))
+        return F.concat(F.array_join(parts, ""), _between(text, F.element_at(reach, -1), F.length(text)))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], acc["at"])
-        put = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["stop"] <= acc["at"], acc).otherwise(F.struct(put.alias("out"), s["stop"].alias("at")))
+    return F.when(F.size(spans) > 0, let(ordered, whole)).otherwise(text)
 
-    by_start = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["stop"], s["kind"]))), lambda s: s)
-    return let(F.aggregate(by_start, start, step), lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.length(text))))
+
+def _between(text: Column, start: Column, stop: Column) -> Column:
+    return F.substr(text, (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+
+
+def _generalised(text: Column, spans: Column) -> Column:
+    """The text with each span, or what of it is left of an overlap, replaced by its kind in brackets."""
+    return _replaced(text, spans, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
 
 def sanitised(docs: DataFrame, text: str = "text", length: str | None = "n_chars", **options) -> DataFrame:
-    """docs with every span of their texts generalised, and ``length`` (if there is such a column) brought up to date."""
-    found = find(docs, text, **options).withColumn("_spans", F.concat("base_spans", "term_spans")).where(F.size("_spans") > 0)
-    by_text = found.groupBy("text_key").agg(F.first("_spans").alias("_spans")).select(F.col("text_key.a").alias("_a"), F.col("text_key.b").alias("_b"), "_spans")
-    keyed = docs.withColumn("_a", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_b", F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(by_text, ["_a", "_b"], "left")
-    out = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), _generalised(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
-    replaced = {text: F.col("_new")} | ({length: F.when(F.col("_spans").isNotNull(), F.length("_new").cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
+    """docs with every span of their texts generalised, and ``length`` (if there is such a column) brought up to date. All columns stay, whatever their names."""
+    a, b, spans, new = free_names(docs, "_a", "_b", "_spans", "_new")
+    plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = find(plain, **options).withColumn("spans", F.concat("base_spans", "term_spans")).where(F.size("spans") > 0)
+    by_text = found.groupBy("text_key").agg(F.first("spans").alias(spans)).select(F.col("text_key.a").alias(a), F.col("text_key.b").alias(b), spans)
+    key = _key(F.coalesce(F.col(text), F.lit("")))
+    joined = docs.withColumns({a: key["a"], b: key["b"]}).join(written(by_text, "personal-spans"), [a, b], "left")
+    out = joined.withColumn(new, F.when(F.col(spans).isNotNull(), _generalised(F.col(text), F.col(spans))).otherwise(F.col(text)))
+    replaced = {text: F.col(new)} | ({length: F.when(F.col(spans).isNotNull(), F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
     return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
