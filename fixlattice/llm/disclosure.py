@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixlattice.llm.native import let, matches, running
-from fixlattice.llm.store import free_names, written
+from fixlattice.llm.store import free_names, result, scratch, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 2
@@ -192,10 +192,12 @@ def sanitised(docs: DataFrame, text: str = "text", length: str | None = "n_chars
     """docs with every span of their texts generalised, and ``length`` (if there is such a column) brought up to date. All columns stay, whatever their names."""
     a, b, spans, new = free_names(docs, "_a", "_b", "_spans", "_new")
     plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = find(plain, **options).withColumn("spans", F.concat("base_spans", "term_spans")).where(F.size("spans") > 0)
-    by_text = found.groupBy("text_key").agg(F.first("spans").alias(spans)).select(F.col("text_key.a").alias(a), F.col("text_key.b").alias(b), spans)
+    with scratch():
+        found = find(plain, **options).withColumn("spans", F.concat("base_spans", "term_spans")).where(F.size("spans") > 0)
+        by_text = found.groupBy("text_key").agg(F.first("spans").alias(spans)).select(F.col("text_key.a").alias(a), F.col("text_key.b").alias(b), spans)
+        by_text = result(by_text, "personal-spans")
     key = _key(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.withColumns({a: key["a"], b: key["b"]}).join(written(by_text, "personal-spans"), [a, b], "left")
+    joined = docs.withColumns({a: key["a"], b: key["b"]}).join(by_text, [a, b], "left")
     out = joined.withColumn(new, F.when(F.col(spans).isNotNull(), _generalised(F.col(text), F.col(spans))).otherwise(F.col(text)))
     replaced = {text: F.col(new)} | ({length: F.when(F.col(spans).isNotNull(), F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
     return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixlattice.llm.store import with_fields, written
+from fixlattice.llm.store import free_names, result, scratch, with_fields, written
 from fixlattice.llm.text import Memo, slices
 
 BUCKETS = 1 << 18
@@ -234,11 +234,16 @@ TARGETS = {"good": 0.85, "poor": 0.15}
 TOXIC = ("good-toxic", "poor-toxic")
 
 
-def take_nearest(docs: DataFrame, labels: DataFrame, domain: Column, without: tuple[str, ...] = TOXIC) -> DataFrame:
-    """docs, each row as many times as its rate's nearest whole number, at the tokens of what isn't likely in the domains of ``without``."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    rates = mix(keyed, labels, domain, None, without, columns=("_key",))[0]
-    # rows of one key are alike and have one rate
-    odd = rates.select("_key", F.floor(F.col("rate") + 0.5).cast("int").alias("_copies")).where("_copies <> 1").distinct()
-    out = keyed.join(odd, "_key", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return out.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), "_copies")).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+def take_nearest(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float] | None = None, without: tuple[str, ...] = TOXIC, budget: float = 1.0) -> DataFrame:
+    """docs, each row as many times as the whole number nearest to its rate (halves up); targets, without and budget as in ``mix``.
+
+    All columns stay, whatever their names."""
+    key, copies, copy = free_names(docs, "_key", "_copies", "_copy")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    with scratch():
+        rates = mix(keyed, labels, domain, targets, without, budget, columns=(key,))[0]
+        # rows of one key are alike and have one rate
+        odd = rates.select(key, F.floor(F.col("rate") + 0.5).cast("int").alias(copies)).where(F.col(copies) != 1).distinct()
+        odd = result(odd, "mixture-copies")
+    out = keyed.join(odd, key, "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    return out.withColumn(copy, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixlattice.llm.native import BLANK, let, words
-from fixlattice.llm.store import free_names, written
+from fixlattice.llm.store import free_names, result, scratch, written
 
 LINE_LIMIT = 50
 LEAST_LEFT = 0.2
@@ -107,8 +107,9 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", length:
     Verdict and lines follow from text and host, by whose hash rows are joined. All columns stay, whatever their names."""
     own, kept, cut, new = free_names(docs, "_key", "_kept", "_cut", "_new")
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))))
-    judged = _judged(marked.select(F.col(own).alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), "source", "text", **options)
-    changed = written(judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias(own)).agg(F.first("kept").alias(kept), F.first("cut").alias(cut)), "quality-changed")
+    with scratch():
+        judged = _judged(marked.select(F.col(own).alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), "source", "text", **options)
+        changed = result(judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias(own)).agg(F.first("kept").alias(kept), F.first("cut").alias(cut)), "quality-changed")
     out = marked.join(changed, own, "left").where(F.coalesce(kept, F.lit(True)))
     out = out.withColumn(new, F.when(F.col(cut).isNotNull(), _without(F.col(text), F.col(cut))).otherwise(F.col(text)))
     replaced = {text: F.col(new)} | ({length: F.when(F.col(cut).isNotNull(), F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})

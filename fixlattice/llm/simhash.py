@@ -7,19 +7,22 @@ the whole sequence is the one shingle; none: fingerprint zero.
 
 Links join distinct fingerprints at ``most`` or fewer differing bits. The search:
 
-1. The 64 bits are cut into bands. Each band has reference fingerprints (pivots:
-   runs of set bits inside the band, from none to all), and a fingerprint's distance to
-   them, counted within the band, is its row in the band's pivot table. Rows of
-   two fingerprints differ in some coordinate by at least as much as one unless the band is
-   equal. With ``most`` differing bits at least len(bands) - most bands differ in no coordinate,
-   so fingerprints meet under the hash of their rows for every such choice of bands.
-2. Where they meet, the distances to further pivots over all 64 bits are compared: a pair whose
-   largest coordinate difference exceeds ``most`` can't be a link (triangle inequality) and is discarded.
+1. The 64 bits are cut into bands, and REFERENCES reference fingerprints are drawn by a hash. A fingerprint's
+   distances to them, counted within a band, are its coordinates there. By the triangle inequality coordinates of two fingerprints in a band
+   differ by at most their distance in it, so with ``most`` differing bits all coordinates agree in at least len(bands) - most bands: the
+   coordinates of every such choice of bands are a meeting place. More fingerprints get more and longer
+   choices (``bands_for``), so that places stay small; links are the same for any bands.
+2. Where they meet, distances to PIVOTS references over all 64 bits are compared, for every pair: one whose
+   largest coordinate difference exceeds ``most`` can't be a link and is discarded.
 3. Survivors are verified by their true distance.
 
 A meeting place is read as a sorted stream: what its members link is kept as a
 spanning forest, never as all pairs. One with more than HOT members is worked on in
 blocks of members, each pair of blocks a task's work of its own, so the members of no place wait for one task.
+
+Null and blank texts: fingerprint zero, linked like any other. Very long texts are read whole. Ties (a bit set in
+exactly half the hashes) leave the bit unset. Repeated rows are one node. Extra columns, whatever their names, are carried along by
+``keep_one`` and ignored by ``near_duplicates``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,30 +36,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fixlattice.llm import near_copies
 from fixlattice.llm.components import components
-from fixlattice.llm.store import with_fields, written
+from fixlattice.llm.store import free_names, result, scratch, with_fields, written
 from fixlattice.llm.text import slices, words_of
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
-#: Seven bands, of which four may differ: three meet.
-BANDS = (10, 9, 9, 9, 9, 9, 9)
+#: References of each band's table, and of the table over all 64 bits.
+REFERENCES = 8
 PIVOTS = 24
 #: Members of a meeting place beyond which it is worked on in blocks of BLOCK.
 HOT = 16_384
 BLOCK = 4_096
 
 
-def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
+def bands_for(n: int, most: int = MOST_BITS) -> tuple[int, ...]:
+    """Widths of bands such that the choices of all but ``most`` of them hold three bits more than n fingerprints need."""
+    count = most + 2
+    while (count - most) * 64 / count < max(1, n).bit_length() + 3 and count < 2 * most + 8:
+        count += 1
+    return tuple(64 // count + (k < 64 % count) for k in range(count))
+
+
+def shingle_hashes(text: bytes, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, in order."""
     words = words_of(text)
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     k = min(shingle_words, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k:])], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k:])], np.uint64)
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The fingerprint of hashes: bits that are set in over half of them."""
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         part = h[at : at + 8192]
@@ -64,6 +83,10 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
+    return bits_of(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, text: str = "text", name: str = "fp") -> DataFrame:
     """docs without its text, with the LONG whose bits are the fingerprint of the whole text (null: no words). No shuffle."""
     kept = docs.drop(name)
@@ -84,14 +107,14 @@ def _bands(widths: tuple[int, ...]) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], widths))
 
 
-def band_rows(fps: np.ndarray, widths: tuple[int, ...] = BANDS) -> list[np.ndarray]:
-    """The pivot table of each band: distances, within the band, to the runs of its first 0, 1, ... bits, as one integer a row."""
+def band_rows(fps: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The pivot table of each band: distances within the band to REFERENCES references, a byte each, as one integer a row."""
     out = []
     for low, width in _bands(widths):
-        own = (fps >> np.uint64(low)) & np.uint64((1 << width) - 1)
-        row = np.zeros(len(fps), np.uint64)
-        for run in range(width + 1):
-            row = row * np.uint64(width + 1) + np.bitwise_count(own ^ np.uint64((1 << run) - 1)).astype(np.uint64)
+        mask = np.uint64((1 << width) - 1)
+        own, row = (fps >> np.uint64(low)) & mask, np.zeros(len(fps), np.uint64)
+        for reference in pivots(REFERENCES):
+            row = (row << np.uint64(8)) | np.bitwise_count(own ^ ((reference >> np.uint64(low)) & mask)).astype(np.uint64)
         out.append(row)
     return out
 
@@ -109,8 +132,9 @@ def _places(most: int, widths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.asarray(batch.column("fp")).view(np.uint64)
-            for at in range(0, len(fps), 20_000):
-                own = fps[at : at + 20_000]
+            step = max(1, 600_000 // len(choices))
+            for at in range(0, len(fps), step):
+                own = fps[at : at + step]
                 rows = [_mix(r ^ np.uint64((k + 1) << 58)) for k, r in enumerate(band_rows(own, widths))]
                 keys = []
                 for k, choice in enumerate(choices):
@@ -133,21 +157,27 @@ def pivot_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
 
 
-def linked(a: np.ndarray, b: np.ndarray, most: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs of a and b at ``most`` or fewer differing bits, by way of their pivot tables."""
+def by_pivots(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, references: np.ndarray, tally: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a[left], b[right]) those at ``most`` or fewer differing bits, by way of their pivot tables.
+
+    tally: gets [pairs, left by the coordinates, links] of the call."""
     ta, tb = pivot_table(a, references), pivot_table(b, references)
-    left = np.repeat(np.arange(len(a)), len(b))
-    right = np.tile(np.arange(len(b)), len(a))
+    seen = len(left)
     for k in range(len(references)):
-        # what one more coordinate can't discard is kept for the next, until few are left
         near = np.abs(ta[left, k] - tb[right, k]) <= most
         left, right = left[near], right[near]
-        if len(left) <= len(a) + len(b):
-            break
+    held = len(left)
     near = np.bitwise_count(a[left] ^ b[right]) <= most
+    if tally is not None:
+        tally.append((seen, held, int(near.sum())))
     return left[near], right[near]
 
 
+def linked(a: np.ndarray, b: np.ndarray, most: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of a and b at ``most`` or fewer differing bits."""
+    return by_pivots(a, b, np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)), most, references)
+
+
 class _Forest:
     """Trees over n members; a link is kept only where it joins two trees yet apart."""
 
@@ -175,8 +205,6 @@ class _Forest:
 
 def _within(fps: np.ndarray, most: int, references: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among ascending fingerprints, block by block."""
-    if len(fps) == 2:
-        return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= most else []
     forest, step, n = _Forest(len(fps)), 512, len(fps)
     for i in range(0, n, step):
         for j in range(i, n, step):
@@ -208,10 +236,10 @@ def _links_of_places(most: int):
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(place)]])
             size = ends - starts
             out = []
-            # places of two, all at once
+            # the pairs of all places of two at once
             two = starts[size == 2]
-            near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= most
-            out += list(zip(fps[two[near]].tolist(), fps[two[near] + 1].tolist()))
+            own, other = by_pivots(fps, fps, two, two + 1, most, references)
+            out += list(zip(fps[own].tolist(), fps[other].tolist()))
             for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
                 own = fps[a:b]
                 out += [(int(own[x]), int(own[y])) for x, y in _within(own, most, references)]
@@ -246,12 +274,14 @@ def _links_of_blocks(most: int):
     return run
 
 
-def links(distinct: DataFrame, most: int = MOST_BITS, widths: tuple[int, ...] = BANDS) -> DataFrame:
+def links(distinct: DataFrame, most: int = MOST_BITS, widths: tuple[int, ...] | None = None) -> DataFrame:
     """(u, v): links of distinct fingerprints (fp LONG) that span every component at ``most`` or fewer differing bits."""
+    distinct = distinct.select("fp")
+    widths = widths or bands_for(distinct.count(), most)
     if sum(widths) != 64 or len(widths) <= most:
         raise ValueError("bands must cover 64 bits and outnumber the differing bits")
     spark = distinct.sparkSession
-    places = written(distinct.select("fp").mapInArrow(_places(most, widths), "place long, fp long"), "places")
+    places = written(distinct.mapInArrow(_places(most, widths), "place long, fp long"), "places")
     met = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     hot = written(met.where(F.col("n") > HOT), "hot-places")
     cold = places
@@ -272,40 +302,68 @@ def links(distinct: DataFrame, most: int = MOST_BITS, widths: tuple[int, ...] =
     return out
 
 
-def _classes(docs: DataFrame, key: str, text: str, shingle_words: int, most: int, widths: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs with their fingerprint, without text; (fp, least, root) of each fingerprint: its least key and the least fingerprint that links reach)."""
-    marked = written(fingerprints(docs, shingle_words, text), "simhash")
-    nodes = written(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
-    joined = components(links(nodes, most, widths), "simhash-links")  # least fingerprint of the component
-    return marked, nodes.join(joined.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _least(key: str, row: str):
+    """What tells nodes apart and orders them: the key, nulls last, then the row."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+
 
+def _rooted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fp, root): the least node that pairs (u, v) of fingerprints reach from each of nodes (fp, node)."""
+    ends = pairs.join(nodes.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    joined = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-links")
+    return nodes.join(joined.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, most: int = MOST_BITS, widths: tuple[int, ...] = BANDS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, most: int = MOST_BITS, widths: tuple[int, ...] | None = None) -> DataFrame:
     """(key, fp, component_id) for every row of docs: its fingerprint and the least key that links reach from it.
 
     Rows of equal fingerprint (equal texts among them) are one node, so copies are never paired. Null keys take part
     but are no representatives unless a component has no other. Empty table: empty result.
     """
-    marked, rooted = _classes(docs.select(F.col(key), F.col(text).alias("text")), key, "text", shingle_words, most, widths)
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "component_id")
+    own = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    marked = written(fingerprints(own, shingle_words), "simhash")
+    nodes = written(marked.groupBy("fp").agg(F.min(_least("key", "row")).alias("node")), "simhash-nodes")
+    classes = _rooted(nodes, links(nodes, most, widths))
     # one fingerprint may hold very many rows: the join keeps them where adaptive execution splits them
-    return marked.join(classes, "fp", "left").select(key, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, most: int = MOST_BITS, widths: tuple[int, ...] = BANDS) -> DataFrame:
-    """docs with one row of each component: that of the least key (nulls last), then of the least text hash.
-
-    Rows are told apart by key and text, so texts that share a key, or have none, are judged each on its own. Of repeated rows one stays."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    same = {"_null": F.col(key).isNull(), "_id": F.coalesce(F.col(key).cast("string"), F.lit("")), "_a": F.xxhash64(value), "_b": F.crc32(value)}
-    # the order of keys of any type; the strings only tell rows apart
-    first = F.struct(F.col("_null"), F.col("_key"), F.col("_a"), F.col("_b"), F.col("_id"))
-    own = docs.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in same.items()], F.col(text).alias("text"))
-    marked, rooted = _classes(own, "_key", "text", shingle_words, most, widths)
-    nodes = marked.groupBy("fp").agg(F.min(first).alias("first")).join(rooted.select("fp", "root"), "fp")
-    own = nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("_key")
-    kept = docs.withColumns(same).join(own, list(same), "left_semi")
-    # repeated rows: one of them
-    rest = [F.xxhash64(c) for c in docs.columns]
-    return kept.groupBy(*same).agg(F.min_by(F.struct(*docs.columns), F.struct(*rest)).alias("_row")).select("_row.*")
+    return marked.join(classes, "fp", "left").select(F.col("key").alias(key), "fp", F.col("root.key").alias("component_id"))
+
+
+def _marks(shingle_words: int):
+    """Fingerprint, sketch and meeting places of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fps, sketches, places = [], [], []
+                for x in part.column("text").cast(pa.binary()).to_pylist():
+                    h = shingle_hashes(x or b"", shingle_words)
+                    fps.append(bits_of(h))
+                    for into, one in zip((sketches, places), near_copies.sketch_and_places(h)):
+                        into.append(one)
+                new = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(places, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "node", "copy")), *new], names=["key", "node", "copy", "fp", "sketch", "places"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = near_copies.SIMILARITY, most: int = MOST_BITS, widths: tuple[int, ...] | None = None) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least key (nulls last), then the earliest.
+
+    Rows are linked by SimHash fingerprints at ``most`` or fewer differing bits, and, for near copies outside that
+    radius, by sets of shingles whose Jaccard similarity is ``similarity`` or more (``near_copies``). Each input row gets an identity
+    in a written table, so rows without a key, or of one key, are judged each on its own. Texts of no words are alike. All columns stay, whatever their names.
+    """
+    (row,) = free_names(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    with scratch():
+        own = numbered.select(F.col(key).alias("key"), F.col(row).alias("node"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy"), F.col(text).alias("text"))
+        schema = with_fields(own.drop("text").schema, "fp long, sketch binary, places array<long>")
+        marked = written(own.mapInArrow(_marks(shingle_words), schema), "near-marks")
+        nodes = written(marked.groupBy("fp").agg(F.min(_least("key", "node")).alias("node")), "near-nodes")
+        alike = near_copies.links(marked, similarity)
+        fp_of = marked.select("node", "fp")
+        alike = alike.join(fp_of.select(F.col("node").alias("u"), F.col("fp").alias("a")), "u").join(fp_of.select(F.col("node").alias("v"), F.col("fp").alias("b")), "v")
+        pairs = links(nodes, most, widths).union(alike.where("a <> b").select("a", "b"))
+        kept = _rooted(nodes, pairs).select("fp", F.col("root.row").alias("kept"))
+        gone = result(marked.select("fp", F.col("node").alias(row)).join(kept, "fp").where(F.col(row) != F.col("kept")).select(row), "near-gone")
+    return numbered.join(gone, row, "left_anti").drop(row)

@@ -9,19 +9,25 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
+_scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir of the session. Where it is unset: a folder of our own on a single machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "root" not in _own:
         _own["root"] = "file://" + tempfile.mkdtemp(prefix="fixlattice-")
     return _own["root"]
@@ -38,6 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if (held := _scratch.get()) is not None:
+        held.append(out)
     return out
 
 
@@ -49,6 +57,31 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list]:
+    """Tables of ``written`` that are made inside are deleted at the end; those of ``result`` go to the scratch around it, if any."""
+    held: list[DataFrame] = []
+    token = _scratch.set(held)
+    outer = None if token.old_value is token.MISSING else token.old_value
+    try:
+        yield held
+    finally:
+        _scratch.reset(token)
+        for df in held:
+            if not getattr(df, "_outlives", False):
+                discard(df)
+            elif outer is not None:
+                df._outlives = False
+                outer.append(df)
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table that outlives the scratch it is made in."""
+    out = written(df, name)
+    out._outlives = True
+    return out
+
+
 def _target(path: str):
     """(pyarrow file system, path in it); shared folders are reached by the scheme of their URI."""
     from pyarrow import fs

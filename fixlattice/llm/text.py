@@ -52,13 +52,11 @@ class Memo(dict):
 
 
 def tokenizer(path: str):
-    """The public tokenizer at path, with the strings of special tokens read as ordinary text."""
+    """The public tokenizer at path."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
 
 
 # A space after a character that is not white space always begins a pre-token of the byte-level pattern,
@@ -126,7 +124,8 @@ class PieceEncoder:
     """Encodes texts piece by piece through a memo; ids are those of tokenizer.encode(text, add_special_tokens=False).
 
     A piece of plain Latin characters is cut into pre-tokens by the vocabulary's pattern, and each is given to the
-    tokenizer's model, once. Any other piece is given to the tokenizer whole.
+    tokenizer's model, once. Any other piece is given to the tokenizer whole, and so is a text that may hold the
+    string of a special token.
     """
 
     def __init__(self, path: str, byte_level: bool, dtype: str = "<u2"):
@@ -136,6 +135,10 @@ class PieceEncoder:
         self.dtype, self.byte_level, self.model = np.dtype(dtype), byte_level, self.tok.model
         self.cut = regex.compile(_BYTE_LEVEL_PATTERN if byte_level else _WORD_LEVEL_PATTERN).findall
         self.letters = _byte_letters()
+        # what the strings of all special tokens begin with: a text without it holds none
+        special = list(self.tok.get_added_tokens_decoder().values())
+        self.has_special = bool(special)
+        self.special = b"" if any(t.normalized for t in special) else os.path.commonprefix([t.content for t in special]).encode()
         self.memo, self.pre_tokens = Generations(self._after_space if byte_level else self._word), Generations(self._pre_token)
         # a byte-level token is written with one character for each of its bytes
         self.widths = np.zeros(self.tok.get_vocab_size(), np.int64)
@@ -168,6 +171,8 @@ class PieceEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian bytes of the encoder's dtype."""
+        if self.has_special and self.special in text:
+            return np.asarray(self.tok.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
         if not self.byte_level:
             return b"".join(map(self.memo.__getitem__, text.split()))
         head, rest = byte_level_pieces(text)

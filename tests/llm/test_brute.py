@@ -96,8 +96,57 @@ def test_links_of_dense_groups_and_hot_places(spark, monkeypatch):
     assert groups(simhash.links(df)) == wanted
 
 
+def test_pivot_coordinates_never_discard_a_link():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 400, dtype=np.int64).view(np.uint64)
+    b = a.copy()
+    for i in range(400):
+        for bit in rng.choice(64, rng.integers(0, 9), replace=False):
+            b[i] ^= np.uint64(1 << int(bit))
+    near = np.bitwise_count(a ^ b) <= 4
+    tally = []
+    left, _ = simhash.by_pivots(a, b, np.arange(400), np.arange(400), 4, simhash.pivots(), tally)
+    assert left.tolist() == np.flatnonzero(near).tolist() and tally[0][0] == 400 and tally[0][1] < 400
+    for n in (10, 10**6, 10**8, 10**11):
+        widths = simhash.bands_for(n)
+        rows = [simhash.band_rows(x, widths) for x in (a, b)]
+        same = sum((p == q).astype(int) for p, q in zip(*rows))
+        assert sum(widths) == 64 and (same[near] >= len(widths) - 4).all()
+
+
+def test_sketches_against_sets():
+    from fixlattice.llm import near_copies
+
+    rng = random.Random(9)
+    for size in (3, 60, 200, 900):
+        for share in (0.0, 0.05, 0.5):
+            a = rng.sample(range(1 << 62), size)
+            b = a[: size - int(size * share)] + rng.sample(range(1 << 62), int(size * share))
+            truth = len(set(a) & set(b)) / len(set(a) | set(b))
+            sketches = [np.frombuffer(near_copies.sketch_and_places(np.array(x, np.uint64) << np.uint64(1))[0], np.uint32) for x in (a, b)]
+            if abs(truth - 0.8) > 0.1 or size < 200:
+                assert near_copies.alike(*sketches) == (truth >= 0.8)
+
+
+def test_near_copies_in_large_places(spark, monkeypatch):
+    from fixlattice.llm import near_copies
+
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(w if rng.random() > 0.008 else f"e{i}" for w in base) for i in range(90)] + [" ".join(rng.choices(base, k=40)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = sorted(r.doc_id for r in simhash.keep_one(df).collect())
+    rows = df.collect()
+    from tests.llm.test_pipeline import _kept_by_brute_force
+
+    assert wanted == sorted(_kept_by_brute_force(rows)) and len(wanted) < 60
+    monkeypatch.setattr(near_copies, "HOT", 8)
+    monkeypatch.setattr(near_copies, "BLOCK", 5)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == wanted
+
+
 def test_encoders_equal_the_library(texts):
-    odd = ["", "  a  b ", "\n\n x\t y \n z", "it's we'll 'S İstanbul ΣΑΣ ß é é ́x", "a b　c\x1cd", "<|endoftext|> x<|startoftext|>", "😀 日本語 123 4567", "x " * 50 + "end \n", "Foo. bar, BAZ! ǅ"]
+    odd = ["", "  a  b ", "\n\n x\t y \n z", "it's we'll 'S İstanbul ΣΑΣ ß é é ́x", "a b　c\x1cd", "<|endoftext|> x<|startoftext|>", "a <|endoftext|> b <|ENDOFTEXT|> <| c", "😀 日本語 123 4567", "x " * 50 + "end \n", "Foo. bar, BAZ! ǅ"]
     for name, level in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         enc = PieceEncoder(public_vocabulary(name), level)
         for t in [*odd, *texts.values()]:

@@ -82,6 +82,21 @@ def test_rows_without_an_id_or_of_one_id_are_told_apart(spark):
     rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(5)), (4, text(6)), (5, text(6)), (None, text(6))]
     kept = sorted(simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.text)
     assert [(r.doc_id, r.text) for r in kept] == [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (4, text(6))]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 0), (0, 0), (0, 0), (0, 4), (4, 4), (5, 4), (5, 5), (5, 5), (6, 5)]
+
+
+def test_columns_called_as_operators_call_theirs_stay_as_they_are(spark):
+    names = ["_key", "_a", "_b", "_keep", "_kept", "_cut", "_new", "_row", "_copies", "_copy", "_spans", "_TEXT", "Node"]
+    rows = [(i, f"{' '.join(f'w{i}x{k}' for k in range(30))}\nmail a{i}@b.org to all", "h", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("lang string, ", "").replace(" n_chars long", " n_chars long"))
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for stage in (quality.keep_good, simhash.keep_one, disclosure.sanitised, lambda d: mixing.take_nearest(d, labels, mixing.label_domain())):
+        made = stage(docs)
+        assert made.columns == docs.columns
+        got = made.collect()
+        assert len(got) == 60 and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
 
 
 def test_packing(docs, none):
