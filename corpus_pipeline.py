@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fixlattice.llm import disclosure, mixing, packing, quality, simhash
-from fixlattice.llm.store import written
+from fixlattice.llm.store import result, scratch
 from fixlattice.llm.text import public_vocabulary
 
 
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the least doc_id."""
+    """One document of each group of near-duplicates stays, that of the least doc_id: SimHash of five words within 4 bits, or Jaccard similarity of 0.8."""
     return simhash.keep_one(docs)
 
 
@@ -54,8 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents of sf_dir, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, "pipeline-" + name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch():
+            docs = result(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
