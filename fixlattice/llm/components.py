@@ -28,10 +28,10 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(u, root): the least node reachable, for every node of the links (u, v) that isn't itself its root."""
-    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, narrow=True)
     digest = None
     while True:
-        after = written(_star(_star(now, True), False), name)
+        after = written(_star(_star(now, True), False), name, narrow=True)
         # every node has one link, to a node that has none downwards: the stars are final when nothing changes
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)

@@ -108,7 +108,7 @@ def disclosing(base: DataFrame, support: int = SUPPORT, threshold: float = THRES
     # texts of entities that occur often enough, with those entities alone
     told = held.select("text_key", "copies", "terms", F.explode("entities").alias("entity")).join(known, "entity")
     pairs = told.select("entity", "n_e", "copies", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = written(pairs, "personal-pairs")
+    pairs = written(pairs, "personal-pairs", narrow=True)
     frequency = base.select(F.explode("terms").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     content = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     left = F.log(F.col("n_t") / F.col("n_te"))  # IC - PMI
@@ -141,13 +141,13 @@ def find(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         "personal-data",
     )
     found = [*[c for c in base.columns if c not in ("entities", "terms")]]
-    revealing = written(disclosing(base, **options).select("term").distinct(), "personal-terms")
+    revealing = written(disclosing(base, **options).select("term").distinct(), "personal-terms", narrow=True)
     if revealing.isEmpty():
         return base.select(*found, F.array().cast(_SPANS).alias("term_spans"))
     # the texts that hold them, once each; the written tables' sizes decide what is broadcast
     texts = base.select("text_key", "base_spans", F.explode("terms").alias("term")).join(revealing, "term")
     texts = texts.groupBy("text_key").agg(F.first("base_spans").alias("spans"), F.collect_set("term").alias("told"))
-    texts = written(texts.select(F.col("text_key.a").alias("a"), F.col("text_key.b").alias("b"), "spans", "told"), "personal-texts")
+    texts = written(texts.select(F.col("text_key.a").alias("a"), F.col("text_key.b").alias("b"), "spans", "told"), "personal-texts", narrow=True)
     placed = own.select(_key(F.col("text")).alias("k"), "text").select("k.a", "k.b", "text").join(texts, ["a", "b"])
     words = F.filter(
         matches(F.col("text"), r"\p{L}++"),
@@ -195,7 +195,7 @@ def sanitised(docs: DataFrame, text: str = "text", length: str | None = "n_chars
     with scratch():
         found = find(plain, **options).withColumn("spans", F.concat("base_spans", "term_spans")).where(F.size("spans") > 0)
         by_text = found.groupBy("text_key").agg(F.first("spans").alias(spans)).select(F.col("text_key.a").alias(a), F.col("text_key.b").alias(b), spans)
-        by_text = result(by_text, "personal-spans")
+        by_text = result(by_text, "personal-spans", narrow=True)
     key = _key(F.coalesce(F.col(text), F.lit("")))
     joined = docs.withColumns({a: key["a"], b: key["b"]}).join(by_text, [a, b], "left")
     out = joined.withColumn(new, F.when(F.col(spans).isNotNull(), _generalised(F.col(text), F.col(spans))).otherwise(F.col(text)))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixlattice.llm.store import free_names, result, scratch, with_fields, written
-from fixlattice.llm.text import Memo, slices
+from fixlattice.llm.text import Memo, release, slices
 
 BUCKETS = 1 << 18
 DENSE = 6
@@ -69,26 +69,34 @@ def fit_logistic(rows: list[np.ndarray], dense: np.ndarray, labels: np.ndarray,
         chosen |= (np.abs(a - b) > SIGNIFICANT * error) & (everywhere >= 5)
     at = np.full(BUCKETS, -1)
     at[chosen] = np.arange(chosen.sum())
-    x = np.zeros((n, int(chosen.sum()) + DENSE), np.float32)
+    # the words as (owner, column) pairs: memory grows with the words of the sample, not with samples times words
     used = chosen[columns]
-    x[owner[used], at[columns[used]]] = 1
-    x[:, chosen.sum() :] = dense
-    w, bias = np.zeros((x.shape[1], classes)), np.zeros(classes)
+    owner, columns, m = owner[used], at[columns[used]], int(chosen.sum())
+    by_column = np.argsort(columns, kind="stable")
+    words, word_starts = np.unique(columns[by_column], return_index=True)
+    owners, owner_starts = np.unique(owner, return_index=True)
+    w, bias = np.zeros((m + DENSE, classes)), np.zeros(classes)
     truth = np.eye(classes)[labels]
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros(classes), np.zeros(classes)]
     for step in range(1, steps + 1):
-        scores = x @ w.astype(np.float32) + bias
+        scores = dense @ w[m:] + bias
+        if len(owners):
+            scores[owners] += np.add.reduceat(w[columns], owner_starts)
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        error = ((p - truth) / n).astype(np.float32)
-        for own, g, m, v in ((w, x.T @ error + l2 * w, moments[0], moments[1]), (bias, error.sum(axis=0), moments[2], moments[3])):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g**2 - v)
-            own -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        error = (p - truth) / n
+        gradient = l2 * w
+        gradient[m:] += dense.T @ error
+        if len(words):
+            gradient[words] += np.add.reduceat(error[owner[by_column]], word_starts)
+        for own, g, first, second in ((w, gradient, moments[0], moments[1]), (bias, error.sum(axis=0), moments[2], moments[3])):
+            first += 0.1 * (g - first)
+            second += 0.01 * (g**2 - second)
+            own -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     share = np.bincount(labels, minlength=classes) / n
     weights = np.zeros((BUCKETS + DENSE, classes))
-    weights[:BUCKETS][chosen] = w[: chosen.sum()]
-    weights[BUCKETS:] = w[chosen.sum() :]
+    weights[:BUCKETS][chosen] = w[:m]
+    weights[BUCKETS:] = w[m:]
     return weights, bias + np.log(prior) - np.log(share)
 
 
@@ -130,6 +138,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, *columns:
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         w, b = model.value
         for batch in batches:
             for part in slices(batch, "_text"):
@@ -244,6 +253,6 @@ def take_nearest(docs: DataFrame, labels: DataFrame, domain: Column, targets: di
         rates = mix(keyed, labels, domain, targets, without, budget, columns=(key,))[0]
         # rows of one key are alike and have one rate
         odd = rates.select(key, F.floor(F.col("rate") + 0.5).cast("int").alias(copies)).where(F.col(copies) != 1).distinct()
-        odd = result(odd, "mixture-copies")
+        odd = result(odd, "mixture-copies", narrow=True)
     out = keyed.join(odd, key, "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
     return out.withColumn(copy, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)

@@ -149,12 +149,10 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     spark = texts.sparkSession
     met = texts.select("node", "copy", F.explode("places").alias("place")).groupBy("place", "copy").agg(F.min("node").alias("node"))
-    met = written(met.select("place", "node"), "near-places")
+    met = written(met.select("place", "node"), "near-places", narrow=True)
     sizes = met.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(met.join(sizes, "place").select("place", "n", "node"), "near-shared")
-    wanted = shared.select("node").distinct()
-    own = written(texts.select("node", "sketch").join(wanted, "node"), "near-sketches")
-    placed = shared.join(own, "node")
+    shared = written(met.join(sizes, "place").select("place", "n", "node"), "near-shared", narrow=True)
+    placed = shared.join(texts.select("node", "sketch"), "node")
     cold = placed.where(F.col("n") <= HOT).select("place", "node", "sketch")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = cold.repartition(parts, "place").sortWithinPartitions("place", "node").mapInArrow(_of_places(similarity), LINK)

@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fixlattice.llm.store import with_fields, written
 from fixlattice.llm.text import encoder, slices
 
 CAPACITY = 4096
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A bin with less room than this is a sequence as it is.
 NEARLY_FULL = 8
 FAN = 8
@@ -78,14 +80,14 @@ def _pieces(path: str, byte_level: bool, end_id: int, capacity: int):
 def cut(docs: DataFrame, path: str, byte_level: bool, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of docs (doc_id, text). No shuffle."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(_pieces(path, byte_level, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return own.mapInArrow(_pieces(path, byte_level, end_id, capacity), PIECE)
 
 
-def _local(capacity: int):
+def _local(capacity: int, before=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One partition: every piece with its bin and offset; ``used`` on one piece of each bin."""
         node = TaskContext.get().partitionId()
-        held = list(batches)
+        held = list(before(batches) if before else batches)
         if not held:
             return
         sizes = [x for b in held for x in b.column("length").to_pylist()]
@@ -129,8 +131,14 @@ def _round(capacity: int, hosts: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with ``length``) with sequence_id and offset; pieces must be a written table, read the same way each time."""
-    placed = written(pieces.mapInArrow(_local(capacity), with_fields(pieces.schema, "bin long, at long, node int, used long")), "packed-locally")
+    """pieces (with ``length``) with sequence_id and offset."""
+    return _pack(pieces, pieces.schema, None, capacity)
+
+
+def _pack(df: DataFrame, schema: StructType, before, capacity: int) -> DataFrame:
+    """The pieces of the schema that ``before`` (None: nothing) makes of a partition's batches, packed."""
+    names = schema.names
+    placed = written(df.mapInArrow(_local(capacity, before), with_fields(schema, "bin long, at long, node int, used long")), "packed-locally")
     bins = placed.where("used is not null").select("node", "bin", "used")
     nodes = (placed.agg(F.max("node")).first()[0] or 0) + 1
     smallest = F.col("used") <= capacity // 2
@@ -140,7 +148,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while nodes > 1:
         nodes = -(-nodes // FAN)
         grouped = items.withColumn("parent", (F.col("node") / FAN).cast("int"))
-        done = written(grouped.groupBy("parent").applyInPandas(_round(capacity, max(nodes * FAN, FAN)), "bin long, to long, by long, node int, used long, up boolean"), "packed-round")
+        done = written(grouped.groupBy("parent").applyInPandas(_round(capacity, max(nodes * FAN, FAN)), "bin long, to long, by long, node int, used long, up boolean"), "packed-round", narrow=True)
         step = done.select("bin", "to", "by")
         if moves is None:
             moves = step
@@ -148,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             later = step.select(F.col("bin").alias("to"), F.col("to").alias("_to"), F.col("by").alias("_by"))
             moves = moves.join(later, "to", "left").select("bin", F.coalesce("_to", "to").alias("to"), (F.col("by") + F.coalesce("_by", F.lit(0))).alias("by"))
         items = done.where("up and bin = to").select("node", "bin", "used")
-    out = [F.col(c) for c in pieces.columns]
+    out = [F.col(c) for c in names]
     if moves is None:
         return placed.select(*out, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     moves = moves.where("bin <> to or by <> 0")
@@ -163,4 +171,5 @@ def _window(node: str, smallest):
 
 def pack_documents(docs: DataFrame, path: str, byte_level: bool = False, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of docs."""
-    return pack(written(cut(docs, path, byte_level, end_id, capacity), "pieces"), capacity)
+    # cut and packed locally in one pass: a partition's pieces are a few numbers each
+    return _pack(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), StructType.fromDDL(PIECE), _pieces(path, byte_level, end_id, capacity), capacity)

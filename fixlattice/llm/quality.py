@@ -74,7 +74,7 @@ def _frequent(base: DataFrame, line_limit: int, copies_once: bool) -> DataFrame:
     held = base.select("host", "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
     if copies_once:
         held = held.distinct()
-    return written(held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key"), "quality-lines")
+    return written(held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "key"), "quality-lines", narrow=True)
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", line_limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT, copies_once: bool = False) -> DataFrame:
@@ -109,7 +109,7 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", length:
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))))
     with scratch():
         judged = _judged(marked.select(F.col(own).alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), "source", "text", **options)
-        changed = result(judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias(own)).agg(F.first("kept").alias(kept), F.first("cut").alias(cut)), "quality-changed")
+        changed = result(judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias(own)).agg(F.first("kept").alias(kept), F.first("cut").alias(cut)), "quality-changed", narrow=True)
     out = marked.join(changed, own, "left").where(F.coalesce(kept, F.lit(True)))
     out = out.withColumn(new, F.when(F.col(cut).isNotNull(), _without(F.col(text), F.col(cut))).otherwise(F.col(text)))
     replaced = {text: F.col(new)} | ({length: F.when(F.col(cut).isNotNull(), F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,27 @@ from pyspark.sql import functions as F
 SAMPLES_PER_RANGE = 64
 
 
-def count_at_or_below(key: Column, bounds: list) -> Column:
+#: Ranges of one pass at most; beyond them ranges grow with the input, and tasks stream what a range holds.
+MOST_RANGES = 1 << 16
+
+
+def long_array(values: list[int]) -> Column:
+    """An array<bigint> of numbers that is one constant of the plan, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def count_at_or_below(key: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are <= key (0 for a null key): a binary search in SQL functions."""
-    if not bounds:
+    held = long_array(bounds)
+    return count_where(len(bounds), lambda i: F.get(held, i) <= key)
+
+
+def count_where(n: int, below: Callable[[Column], Column]) -> Column:
+    """How many of n ascending bounds hold ``below``, which no bound does after the first that doesn't."""
+    if not n:
         return F.lit(0)
-    n = len(bounds)
-    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
-    held = F.array(*[F.lit(b) for b in bounds])
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) <= key), at + step).otherwise(at),
-    )
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & below(at + step - 1), at + step).otherwise(at))
 
 
 def weighted_sample(df: DataFrame, keys: list[str], weight: str, total: int, wanted: int) -> DataFrame:
@@ -55,17 +66,18 @@ def weighted_splitters(df: DataFrame, key: str, weight: str, ranges: int, total:
     return out
 
 
-def even_keys(spark: SparkSession, parts: int) -> list[int]:
-    """For each partition number b of repartition(parts, column), a LONG value that hash partitioning sends to b."""
+def even_slot(spark: SparkSession, bucket: Column, parts: int) -> Column:
+    """A LONG column by which repartition(parts, column) sends bucket b, of parts buckets, to a partition of its own."""
     found: dict[int, int] = {}
     n = parts * 16
     while len(found) < parts:
         rows = spark.range(n).select(F.pmod(F.hash("id"), F.lit(parts)).alias("b"), "id").groupBy("b").agg(F.min("id").alias("id")).collect()
         found = {r.b: r.id for r in rows}
         n *= 4
-    return [found[b] for b in range(parts)]
+    return F.get(long_array([found[b] for b in range(parts)]), bucket)
 
 
 def range_partitions(spark: SparkSession, total_bytes: int, each: int = 24 << 20) -> int:
-    """As many ranges as the session's shuffle partitions, and more where a range would exceed ``each`` bytes."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // each))
+    """As many ranges as the session's shuffle partitions, and more, up to MOST_RANGES, where a range would exceed ``each`` bytes."""
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, shuffled, min(MOST_RANGES, -(-int(total_bytes) // each)))

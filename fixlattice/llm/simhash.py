@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from fixlattice.llm import near_copies
 from fixlattice.llm.components import components
 from fixlattice.llm.store import free_names, result, scratch, with_fields, written
-from fixlattice.llm.text import slices, words_of
+from fixlattice.llm.text import release, slices, words_of
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -283,7 +283,7 @@ def links(distinct: DataFrame, most: int = MOST_BITS, widths: tuple[int, ...] |
     spark = distinct.sparkSession
     places = written(distinct.mapInArrow(_places(most, widths), "place long, fp long"), "places")
     met = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    hot = written(met.where(F.col("n") > HOT), "hot-places")
+    hot = written(met.where(F.col("n") > HOT), "hot-places", narrow=True)
     cold = places
     if has_hot := not hot.isEmpty():
         cold = places.join(hot, "place", "left_anti")
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     own = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     marked = written(fingerprints(own, shingle_words), "simhash")
-    nodes = written(marked.groupBy("fp").agg(F.min(_least("key", "row")).alias("node")), "simhash-nodes")
+    nodes = written(marked.groupBy("fp").agg(F.min(_least("key", "row")).alias("node")), "simhash-nodes", narrow=True)
     classes = _rooted(nodes, links(nodes, most, widths))
     # one fingerprint may hold very many rows: the join keeps them where adaptive execution splits them
     return marked.join(classes, "fp", "left").select(F.col("key").alias(key), "fp", F.col("root.key").alias("component_id"))
@@ -332,6 +332,7 @@ def _marks(shingle_words: int):
     """Fingerprint, sketch and meeting places of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 fps, sketches, places = [], [], []
@@ -359,11 +360,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_w
         own = numbered.select(F.col(key).alias("key"), F.col(row).alias("node"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy"), F.col(text).alias("text"))
         schema = with_fields(own.drop("text").schema, "fp long, sketch binary, places array<long>")
         marked = written(own.mapInArrow(_marks(shingle_words), schema), "near-marks")
-        nodes = written(marked.groupBy("fp").agg(F.min(_least("key", "node")).alias("node")), "near-nodes")
+        nodes = written(marked.groupBy("fp").agg(F.min(_least("key", "node")).alias("node")), "near-nodes", narrow=True)
         alike = near_copies.links(marked, similarity)
         fp_of = marked.select("node", "fp")
         alike = alike.join(fp_of.select(F.col("node").alias("u"), F.col("fp").alias("a")), "u").join(fp_of.select(F.col("node").alias("v"), F.col("fp").alias("b")), "v")
         pairs = links(nodes, most, widths).union(alike.where("a <> b").select("a", "b"))
         kept = _rooted(nodes, pairs).select("fp", F.col("root.row").alias("kept"))
-        gone = result(marked.select("fp", F.col("node").alias(row)).join(kept, "fp").where(F.col(row) != F.col("kept")).select(row), "near-gone")
+        gone = result(marked.select("fp", F.col("node").alias(row)).join(kept, "fp").where(F.col(row) != F.col("kept")).select(row), "near-gone", narrow=True)
     return numbered.join(gone, row, "left_anti").drop(row)

@@ -38,9 +38,15 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: computed once, read from the shared folder by all that follows."""
+#: Shuffle partitions that go into one file of a narrow table: partitions are sized for texts, its rows hold ids.
+NARROW = 8
+
+
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a written table: computed once, read from the shared folder by all that follows. narrow: rows of a few numbers that come from a shuffle, in fewer files."""
     path = fresh(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
@@ -75,9 +81,9 @@ def scratch() -> Iterator[list]:
                 outer.append(df)
 
 
-def result(df: DataFrame, name: str) -> DataFrame:
+def result(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df as a written table that outlives the scratch it is made in."""
-    out = written(df, name)
+    out = written(df, name, narrow)
     out._outlives = True
     return out
 

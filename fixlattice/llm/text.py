@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Entries that a worker's memo may hold before it is emptied: bounds its memory, changes no result.
-MEMO_ENTRIES = 400_000
-#: Entries in each of the two generations of a tokenizer's memo.
-GENERATION = 400_000
+MEMO_ENTRIES = 150_000
+#: Entries in each of the two generations of a tokenizer's memo, byte-level and word-level: bounds its memory, changes no result.
+GENERATIONS = (400_000, 150_000)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -83,17 +83,17 @@ def byte_level_pieces(raw: bytes) -> tuple[str, list[str]]:
 
 
 class Generations(dict):
-    """A mapping that computes what it lacks. Its memory is bounded by two generations of GENERATION entries:
+    """A mapping that computes what it lacks. Its memory is bounded by two generations of ``most`` entries:
 
     what is in use moves to the younger one, and the elder is dropped when the younger is full.
     """
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.elder = compute, {}
+        self.compute, self.most, self.elder = compute, most, {}
 
     def __missing__(self, key):
-        if len(self) >= GENERATION:
+        if len(self) >= self.most:
             self.elder = dict(self)
             self.clear()
         if (out := self.elder.get(key)) is None:
@@ -139,7 +139,8 @@ class PieceEncoder:
         special = list(self.tok.get_added_tokens_decoder().values())
         self.has_special = bool(special)
         self.special = b"" if any(t.normalized for t in special) else os.path.commonprefix([t.content for t in special]).encode()
-        self.memo, self.pre_tokens = Generations(self._after_space if byte_level else self._word), Generations(self._pre_token)
+        most = GENERATIONS[0 if byte_level else 1]
+        self.memo, self.pre_tokens = Generations(self._after_space if byte_level else self._word, most), Generations(self._pre_token, most)
         # a byte-level token is written with one character for each of its bytes
         self.widths = np.zeros(self.tok.get_vocab_size(), np.int64)
         for token, i in self.tok.get_vocab().items():
@@ -190,6 +191,11 @@ def encoder(path: str, byte_level: bool) -> PieceEncoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Gives back the memory of encoders that earlier tasks of this worker have left."""
+    _encoders.clear()
+
+
 def public_vocabulary(name: str) -> str:
     """Path of a public tokenizer's file on this machine."""
     import public_tokenizers

@@ -84,9 +84,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, byte_level: bool
     total = ids.agg(F.sum("size")).first()[0] or 0
     parts = ranges.range_partitions(spark, total)
     bounds = ranges.weighted_splitters(ids, "doc_id", "size", parts, total)
-    keys = ranges.even_keys(spark, parts)
     bucket = ranges.count_at_or_below(F.col("doc_id"), bounds)
-    dealt = docs.withColumn("bucket", bucket).withColumn("slot", F.get(F.array(*[F.lit(k) for k in keys]), F.col("bucket")))
+    dealt = docs.withColumn("bucket", bucket).withColumn("slot", ranges.even_slot(spark, F.col("bucket"), parts))
     dealt = dealt.repartition(parts, "slot").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
     made = written(dealt.select("bucket", "doc_id", "text").mapInArrow(_writer(folder, path, byte_level, end_id), "part int, n_docs long, n_ids long"), "token-parts")
     return with_bases(made)

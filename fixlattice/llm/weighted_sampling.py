@@ -272,13 +272,12 @@ def compare_with_edited(docs: DataFrame, samples: int = SAMPLES, shingle_words:
     firsts = sorted(ids.groupBy(bucket.alias("bucket")).agg(F.min(F.struct("doc_id", "th")).alias("f")).collect(), key=lambda r: r.bucket)
     before = [(r.f.doc_id, r.f.th, firsts[k - 1].bucket) for k, r in enumerate(firsts)]
     ahead = spark.createDataFrame(before, "first_id long, first_th long, ahead_of int") if before else spark.createDataFrame([], "first_id long, first_th long, ahead_of int")
-    keys = ranges.even_keys(spark, parts)
     dealt = (
         docs.withColumn("bucket", bucket)
         .join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")), "left")
         .withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("ahead")), F.when(F.col("ahead_of").isNotNull(), F.struct(F.col("ahead_of").alias("bucket"), F.lit(1).alias("ahead")))))))
         .select("to.bucket", "to.ahead", "doc_id", "th", "text")
-        .withColumn("slot", F.get(F.array(*[F.lit(k) for k in keys]), F.col("bucket")))
+        .withColumn("slot", ranges.even_slot(spark, F.col("bucket"), parts))
     )
     dealt = dealt.repartition(parts, "slot").sortWithinPartitions("bucket", "ahead", "doc_id", "th")
     return dealt.select("bucket", "ahead", "doc_id", "text").mapInArrow(_compare(samples, shingle_words), _EDITED_SCHEMA)

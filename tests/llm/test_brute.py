@@ -312,6 +312,38 @@ def _disclosed(texts, support=disclosure.SUPPORT, threshold=disclosure.THRESHOLD
     return [[f"term:{a}:{b}" for a, b, t in x if t in out] for x in runs], out
 
 
+def test_ranges_have_partitions_of_their_own(spark):
+    from fixlattice.llm import ranges
+
+    for parts in (7, 51):
+        df = spark.range(2000).select(F.col("id"), ranges.count_at_or_below(F.col("id"), list(range(50, 50 * parts, 50))).alias("bucket"))
+        dealt = df.withColumn("slot", ranges.even_slot(spark, F.col("bucket"), parts)).repartition(parts, "slot").withColumn("p", F.spark_partition_id())
+        rows = dealt.groupBy("bucket").agg(F.min("p").alias("a"), F.max("p").alias("b")).collect()
+        assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) == len(rows) == min(parts, 40)
+        assert {r.bucket for r in rows} == set(range(len(rows)))
+
+
+def test_equal_texts_share_a_shard_beside_a_hot_text(spark):
+    rows = [(i, "hot " * 200) for i in range(1500)] + [(2000 + i, f"text {i % 700} " * (i % 7 + 1)) for i in range(2800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shard = {r.doc_id: r.shard for r in sharding.place(df).collect()}
+    by = {}
+    for i, t in rows:
+        by.setdefault(t, set()).add(shard[i])
+    assert all(len(s) == 1 for t, s in by.items() if not t.startswith("hot")) and len(by["hot " * 200]) > 1
+
+
+def test_sharding_query(spark, sf, texts):
+    rows = queries.QUERIES["op6_sampled_splitters"](spark, sf).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts.items()}
+    sums, slots, law = Counter(), {}, {r.law for r in rows}
+    for r in rows:
+        sums[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert law == {"bytes"} and set(sums) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sums.values()) - min(sums.values()) <= 2 * max(r["size"] for r in rows) and all(r.grown_shard is None for r in rows)
+
+
 def test_terms_that_disclose(spark):
     rng = random.Random(4)
     words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("al", "en", "is", "or", "um")]
