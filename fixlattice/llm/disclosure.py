@@ -109,7 +109,8 @@ def disclosing(base: DataFrame, support: int = SUPPORT, threshold: float = THRES
     told = held.select("text_key", "copies", "terms", F.explode("entities").alias("entity")).join(known, "entity")
     pairs = told.select("entity", "n_e", "copies", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_te")).where(F.col("n_te") >= support)
     pairs = written(pairs, "personal-pairs", narrow=True)
-    frequency = base.select(F.explode("terms").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted in each task before anything is dealt out
+    frequency = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     content = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     left = F.log(F.col("n_t") / F.col("n_te"))  # IC - PMI
     # a hair of room for what rounding does to a pair exactly at a threshold
@@ -197,7 +198,8 @@ def sanitised(docs: DataFrame, text: str = "text", length: str | None = "n_chars
         by_text = found.groupBy("text_key").agg(F.first("spans").alias(spans)).select(F.col("text_key.a").alias(a), F.col("text_key.b").alias(b), spans)
         by_text = result(by_text, "personal-spans", narrow=True)
     key = _key(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.withColumns({a: key["a"], b: key["b"]}).join(by_text, [a, b], "left")
+    # merged at every size: the texts with spans grow with the documents
+    joined = docs.withColumns({a: key["a"], b: key["b"]}).hint("merge").join(by_text, [a, b], "left")
     out = joined.withColumn(new, F.when(F.col(spans).isNotNull(), _generalised(F.col(text), F.col(spans))).otherwise(F.col(text)))
     replaced = {text: F.col(new)} | ({length: F.when(F.col(spans).isNotNull(), F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
     return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])

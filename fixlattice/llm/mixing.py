@@ -254,5 +254,6 @@ def take_nearest(docs: DataFrame, labels: DataFrame, domain: Column, targets: di
         # rows of one key are alike and have one rate
         odd = rates.select(key, F.floor(F.col("rate") + 0.5).cast("int").alias(copies)).where(F.col(copies) != 1).distinct()
         odd = result(odd, "mixture-copies", narrow=True)
-    out = keyed.join(odd, key, "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    # merged at every size: what is left out grows with the documents
+    out = keyed.hint("merge").join(odd, key, "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
     return out.withColumn(copy, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)

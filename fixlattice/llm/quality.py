@@ -110,7 +110,8 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", length:
     with scratch():
         judged = _judged(marked.select(F.col(own).alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text")), "source", "text", **options)
         changed = result(judged.where("not kept or cut is not null").groupBy(F.col("doc_id").alias(own)).agg(F.first("kept").alias(kept), F.first("cut").alias(cut)), "quality-changed", narrow=True)
-    out = marked.join(changed, own, "left").where(F.coalesce(kept, F.lit(True)))
+    # merged at every size: what changes grows with the documents
+    out = marked.hint("merge").join(changed, own, "left").where(F.coalesce(kept, F.lit(True)))
     out = out.withColumn(new, F.when(F.col(cut).isNotNull(), _without(F.col(text), F.col(cut))).otherwise(F.col(text)))
     replaced = {text: F.col(new)} | ({length: F.when(F.col(cut).isNotNull(), F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length and length in docs.columns else {})
     return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])

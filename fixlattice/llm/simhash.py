@@ -367,4 +367,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_w
         pairs = links(nodes, most, widths).union(alike.where("a <> b").select("a", "b"))
         kept = _rooted(nodes, pairs).select("fp", F.col("root.row").alias("kept"))
         gone = result(marked.select("fp", F.col("node").alias(row)).join(kept, "fp").where(F.col(row) != F.col("kept")).select(row), "near-gone", narrow=True)
-    return numbered.join(gone, row, "left_anti").drop(row)
+    # merged at every size: what goes grows with the documents
+    return numbered.hint("merge").join(gone, row, "left_anti").drop(row)
