@@ -42,9 +42,19 @@ def top_words(counts: DataFrame, k: int, by: list[str] | None = None) -> DataFra
 
 
 def report(docs: DataFrame, stopwords: list[str], k: int, key: str, text: str = "text") -> DataFrame:
-    """(key, total, top): words of each document and its k most frequent ones as ``word=n`` in order."""
-    totals = docs.select(key, total_words(F.col(text), stopwords).alias("total"))
-    tops = top_words(word_count(docs, stopwords, text, [key]), k, [key])
-    listed = tops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("l"))
-    joined = F.array_join(F.transform("l", lambda x: F.concat_ws("=", x["word"], x["n"].cast("string"))), ",")
-    return totals.join(listed, key, "left").select(key, "total", F.coalesce(joined, F.lit("")).alias("top"))
+    """(key, total, top): words of each document and its k most frequent ones (ties by word) as ``word=n`` in order. Within the row: no shuffle."""
+    words = F.array_sort(F.filter(tokenize(F.col(text)), lambda w: _unlisted(w, stopwords)))
+
+    def counted(ws: Column) -> Column:
+        # where each word's run begins in the sorted words
+        begins = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | (F.get(ws, i) != F.get(ws, i - 1)))
+        return _once(begins, lambda b: F.transform(b, lambda at, j: F.struct((at - F.coalesce(F.get(b, j + 1), F.size(ws))).alias("less"), F.get(ws, at).alias("word"))))
+
+    ranked = _once(words, lambda ws: F.when(F.size(ws) > 0, F.slice(F.array_sort(counted(ws)), 1, k)))
+    joined = F.array_join(F.transform(ranked, lambda x: F.concat_ws("=", x["word"], (-x["less"]).cast("string"))), ",")
+    return docs.select(key, total_words(F.col(text), stopwords).alias("total"), F.coalesce(joined, F.lit("")).alias("top"))
+
+
+def _once(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)

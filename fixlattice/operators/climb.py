@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlattice.functions import lattice as L
-from fixlattice.functions.dims import COOLING, LADDER, REQUIREMENTS, nth
+from fixlattice.functions.dims import COOLING, LADDER, nth
 from fixlattice.operators import log as G
+from fixlattice.operators.checks import validate_stack
 
+#: The evidence column of ``operators.log.evidence`` that decides each closure; a rung is decided by the state itself.
+EVIDENCE = {"execution": "has_identity", "testing": "has_tests", "observation": "n_nodes", "independent_witnessing": "n_external", "provenance": "provenance", "append_only_crystallization": "n_nodes", "review": "n_external", "graph_identity": "has_identity", "rung": "state"}
 _WITNESSING = 1 << COOLING.index("independent_witnessing")
 
 
@@ -23,10 +26,10 @@ def node_states(log: DataFrame) -> DataFrame:
 
 
 def positions(log: DataFrame) -> DataFrame:
-    """(name, level, w, r, distance, next_kind, next_name, requires)."""
+    """(name, level, w, r, distance, next_kind, next_name, requires); requires: the evidence that decides the next closure."""
     s = node_states(log)
     kind, name = L.next_closure(F.col("level"), F.col("w"), F.col("r"))
-    wanted = F.create_map(*[F.lit(x) for kv in REQUIREMENTS.items() for x in kv])
+    wanted = F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])
     out = s.select("name", "level", "w", "r", L.distance(F.col("level"), F.col("w"), F.col("r")).alias("distance"), kind.alias("next_kind"), name.alias("next_name"))
     return out.withColumn("requires", wanted[F.when(F.col("next_kind") == "rung", "rung").otherwise(F.col("next_name"))])
 
@@ -47,14 +50,21 @@ def step(log: DataFrame, witness: str) -> DataFrame:
     )
 
 
-def gauge(log: DataFrame) -> DataFrame:
-    """(name, seven booleans): the steps that a run over each name's own records can claim."""
+def gauge(log: DataFrame, rings: DataFrame | None = None, base: list[str] = ()) -> DataFrame:
+    """(name, seven booleans): the steps that a run over each name's own records can claim.
+
+    rings (name, depth, adds, requires, accesses): declared relations; they must stack up for relational_validation. A name that declares none has none that fail.
+    """
     e = G.evidence(log).where("n_nodes > 0")
+    related = F.lit(True)
+    if rings is not None:
+        found = validate_stack(rings.withColumnRenamed("name", "_of"), "_of", list(base)).select(F.col("_of").alias("name"), (F.col("status") == "ok").alias("_stacks"))
+        e, related = e.join(found, "name", "left"), F.coalesce("_stacks", F.lit(True))
     return e.select(
         "name",
         F.col("has_identity").alias("execution"),
         (F.col("has_tests") & F.col("tested")).alias("testing"),
-        F.lit(True).alias("relational_validation"),  # vacuous where no rings are declared
+        related.alias("relational_validation"),
         (F.col("n_nodes") > 0).alias("observation"),
         (F.col("n_external") > 0).alias("independent_witnessing"),
         F.coalesce(F.size(F.array_distinct("provenance")) >= 2, F.lit(False)).alias("provenance"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -39,9 +39,20 @@ def overlapping(deltas: DataFrame, program: str = "program", path: str = "path")
     return cut.join(paths.select(program, F.col(path).alias("prefix")), [program, "prefix"]).select(program, path, "prefix")
 
 
+def identity(spark) -> DataFrame:
+    """The program without operations: composing with it, or applying it, changes nothing."""
+    return spark.createDataFrame([], "program string, seq long, op string, path array<string>, value string")
+
+
 def compose(deltas: DataFrame, program: str = "program", path: str = "path") -> DataFrame:
-    """fuse with pos (order of first appearance) and status: one refused path refuses its program."""
+    """fuse with pos (order of first appearance) and status: one refused path refuses its program.
+
+    Paths given as arrays are also refused where one is a proper prefix of another of its program."""
     fused = fuse(deltas, program, path)
+    if dict(deltas.dtypes)[path].startswith("array"):
+        over = overlapping(deltas, program, path)
+        both = over.select(program, F.explode(F.array(path, "prefix")).alias(path)).distinct().withColumn("_over", F.lit("prefix_overlap"))
+        fused = fused.join(both, [program, path], "left").withColumn("reason", F.coalesce("reason", "_over")).drop("_over")
     w = Window.partitionBy(program)
     out = fused.withColumn("pos", F.row_number().over(w.orderBy("first_seq")) - 1).withColumn("refused", F.bool_or(F.col("reason").isNotNull()).over(w))
     return out.withColumn("status", F.when(F.col("refused"), "refused").otherwise("ok")).drop("refused")
@@ -61,14 +72,17 @@ def apply_programs(deltas: DataFrame, base: DataFrame, program: str = "program",
     kept = marked.join(stop, program).where(F.col("abort_seq").isNull() | (F.col("seq") < F.col("abort_seq")))
     final = kept.groupBy(program, path).agg(F.max_by("op", "seq").alias("last_op"), F.max_by("value", "seq").alias("value"))
     names = stop.select(program, "abort_seq", F.when(F.col("abort_seq").isNotNull(), F.col("reason")).alias("reason"))
-    whole = names.crossJoin(F.broadcast(base.select(F.col("path").alias(path), F.col("value").alias("base_value"))))
+    whole = names.crossJoin(base.select(F.col("path").alias(path), F.col("value").alias("base_value")))  # the result has a row for each of these
     both = whole.join(final, [program, path], "full").select(program, path, F.when(F.col("last_op").isNotNull(), F.when(F.col("last_op") != "exclude", F.col("value"))).otherwise(F.col("base_value")).alias("value"), F.coalesce("last_op", F.lit("base")).alias("last_op"))
     live = both.where("last_op <> 'exclude'").select(program, path, "value")
     return live.join(names, program).withColumn("status", F.when(F.col("abort_seq").isNull(), "ok").otherwise("refused"))
 
 
-def _fold(ops: pd.DataFrame, tree: dict) -> tuple[dict, int | None, str | None]:
-    for seq, op, path, value in ops[["seq", "op", "path", "value"]].itertuples(index=False):
+def fold_tree(ops, tree: dict) -> tuple[dict, int | None, str | None]:
+    """(tree, seq of the first violation, its reason) after (seq, op, path, JSON value) in order; changes the tree."""
+    for seq, op, path, value in ops:
+        if op not in OPS:
+            return tree, int(seq), "unknown_op"
         at = tree
         if not len(path):
             return tree, int(seq), "empty_path"
@@ -101,7 +115,7 @@ def apply_trees(deltas: DataFrame, base: dict, program: str = "program", path: s
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         name = group[program].iloc[0]
-        tree, stop, reason = _fold(group.rename(columns={path: "path"}).sort_values("seq"), json.loads(held))
+        tree, stop, reason = fold_tree(group.rename(columns={path: "path"}).sort_values("seq")[["seq", "op", "path", "value"]].itertuples(index=False), json.loads(held))
         return pd.DataFrame({program: [name], "tree": [json.dumps(tree, sort_keys=True)], "status": ["ok" if stop is None else "refused"], "abort_seq": [stop], "reason": [reason]})
 
     kind = dict(deltas.dtypes)[program]
@@ -123,9 +137,27 @@ def genome_id(ops_json):
     return F.concat(F.lit("g_"), F.substring(F.sha2(ops_json, 256), 1, 16))
 
 
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+
+def json_string(text: Column) -> Column:
+    """A string as ASCII JSON text: quotes, backslashes, control characters and all beyond ASCII are escaped."""
+    named = F.create_map(*[F.lit(x) for kv in _ESCAPES.items() for x in kv])
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def of(c: Column) -> Column:
+        n = F.ascii(c)
+        pair = F.concat(unit(F.shiftright(n - 0x10000, 10) + 0xD800), unit((n - 0x10000).bitwiseAND(0x3FF) + 0xDC00))
+        return F.coalesce(named[c], F.when(n.between(0x20, 0x7E), c).when(n < 0x10000, unit(n)).otherwise(pair))
+
+    plain = text.rlike(r'^[ !#-\[\]-~]*$')
+    escaped = F.array_join(F.transform(F.split(text, ""), of), "")
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(escaped), F.lit('"'))
+
+
 def canonical_json(deltas: DataFrame, program: str = "program") -> DataFrame:
-    """(program, ops): each program as canonical JSON text; path elements are ASCII strings, values JSON text."""
-    quoted = F.concat(F.lit("["), F.array_join(F.transform("path", lambda p: F.concat(F.lit('"'), p, F.lit('"'))), ", "), F.lit("]"))
-    one = F.concat(F.lit('["'), F.col("op"), F.lit('", '), quoted, F.lit(", "), F.coalesce("value", F.lit("null")), F.lit("]"))
+    """(program, ops): each program as canonical JSON text; path elements are any strings, values JSON text."""
+    quoted = F.concat(F.lit("["), F.array_join(F.transform("path", json_string), ", "), F.lit("]"))
+    one = F.concat(F.lit("["), json_string(F.col("op")), F.lit(", "), quoted, F.lit(", "), F.coalesce("value", F.lit("null")), F.lit("]"))
     listed = deltas.select(program, "seq", one.cast(StringType()).alias("x")).groupBy(program).agg(F.array_sort(F.collect_list(F.struct("seq", "x"))).alias("l"))
     return listed.select(program, F.concat(F.lit("["), F.array_join(F.transform("l", lambda s: s["x"]), ", "), F.lit("]")).alias("ops"))

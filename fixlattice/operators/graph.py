@@ -45,8 +45,7 @@ def move_to_mass(edges: DataFrame, assign: DataFrame) -> DataFrame:
     n = neighbors(edges).join(assign.select(F.col("node").alias("other"), F.col("cluster").alias("to")), "other")
     own = n.join(assign.select("node", F.col("cluster").alias("own")), "node").where("to <> own")
     mass = own.groupBy("node", "to").agg(F.sum("w").alias("mass"))
-    best = mass.groupBy("node").agg(F.max(F.struct("mass")).alias("top")).select("node", F.col("top.mass").alias("mass"))
-    return mass.join(best, ["node", "mass"]).groupBy("node").agg(F.min("to").alias("cluster"), F.first("mass").alias("mass"))
+    return mass.groupBy("node").agg(F.min(F.struct((-F.col("mass")).alias("less"), F.col("to").alias("cluster"), "mass")).alias("top")).select("node", "top.cluster", "top.mass")
 
 
 def merge_hottest(edges: DataFrame, assign: DataFrame, k: int = 3) -> DataFrame:
@@ -76,10 +75,11 @@ def learn_clusters(edges: DataFrame, rounds: int = 8, brood: int = 8, seed: int
     assign = cut(neighbors(edges).select("node").distinct().withColumn("cluster", F.concat(F.lit("r_"), F.col("node").cast("string"))))
     best_q, trail = modularity(edges, assign).first()["q"] or 0.0, []
     for _ in range(rounds):
-        moves = [("move", r["node"], r["cluster"]) for r in move_to_mass(edges, assign).orderBy(F.desc("mass"), "node").limit(4 * brood).collect()]
-        rng.shuffle(moves)
+        # six of all nodes' moves, drawn by a hash that each round seeds anew
+        drawn = move_to_mass(edges, assign).orderBy(F.xxhash64("node", F.lit(rng.getrandbits(62))), "node").limit(6)
+        moves = [("move", r["node"], r["cluster"]) for r in drawn.collect()]
         merges = [("merge", r["b"], r["a"]) for r in merge_hottest(edges, assign).collect()]
-        proposals = [(i, *p) for i, p in enumerate((moves[:6] + merges)[:brood])]
+        proposals = [(i, *p) for i, p in enumerate((moves + merges)[:brood])]
         if not proposals:
             break
         p = spark.createDataFrame([(i, kind, str(what), str(to)) for i, kind, what, to in proposals], "pos int, kind string, what string, into string")
@@ -89,7 +89,8 @@ def learn_clusters(edges: DataFrame, rounds: int = 8, brood: int = 8, seed: int
         scores = sorted(((r["q"], -r["pos"]) for r in modularity(edges, candidates, ["pos"]).collect()), reverse=True)
         q, pos = scores[0][0], -scores[0][1]
         if keep_best and q <= best_q:
-            break
+            trail.append(best_q)
+            continue
         best_q = q
         assign = cut(candidates.where(F.col("pos") == pos).select("node", "cluster"))
         trail.append(best_q)

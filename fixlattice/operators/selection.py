@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,49 +35,65 @@ def ucb(scored: DataFrame, mu: int, c: float = 1.0) -> DataFrame:
 
 
 def pareto_front(scored: DataFrame, keys: list[str], mu: int | None = None) -> DataFrame:
-    """Rows that no other dominates (at least as good in all keys, better in one); equal vectors all stay.
+    """Rows that no other dominates (at least as good in all keys, better in one); equal vectors all stay, rows with a null key go.
 
-    Candidates are first thinned to the distinct key vectors that survive in their own partition, so the
-    nested-loop comparison meets a front, not the table.
+    Distinct key vectors are thinned to the front of their partition; fronts of FAN partitions are then merged and
+    thinned again, until one is left. What meets in a task is fronts, never the table.
     """
-    distinct = scored.select(*keys).distinct()
-    local = _local_front(distinct, keys)
-    a, b = local.alias("a"), local.alias("b")
-    all_ge = [F.col(f"b.{k}") >= F.col(f"a.{k}") for k in keys]
-    some_gt = [F.col(f"b.{k}") > F.col(f"a.{k}") for k in keys]
-    dominated = all_ge[0]
-    for x in all_ge[1:]:
-        dominated = dominated & x
-    better = some_gt[0]
-    for x in some_gt[1:]:
-        better = better | x
-    front = a.join(b, dominated & better, "left_anti")
+    front = scored.select(*keys).dropna().distinct().mapInArrow(_thinned(keys), scored.select(*keys).schema)
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        parts = -(-parts // FAN)
+        front = front.coalesce(parts).mapInArrow(_thinned(keys), front.schema)
     kept = scored.join(front, keys, "left_semi")
     return kept if mu is None else kept.orderBy("pos").limit(mu)
 
 
-def _local_front(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """For each value of the first key the best of the others that no greater first key reaches: exact for two keys, a superset beyond."""
-    if len(keys) != 2:
-        return distinct
-    best = distinct.groupBy(keys[0]).agg(F.max(keys[1]).alias(keys[1]))
-    return best
+#: Fronts that are merged at a time.
+FAN = 8
+
+
+def _thinned(keys: list[str]):
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = _front(new if held is None else pa.concat_tables([held, new]), keys)
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
+def _front(rows: pa.Table, keys: list[str]) -> pa.Table:
+    """The rows that no other row of the table dominates, best first: a row can only be dominated by one before it."""
+    rows = rows.group_by(keys).aggregate([]).select(keys).sort_by([(k, "descending") for k in keys])
+    columns = [np.array(rows[k].to_pylist()) for k in keys]
+    kept: list[int] = []
+    for i in range(len(rows)):
+        over = np.ones(len(kept), bool)
+        for c in columns:
+            over &= c[kept] >= c[i]
+        if not over.any():
+            kept.append(i)
+    return rows.take(pa.array(kept, pa.int64()))
 
 
 def tournament(scored: DataFrame, mu: int, size: int = 2, seed: int = 0) -> DataFrame:
     """mu rounds: ``size`` candidates are drawn without replacement, the best (first drawn on a tie) wins and leaves the pool.
 
-    The draw is Python's seeded generator over (pos, primary) of the candidates, control rows that the driver holds.
+    A round draws the first by MD5 of ``seed:round:pos`` among those that are left: a top-k over the whole pool, of which the driver sees ``size`` rows.
     """
-    rng = random.Random(seed)
-    pool = [(r["pos"], r["primary"]) for r in scored.select("pos", "primary").orderBy("pos").collect()]
-    won = []
-    while pool and len(won) < mu:
-        best = max(rng.sample(pool, min(size, len(pool))), key=lambda x: x[1])
-        won.append((best[0], len(won) + 1))
-        pool.remove(best)
-    winners = scored.sparkSession.createDataFrame(won, "pos int, rank int") if won else scored.sparkSession.createDataFrame([], "pos int, rank int")
-    return scored.join(F.broadcast(winners), "pos")
+    won: list[tuple[int, int]] = []
+    for n in range(1, mu + 1):
+        left = scored.where(~F.col("pos").isin([p for p, _ in won])) if won else scored
+        draw = F.md5(F.concat(F.lit(f"{seed}:{n}:"), F.col("pos").cast("string")))
+        drawn = left.select("pos", "primary", draw.alias("draw")).orderBy("draw", "pos").limit(size).collect()
+        if not drawn:
+            break
+        won.append((max(drawn, key=lambda r: r["primary"])["pos"], n))
+    winners = scored.sparkSession.createDataFrame(won, "pos long, rank int")
+    return scored.join(F.broadcast(winners), "pos")  # mu rows
 
 
 def significantly_above(rated: DataFrame, name: str) -> DataFrame:

@@ -12,10 +12,12 @@ from fixlattice.operators import climb as C
 from fixlattice.operators import deduce as P
 from fixlattice.operators import evolve as V
 from fixlattice.operators import source_rows as B
+from fixlattice.plans.checkpoints import cut
 from fixlattice.plans.logs import _LOG, _pick, as_log
 from fixlattice.functions import dims
 from fixlattice.session import table
 from fixlattice.sources import codecs as W
+from fixlattice.sources.log_store import LOG_SCHEMA
 
 # A pool of five units.
 UNITS = [
@@ -77,9 +79,8 @@ def residue(spark, sf):
 
 
 def _names(spark, sf):
-    """The distinct short tokens of every document's whole text."""
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("name"))
-    return d.where(F.length("name") <= 3)
+    """The distinct tokens of every document's whole text."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("name"))
 
 
 def _classified(spark, sf):
@@ -91,11 +92,12 @@ def classify_names(spark, sf):
 
 
 def doc_verdict(spark, sf):
-    return X.verdicts(_classified(spark, sf).where("alphabet <> 'demand'"), "doc_id").select("doc_id", "verdict")
+    found = X.verdicts(_classified(spark, sf), "doc_id")
+    return table(spark, sf, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("verdict", F.lit("pure")).alias("verdict"))
 
 
 def doc_placement(spark, sf):
-    return X.verdicts(_classified(spark, sf), "doc_id").select("doc_id", "placement")
+    return table(spark, sf, "documents").select("doc_id").join(X.verdicts(_classified(spark, sf), "doc_id").select("doc_id", "placement"), "doc_id", "left")
 
 
 def curry_plan(spark, sf):
@@ -108,7 +110,7 @@ def _turns(spark, sf):
 
 
 def effect_blocks(spark, sf):
-    b = _turns(spark, sf).select("conv_id", F.col("turn").alias("i"), F.filter("tokens", lambda x: F.length(x) <= 3).alias("reads"), F.filter("tokens", lambda x: F.length(x) == 2).alias("writes"))
+    b = _turns(spark, sf).select("conv_id", F.col("turn").alias("i"), F.col("tokens").alias("reads"), F.filter("tokens", lambda x: F.length(x) == 2).alias("writes"))
     # the block's own writes are no frees: a name first written at i itself is not later than i
     return X.effect_blocks(b, ["the", "les", "und", "que"], "conv_id").select("conv_id", "i", F.size("global_frees").alias("n_frees"), "effect")
 
@@ -129,11 +131,18 @@ def intake_diff(spark, sf):
     return X.intake(_candidates(spark, sf), r).select("id", "status", "reason", F.array_join("overclaimed", ",").alias("overclaimed"))
 
 
-def stack_validate(spark, sf):
+_BASE = ["a", "an", "as", "at", "au", "be"]
+
+
+def _rings_of_turns(spark, sf):
+    """A conversation as a stack, a turn a ring: short tokens are added, tokens of two and four letters required and accessed."""
     t = _turns(spark, sf)
     of = lambda n: F.filter("tokens", lambda x: F.length(x) == n)
-    rings = t.select("conv_id", F.col("turn").alias("depth"), F.filter("tokens", lambda x: F.length(x) <= 3).alias("adds"), F.filter(of(2), lambda x: x < "c").alias("requires"), F.filter(of(4), lambda x: x < "b").alias("accesses"))
-    return X.validate_stack(rings, "conv_id", ["a", "an", "as", "at", "au", "be"]).select("conv_id", "status", "depth", "reason", F.array_join("names", ",").alias("names"))
+    return t.select("conv_id", F.col("turn").alias("depth"), F.filter("tokens", lambda x: F.length(x) <= 3).alias("adds"), F.filter(of(2), lambda x: x < "c").alias("requires"), F.filter(of(4), lambda x: x < "b").alias("accesses"))
+
+
+def stack_validate(spark, sf):
+    return X.validate_stack(_rings_of_turns(spark, sf), "conv_id", _BASE).select("conv_id", "status", "depth", "reason", F.array_join("names", ",").alias("names"))
 
 
 def _slots(spark, sf):
@@ -187,6 +196,38 @@ def module_report(spark, sf):
     return _sources(spark).lateralJoin(B.ModuleReport(F.col("src").outer()).alias("m")).select("source_name", "m.pos", "m.name", "m.granularity", "m.reason", "m.n_blocks", "m.n_opaque")
 
 
+def block_functions(spark, sf):
+    """Blocks of the sources that can be cut, as functions of their own."""
+    rows = _sources(spark).lateralJoin(B.Blockify(F.col("src").outer(), F.lit(True)).alias("b")).where("b.reason IS NULL")
+    return rows.select("source_name", "b.i", B.functionalize(F.col("source_name"), F.col("b.i"), F.col("b.reads"), F.col("b.writes"), F.col("b.source")).alias("text"))
+
+
+def signatures(spark, sf):
+    return _sources(spark).lateralJoin(B.Signature(F.col("src").outer()).alias("s")).select("source_name", "s.pos", "s.param", "s.kind", "s.has_default", "s.reason")
+
+
+def self_accesses(spark, sf):
+    return _sources(spark).lateralJoin(B.SelfAccesses(F.col("src").outer()).alias("s")).select("source_name", F.array_join("s.accesses", ",").alias("accesses"), "s.reason")
+
+
+def derived_envelopes(spark, sf):
+    d = _sources(spark).lateralJoin(B.Derive(F.col("src").outer()).alias("d"))
+    return d.select("source_name", "d.name", *[F.array_join(f"d.{c}", ",").alias(c) for c in ("reads", "writes", "builtin_named")], "d.n_blocks", "d.reason")
+
+
+def callable_units(spark, sf):
+    u = _sources(spark).lateralJoin(B.CallableUnit(F.col("src").outer()).alias("u"))
+    return u.select("source_name", "u.name", *[F.array_join(f"u.{c}", ",").alias(c) for c in ("provides", "requires", "slots")], "u.reason")
+
+
+def relational_validation(spark, sf):
+    """Whether the relations that each name of the log declares stack up: a conversation stands for the name of its number."""
+    rings = _rings_of_turns(spark, sf).select(F.concat(F.lit("c"), "conv_id").alias("name"), "depth", "adds", "requires", "accesses")
+    log = rings.select("name").distinct().select(F.xxhash64("name").alias("seq"), "name", F.lit("node").alias("kind"), F.md5("name").alias("graph_identity"))
+    log = spark.createDataFrame([], LOG_SCHEMA).unionByName(log, allowMissingColumns=True)
+    return C.gauge(log, rings, _BASE).select("name", "relational_validation")
+
+
 def static_calls(spark, sf):
     return _sources(spark).lateralJoin(B.StaticCalls(F.col("src").outer()).alias("c")).select("source_name", "c.caller", "c.callee", "c.n")
 
@@ -213,12 +254,11 @@ def xml_rings(spark, sf):
 
 def evolve_threshold(spark, sf):
     """A quantity threshold evolved towards half of all line items."""
-    line = table(spark, sf, "lineitem").select("l_quantity").persist()
-    n = line.count()
+    counted = cut(table(spark, sf, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("k")))
+    n = counted.agg(F.sum("k")).first()[0]
 
     def score(genomes):
         config = genomes.select("id", F.get_json_object("config", "$.threshold").cast("int").alias("t"))
-        counted = line.groupBy("l_quantity").agg(F.count("*").alias("k"))
         above = counted.join(F.broadcast(config), F.col("l_quantity") >= F.col("t"))  # a brood is bounded
         return above.groupBy("id").agg((-F.abs(F.sum("k") / F.lit(float(n)) - 0.5)).alias("fitness"))
 
@@ -233,15 +273,15 @@ def _sql_list(items):
     return ", ".join(f"'{x}'" for x in items)
 
 
-_TOKENS = "tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z'']+)', 1)) AS name FROM documents), short AS (SELECT * FROM tok WHERE length(name) <= 3)"
-_CLS = f"{_TOKENS}, rings AS (SELECT * FROM (VALUES {', '.join(f'({p}, {chr(39)}{r}{chr(39)}, {chr(39)}{m}{chr(39)})' for p, r, m in RINGS)}) t(pos, ring, member)), cls AS (SELECT doc_id, name, CASE WHEN ring IS NOT NULL THEN 'ring:' || ring WHEN name IN ({_sql_list(CONFIG)}) THEN 'config' WHEN name IN ({_sql_list([*dims.EFFECT_AMBIENT, *dims.EFFECT_CALLS])}) THEN 'ambient:effect' WHEN name IN ({_sql_list(dims.PURE_AMBIENT)}) THEN 'ambient:pure' WHEN name IN ({_sql_list(KNOWN)}) THEN 'known' ELSE 'demand' END AS alphabet FROM short LEFT JOIN rings ON member = name)"
+_TOKENS = "tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z'']+)', 1)) AS name FROM documents)"
+_CLS = f"{_TOKENS}, rings AS (SELECT * FROM (VALUES {', '.join(f'({p}, {chr(39)}{r}{chr(39)}, {chr(39)}{m}{chr(39)})' for p, r, m in RINGS)}) t(pos, ring, member)), cls AS (SELECT doc_id, name, CASE WHEN ring IS NOT NULL THEN 'ring:' || ring WHEN name IN ({_sql_list(CONFIG)}) THEN 'config' WHEN name IN ({_sql_list([*dims.EFFECT_AMBIENT, *dims.EFFECT_CALLS])}) THEN 'ambient:effect' WHEN name IN ({_sql_list(dims.PURE_AMBIENT)}) THEN 'ambient:pure' WHEN name IN ({_sql_list(KNOWN)}) THEN 'known' ELSE 'demand' END AS alphabet FROM tok LEFT JOIN rings ON member = name)"
 _PLACED = "mass AS (SELECT doc_id, alphabet[6:] AS ring, count(*) AS m FROM cls WHERE starts_with(alphabet, 'ring:') GROUP BY 1, 2), placed AS (SELECT doc_id, ring AS placement FROM mass QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, ring) = 1)"
 _TURNS = "t AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '([a-z'']+)', 1)) AS name FROM conversations)"
 _SLOTS = "s AS (SELECT source AS instance, lang AS verb, doc_id AS pos, 's' || (doc_id % 40) AS slot FROM documents), b AS (SELECT source AS instance, doc_id AS pos, 's' || (doc_id % 40) AS slot FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)"
 _FACTS = [(p, i, n, f"{p}({i}, {n}).") for d, p in W.PREDICATES.items() for i, n in enumerate(dims.DIMENSIONS[d])] + [("conditional_verb", i, n, f"conditional_verb({n}).") for i, n in enumerate(dims.CONDITIONAL_VERBS)]
 _FLAGS = " || chr(10) || ".join(f"'    <{p} rdf:datatype=\"{W.BOOLEAN}\">' || CASE WHEN ({m} >> {i}) & 1 = 1 THEN 'true' ELSE 'false' END || '</{p}>'" for names, m, pre in ((dims.COOLING, "w", "witnessed_"), (dims.RITES, "r", "rite_")) for i, p in ((i, pre + n) for i, n in enumerate(names)))
 
-QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, blockify_rows, module_report, static_calls, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
+QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
 ORACLES = {
     "predict_status": "SELECT * FROM (VALUES ('pull', 'source', 'active', '', ''), ('pull', 'qualify', 'active', '', ''), ('pull', 'write', 'active', '', ''), ('pull', 'deliver', 'blocked', 'send_api', 'postal_address'), ('pull', 'report', 'blocked', 'sends', ''), ('both', 'source', 'active', '', ''), ('both', 'qualify', 'active', '', ''), ('both', 'write', 'active', '', ''), ('both', 'deliver', 'buildable', '', 'postal_address'), ('both', 'report', 'active', '', '')) t(base, name, status, capability_residue, binding_residue)",
     "closure_fixture": "SELECT 'contacts,copy,fit_scores,pull_api' AS available, 'contacts,fit_scores,copy' AS \"order\", 'qualify,source,write' AS active",
@@ -249,12 +289,13 @@ ORACLES = {
     "derivations": "SELECT 0 AS pos, 'source,write,deliver,report' AS chain, '' AS residue",
     "residue": "SELECT * FROM (VALUES ('verdict', 'pull_api,send_api'), ('copy', 'pull_api'), ('nothing', 'nothing')) t(target, residue)",
     "classify_names": f"WITH {_CLS} SELECT alphabet, count(*) AS n, count(DISTINCT name) AS n_names FROM cls GROUP BY 1",
-    "doc_verdict": f"WITH {_CLS}, {_PLACED} SELECT doc_id, CASE WHEN bool_or(alphabet = 'ambient:effect') THEN 'effectful' WHEN bool_or(alphabet = 'config') THEN 'config_dependent' WHEN any_value(placement) IS NOT NULL THEN 'ring_coupled:' || any_value(placement) ELSE 'pure' END AS verdict FROM cls LEFT JOIN placed USING (doc_id) WHERE alphabet <> 'demand' GROUP BY 1",
-    "doc_placement": f"WITH {_CLS}, {_PLACED} SELECT DISTINCT doc_id, placement FROM cls LEFT JOIN placed USING (doc_id)",
+    "doc_verdict": f"WITH {_CLS}, {_PLACED} SELECT doc_id, CASE WHEN bool_or(alphabet = 'ambient:effect') THEN 'effectful' WHEN bool_or(alphabet = 'demand') THEN 'open' WHEN bool_or(alphabet = 'config') THEN 'config_dependent' WHEN any_value(placement) IS NOT NULL THEN 'ring_coupled:' || any_value(placement) ELSE 'pure' END AS verdict FROM documents LEFT JOIN cls USING (doc_id) LEFT JOIN placed USING (doc_id) GROUP BY 1",
+    "doc_placement": f"WITH {_CLS}, {_PLACED} SELECT doc_id, placement FROM documents LEFT JOIN placed USING (doc_id)",
     "curry_plan": f"WITH {_CLS} SELECT CASE WHEN starts_with(alphabet, 'ring:') THEN 'bind_ring:' || alphabet[6:] WHEN alphabet = 'config' THEN 'curry_to_slot' WHEN alphabet = 'ambient:effect' THEN 'isolate_effect' WHEN alphabet = 'demand' THEN 'demand' ELSE 'leave' END AS action, count(*) AS n FROM cls GROUP BY 1",
-    "effect_blocks": f"WITH {_TURNS}, w AS (SELECT conv_id, name, min(turn) AS first FROM t WHERE length(name) = 2 GROUP BY 1, 2), r AS (SELECT t.conv_id, t.turn, t.name FROM t LEFT JOIN w USING (conv_id, name) WHERE length(t.name) <= 3 AND (first IS NULL OR first > t.turn)), g AS (SELECT conv_id, turn, count(*) AS n, bool_or(name IN ('the', 'les', 'und', 'que')) AS e FROM r GROUP BY 1, 2) SELECT c.conv_id, c.turn AS i, CAST(coalesce(n, 0) AS INT) AS n_frees, coalesce(e, false) AS effect FROM conversations c LEFT JOIN g USING (conv_id, turn)",
+    "effect_blocks": f"WITH {_TURNS}, w AS (SELECT conv_id, name, min(turn) AS first FROM t WHERE length(name) = 2 GROUP BY 1, 2), r AS (SELECT t.conv_id, t.turn, t.name FROM t LEFT JOIN w USING (conv_id, name) WHERE (first IS NULL OR first > t.turn)), g AS (SELECT conv_id, turn, count(*) AS n, bool_or(name IN ('the', 'les', 'und', 'que')) AS e FROM r GROUP BY 1, 2) SELECT c.conv_id, c.turn AS i, CAST(coalesce(n, 0) AS INT) AS n_frees, coalesce(e, false) AS effect FROM conversations c LEFT JOIN g USING (conv_id, turn)",
     "intake_diff": f"WITH {_CLS}, mass AS (SELECT doc_id, ring, count(*) AS m FROM tok JOIN rings ON member = name GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), c AS (SELECT d.doc_id, CASE WHEN doc_id % 11 = 0 THEN 'zz' ELSE lang END AS ring, coalesce(n, 0) AS n FROM documents d LEFT JOIN n USING (doc_id)), o AS (SELECT c.*, coalesce(a.m, 0) AS own, coalesce((SELECT max(m) FROM mass b WHERE b.doc_id = c.doc_id AND b.ring <> c.ring), 0) AS other FROM c LEFT JOIN mass a ON a.doc_id = c.doc_id AND a.ring = c.ring), x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing_intent' WHEN doc_id % 3 = 0 THEN 'reads_differ' WHEN doc_id % 5 = 0 THEN 'writes_differ' WHEN ring NOT IN ('en', 'fr', 'de') THEN 'no_such_ring' WHEN own = 0 AND n > 0 THEN 'no_support' WHEN other >= own THEN 'not_unique' END AS reason FROM o) SELECT doc_id AS id, CASE WHEN reason IS NULL THEN 'admitted' ELSE 'refused' END AS status, reason, CASE WHEN doc_id % 3 = 0 THEN 'zz9' ELSE '' END AS overclaimed FROM x",
     "stack_validate": f"WITH {_TURNS}, a AS (SELECT conv_id, name, min(turn) AS first FROM t WHERE length(name) <= 3 GROUP BY 1, 2), gap AS (SELECT t.conv_id, turn AS depth, 0 AS chk, string_agg(t.name, ',' ORDER BY t.name) AS names FROM t LEFT JOIN a USING (conv_id, name) WHERE length(t.name) = 2 AND t.name < 'c' AND t.name NOT IN ('a', 'an', 'as', 'at', 'au', 'be') AND (first IS NULL OR first >= turn) GROUP BY 1, 2), leak AS (SELECT conv_id, turn AS depth, 1 AS chk, string_agg(name, ',' ORDER BY name) AS names FROM t WHERE length(name) = 4 AND name < 'b' GROUP BY 1, 2), f AS (SELECT * FROM (SELECT * FROM gap UNION ALL SELECT * FROM leak) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth, chk) = 1) SELECT c.conv_id, CASE WHEN f.conv_id IS NULL THEN 'ok' ELSE 'refused' END AS status, depth, CASE chk WHEN 0 THEN 'missing' WHEN 1 THEN 'leak' END AS reason, names FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id)",
+    "relational_validation": "",
     "soup": f"WITH {_SLOTS} SELECT instance, verb, string_agg(slot, ',' ORDER BY pos) AS unbound FROM s ANTI JOIN b USING (instance, slot) GROUP BY 1, 2",
     "heat": f"WITH {_SLOTS}, o AS (SELECT instance, count(DISTINCT slot) AS h FROM s ANTI JOIN b USING (instance, slot) GROUP BY 1) SELECT i.instance, coalesce(h, 0) AS heat FROM (SELECT DISTINCT instance FROM s) i LEFT JOIN o USING (instance)",
     "bind_new": f"WITH {_SLOTS} SELECT instance, pos, slot, CASE WHEN row_number() OVER (PARTITION BY instance, slot ORDER BY pos) = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE b.instance = s.instance AND b.slot = s.slot) THEN 'bound' ELSE 'refused' END AS status FROM s",
@@ -265,3 +306,4 @@ ORACLES = {
     "prolog_facts": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {i}, '{line}')" for p, i, _, line in _FACTS) + ") t(predicate, idx, line)",
     "prolog_roundtrip": "SELECT predicate, string_agg(atom, ',' ORDER BY idx, atom) AS atoms FROM (VALUES " + ", ".join(f"('{p}', {0 if p == 'conditional_verb' else i}, '{n}')" for p, i, n, _ in _FACTS) + ") t(predicate, idx, atom) GROUP BY 1",
 }
+ORACLES["relational_validation"] = f"SELECT 'c' || conv_id AS name, status = 'ok' AS relational_validation FROM ({ORACLES['stack_validate']})"

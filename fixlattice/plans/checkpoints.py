@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset: this machine's temporary folder in local mode, an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.gettempdir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a written table in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """df as a written table in the shared folder."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -87,9 +87,12 @@ def closure_inflationary_violations(spark, sf):
 
 
 def leq_pairs(spark, sf):
-    s = _user_masks(spark, sf).select(F.struct("level", "w", "r").alias("s"), "user_id")
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, L.leq(F.col("a.s"), F.col("b.s"))).groupBy(F.col("a.user_id").alias("user_id")).agg(F.count("*").alias("n_above"))
+    # users of one state count once: at most as many states meet as the lattice has
+    users = _user_masks(spark, sf).select(F.struct("level", "w", "r").alias("s"), "user_id")
+    states = users.groupBy("s").agg(F.count("*").alias("n"))
+    a, b = states.alias("a"), states.alias("b")
+    above = a.join(b, L.leq(F.col("a.s"), F.col("b.s"))).groupBy(F.col("a.s").alias("s")).agg(F.sum("b.n").alias("n_above"))
+    return users.join(above, "s").select("user_id", "n_above")
 
 
 def lub_by_event_type(spark, sf):
@@ -160,10 +163,11 @@ def promoted_users(spark, sf):
 
 def substrate_roundtrip(spark, sf):
     """Whether region and nation survive each registered format; files go to a session's own folder."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    from fixlattice.plans.checkpoints import shared_root
+
+    root = shared_root(spark)
     rows = []
     for t in ("region", "nation"):
         for s in sorted(log_store.SUBSTRATES):

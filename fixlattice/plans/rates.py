@@ -108,7 +108,19 @@ def user_sessions(spark, sf):
 _TOK = f"tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '([a-z'']+)', 1)) AS word FROM documents), wc AS (SELECT lang, word, count(*) AS n FROM tok WHERE word NOT IN ({_STOP}) GROUP BY lang, word)"
 
 QUERIES = {f.__name__: f for f in (wilson_by_source, ci_separated_pairs, select_hillclimb, select_mu_plus_lambda, select_ucb, select_tournament, pareto_suppliers, word_count_by_lang, total_words_by_doc, top_words_by_lang, normalized_digest, word_report, content_identity, quality_rollup, user_sessions)}
+
+
+def _tournament_sql(mu: int, size: int = 2, seed: int = 0) -> str:
+    """The rounds one after another: each draws by MD5 among those that no round before has won."""
+    rounds, won = [], "SELECT NULL::BIGINT AS pos, 0 AS rank WHERE false"
+    for n in range(1, mu + 1):
+        rounds.append(f"d{n} AS (SELECT pos, primary_, row_number() OVER (ORDER BY md5('{seed}:{n}:' || pos), pos) AS k FROM scored WHERE pos NOT IN (SELECT pos FROM ({won})) QUALIFY k <= {size}), w{n} AS (SELECT pos, {n} AS rank FROM d{n} ORDER BY primary_ DESC, k LIMIT 1)")
+        won = " UNION ALL ".join(f"SELECT * FROM w{j}" for j in range(1, n + 1))
+    return f"WITH {_RATED}, {', '.join(rounds)} SELECT source, CAST(rank AS INT) AS rank FROM ({won}) JOIN scored USING (pos)"
+
+
 ORACLES = {
+    "select_tournament": _tournament_sql(4),
     "wilson_by_source": f"WITH {_RATED} SELECT source, k, n, round(rate, 9) AS rate, round(lo, 9) AS lo, round(hi, 9) AS hi FROM rated",
     "ci_separated_pairs": f"WITH {_RATED} SELECT a.source AS above, b.source AS below FROM rated a JOIN rated b ON a.lo > b.hi",
     "select_hillclimb": f"WITH {_RATED} SELECT source, round(primary_, 9) AS value, CAST(row_number() OVER (ORDER BY primary_ DESC, pos) AS INT) AS rank FROM scored WHERE primary_ > {_BASE} QUALIFY rank <= 5",

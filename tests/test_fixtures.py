@@ -114,7 +114,15 @@ def test_deduction(spark):
     assert sorted(r.name for r in active.collect()) == ["deliver", "qualify", "report", "source", "write"]
     assert {r.name: r.status for r in deduce.predict(pool, available).collect()}["deliver"] == "buildable"
     assert deduce.residue(pool, "verdict", []) == ["pull_api", "send_api"] and deduce.residue(pool, "x", []) == ["x"]
+    ways = deduce.derivations(pool, "verdict", ["pull_api", "send_api"]).collect()
+    assert [(r.pos, r.chain, r.residue) for r in ways] == [(0, ["source", "write", "deliver", "report"], [])]
+    assert deduce.derivations(pool, "pull_api", ["pull_api"]).first().chain == [] and deduce.derivations(pool, "verdict", [], depth=2).isEmpty()
+    rows = [(0, "long", ["t"], ["a", "b"], []), (1, "short", ["t"], ["a"], []), (2, "loop", ["t"], ["l"], []), (3, "back", ["l"], ["t"], []), (4, "free", ["t"], [], []), (5, "mk_a", ["a"], ["x"], []), (6, "mk_b", ["b"], ["a", "y"], [])]
+    ways = deduce.derivations(spark.createDataFrame(rows, deduce.UNIT), "t", ["x"]).collect()
+    # "loop" would need t for t; the others in pool order
+    assert [(r.pos, r.chain, r.residue) for r in ways] == [(0, ["mk_a", "mk_b", "long"], ["y"]), (1, ["mk_a", "short"], []), (2, ["free"], [])]
     empty = pool.limit(0)
+    assert deduce.residue(empty, "x", []) == ["x"]
     assert deduce.closure_rounds(empty, base)[1].isEmpty()
 
 
@@ -128,6 +136,92 @@ def test_blocks():
     assert source_rows.free_names("def f(a):\n    return g(a) + len(a)\n") == (["g"], ["len"], "f")
 
 
+def test_sources_that_do_not_parse_are_rows_with_a_reason(spark):
+    bad = spark.createDataFrame([("x", "def f(:"), ("y", None), ("z", "x = 1"), ("ok", "import re\n")], "n string, src string")
+    for function in (source_rows.Signature, source_rows.Derive, source_rows.CallableUnit, source_rows.Blockify):
+        arguments = [F.col("src").outer(), *([F.lit(True)] if function is source_rows.Blockify else [])]
+        rows = bad.lateralJoin(function(*arguments).alias("r")).select("n", "r.reason").collect()
+        assert {r.n: r.reason for r in rows} == {"x": "syntax_error", "y": "not_a_function", "z": "not_a_function", "ok": "not_a_function"}
+    rows = bad.lateralJoin(source_rows.SelfAccesses(F.col("src").outer()).alias("r")).select("n", "r.reason").collect()
+    assert {r.n: r.reason for r in rows}["x"] == "syntax_error"
+    good = spark.createDataFrame([("def f(a, *b, c=1, **d):\n    total = re.sub(a, g(b), len(d))\n    return total\n",)], "src string")
+    d = good.lateralJoin(source_rows.Derive(F.col("src").outer()).alias("d")).select("d.*").first()
+    assert (d.name, d.reads, d.writes, d.builtin_named, d.n_blocks) == ("f", ["g", "re"], ["f"], ["len"], 2)
+    u = good.lateralJoin(source_rows.CallableUnit(F.col("src").outer()).alias("d")).select("d.*").first()
+    assert (u.provides, u.requires) == (["f"], ["g"])
+    s = good.lateralJoin(source_rows.Signature(F.col("src").outer()).alias("d")).select("d.*").collect()
+    assert [(r.param, r.kind, r.has_default) for r in s] == [("a", "positional", False), ("b", "varargs", True), ("c", "keyword", True), ("d", "varkw", True)]
+
+
+def test_a_block_as_a_function(spark):
+    row = spark.createDataFrame([("f", 2, ["a"], ["b"], "if a:\n    b = 1")], "fn string, i int, r array<string>, w array<string>, s string")
+    text = row.select(source_rows.functionalize(*(F.col(c) for c in ("fn", "i", "r", "w", "s")))).first()[0]
+    assert text == "def _f_block_2(a):\n    if a:\n        b = 1\n    return (b,)\n"
+
+
+def test_decorated_classes_stay_verbatim(spark):
+    df = spark.createDataFrame([("@d\nclass A:\n    pass\nclass B:\n    def m(self): pass\n",)], "src string")
+    rows = df.lateralJoin(source_rows.ModuleReport(F.col("src").outer()).alias("m")).select("m.*").collect()
+    assert [(r.name, r.granularity, r.reason, r.n_blocks) for r in rows] == [("A", "verbatim", "decorated", 0), ("B", "opened", None, 1)]
+
+
+def test_json_text_of_any_path(spark):
+    paths = [['a"b', "c\\d"], ["é\n\t", "😀", "\x01\x7f"], ["", "plain"]]
+    df = spark.createDataFrame([(f"p{i}", 0, "add", p, "1") for i, p in enumerate(paths)], "program string, seq long, op string, path array<string>, value string")
+    got = {r.program: r.ops for r in deltas.canonical_json(df).collect()}
+    for i, p in enumerate(paths):
+        assert got[f"p{i}"] == json.dumps([["add", p, 1]])
+
+
+def test_programs_of_overlapping_paths_are_refused(spark):
+    rows = [("p", 0, "override", ["a"], "1"), ("p", 1, "override", ["a", "b"], "2"), ("q", 0, "override", ["a"], "1"), ("q", 1, "override", ["b"], "2")]
+    df = spark.createDataFrame(rows, "program string, seq long, op string, path array<string>, value string")
+    got = {(r.program, tuple(r.path)): (r.status, r.reason) for r in deltas.compose(df).collect()}
+    assert got[("p", ("a",))] == got[("p", ("a", "b"))] == ("refused", "prefix_overlap") and got[("q", ("a",))] == ("ok", None)
+    assert deltas.compose(deltas.identity(spark)).isEmpty()
+
+
+def test_evolution(spark):
+    assert evolve.phenotype({"a": {"b": 1}}, [("override", ("a", "b"), 2), ("add", ("c", "d"), 3)]) == {"a": {"b": 2}, "c": {"d": 3}}
+    for ops, reason in (([("add", ("a",), 1)], "present"), ([("exclude", ("x",), None)], "absent"), ([("replace", ("a",), 1)], "unknown_op")):
+        with pytest.raises(ValueError, match=reason):
+            evolve.phenotype({"a": 1}, ops)
+
+    def score(genomes):
+        return genomes.select("id", F.get_json_object("config", "$.x").cast("long").alias("k"), F.lit(10).alias("n"))
+
+    def ladder(ops, rng):
+        now = ops[0][2] if ops else 1
+        return [[("override", ("x",), now + 1)], [("override", ("x",), 0)], [("exclude", ("gone",), None)]]
+
+    rows = evolve.evolve(spark, {"x": 1}, score, [ladder], generations=4, mu=1).collect()
+    assert (rows[0].generation, rows[0].fitness, rows[0].verdict_at_eval) == (-1, 0.1, "BASELINE")
+    best = [(r.generation, r.fitness) for r in rows if r.verdict_at_eval == "KEEP"]
+    assert best == [(0, 0.2), (1, 0.3), (2, 0.4), (3, 0.5)] and len({r.id for r in rows}) == len(rows)
+    assert [r.verdict_at_eval for r in rows].count("UNVIABLE") == 1
+    # what an earlier run has scored is passed over
+    again = evolve.evolve(spark, {"x": 1}, score, [ladder], generations=2, mu=1, registry=spark.createDataFrame(rows))
+    assert [r.verdict_at_eval for r in again.collect()] == ["BASELINE"]
+    # strictly above the baseline: neutral genomes don't survive
+    neutral = [("override", ("x",), 1)]
+    assert evolve.best_above([(neutral, 0.1)], 2, 0.1, None) == [] and evolve.best_with_baseline([(neutral, 0.1)], 2, 0.1, None) == [(neutral, 0.1)]
+    rows = evolve.evolve(spark, {"x": 1}, score, [lambda ops, rng: [neutral]], generations=1, select=evolve.best_above).collect()
+    assert [r.verdict_at_eval for r in rows] == ["BASELINE", "REJECT"]
+
+
+def test_pareto_front_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    for keys in (["a", "b"], ["a", "b", "c"]):
+        rows = [(i, *(rng.randrange(12) for _ in range(3))) for i in range(300)] + [(900, None, 1, 1)]
+        df = spark.createDataFrame(rows, "pos long, a long, b long, c long").repartition(7)
+        got = {r.pos for r in selection.pareto_front(df, keys).collect()}
+        n = len(keys) + 1
+        vectors = {r[0]: r[1:n] for r in rows if r[1] is not None}
+        assert got == {p for p, v in vectors.items() if not any(w != v and all(x >= y for x, y in zip(w, v)) for w in vectors.values())}
+
+
 def test_modularity_of_planted_clusters(spark):
     edges = [(a, b, 10) for g in (0, 4) for a in range(g, g + 4) for b in range(a + 1, g + 4)] + [(0, 4, 1)]
     e = spark.createDataFrame(edges, "src long, dst long, w long")
