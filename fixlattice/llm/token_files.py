@@ -11,7 +11,8 @@ A document's place in the whole is its part's base plus its offset. Bases are pr
 parts' lengths: a table of one row a part. Files are memory-mapped when they are read.
 
 Null text: a document of the end id alone. Repeated rows are documents of their own, ordered by the text's hash.
-An empty table gives no files and no rows. Files are written under another name and renamed, so a
+Equal rows keep any order among themselves. Very long texts are encoded whole, one at a time; a part is held by its task
+until it is written. Extra columns are ignored. An empty table gives no files and no rows. Files are written under another name and renamed, so a
 task that is run again, or twice at once, leaves the same whole file.
 """
 
@@ -87,12 +88,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, byte_level: bool
     bucket = ranges.count_at_or_below(F.col("doc_id"), bounds)
     dealt = docs.withColumn("bucket", bucket).withColumn("slot", ranges.even_slot(spark, F.col("bucket"), parts))
     dealt = dealt.repartition(parts, "slot").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
-    made = written(dealt.select("bucket", "doc_id", "text").mapInArrow(_writer(folder, path, byte_level, end_id), "part int, n_docs long, n_ids long"), "token-parts")
-    return with_bases(made)
+    return with_bases(dealt.select("bucket", "doc_id", "text").mapInArrow(_writer(folder, path, byte_level, end_id), "part int, n_docs long, n_ids long"))
 
 
 def with_bases(made: DataFrame) -> DataFrame:
-    """Adds each part's base: the ids of all parts before it. One row a part: the driver sums them."""
+    """Writes the parts and adds each one's base: the ids of all parts before it. One row a part: the driver sums them."""
     rows = sorted(made.collect(), key=lambda r: r.part)
     base, out = 0, []
     for r in rows:
