@@ -2,7 +2,8 @@
 
 Each round is two grouped minima (combined before the shuffle) and a join on the
 node, which adaptive execution splits where one node has very many links; no node's
-links are ever gathered. A round's links are written to the shared folder.
+links are ever gathered. A round's links are written to the shared folder. Nodes are of any type with an
+order; links of a node to itself and repeated links are ignored, rows with a null node aren't linked. Without links there are no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ pass over a narrow written table that returns one row of sums for each partition
 The classifier (multinomial logistic regression on hashed words and a few proportions) is fitted on the driver on a
 bounded sample: about ``per_class`` labelled documents of each class, by a hash of their id. All else
 covers every row. Null text: no words, posterior from the bias alone. Labels with nulls or without a document are
-left out; without labels there is one domain. Repeated rows get equal rates. An empty table gives no rows.
+left out; without labels there is one domain. Repeated rows get equal rates. Ties: a rate halfway between whole numbers
+is rounded up by ``take_nearest``. Very long texts are read whole, a row at a time beyond a megabyte. ``mix`` returns the columns it is asked for; ``take_nearest``
+carries all along, whatever their names. An empty table gives no rows. A fit that ends before its tolerance is met says so: ``mix`` returns the shares reached beside the targets.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from fixlattice.llm.text import Memo, release, slices
 BUCKETS = 1 << 18
 DENSE = 6
 PER_CLASS = 2_000
-STEPS = 40
+#: Steps of the fit at most, and in how many of them the loss must fall by a hundredth.
+STEPS = 120
+PATIENCE = 12
 TOLERANCE = 1e-3
 #: Standard errors by which a hashed word's share in one class must differ from the others' to be a feature.
 SIGNIFICANT = 4.0
@@ -187,13 +191,16 @@ def fit_rates(table: DataFrame, domains: int, targets: np.ndarray, total: float,
     m = np.array(table.agg(*[c for row in second for c in row]).first(), float).reshape(domains, domains) / total
     rate = 1.0 / max(1e-12, float(np.linalg.eigvalsh(m)[-1]))
     history: list[tuple[np.ndarray, float]] = []
-    best, t, before = None, 1.0, np.inf
+    best, t, before, losses = None, 1.0, np.inf, []
     for _ in range(steps + 1):
         rows = table.select("n_tokens", "posterior").mapInArrow(_sums(domains, history, rate, total), "y array<double>, x array<double>").collect()
         at_y, at_x = (np.sum([r[k] for r in rows], axis=0) for k in ("y", "x"))
         loss = float(((at_x - targets) ** 2).sum())
         if best is None or loss < best[0]:
             best = loss, len(history), at_x
+        losses.append(best[0])
+        if len(losses) > PATIENCE and best[0] > 0.99 * losses[-1 - PATIENCE]:
+            break
         if np.sqrt(loss) <= tolerance * np.sqrt((targets**2).sum()):
             break
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2

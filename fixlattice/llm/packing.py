@@ -10,7 +10,9 @@ them is at most half full. Two bins over half full never fit together either, so
 round can only put a half-empty bin into a host. All half-empty bins go up (one a
 partition at most), with as many hosts, those with most room, as there are partitions.
 
-Null text: the end id alone. Repeated rows are documents of their own. An empty table gives no rows.
+Null text: the end id alone. Repeated rows are documents of their own. Ties: of bins with equal room the one filled
+last is taken, of equal sizes the earlier. Very long texts are encoded whole and cut into pieces of the capacity. Extra columns are
+ignored by ``pack_documents`` and carried along by ``pack``. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,5 +1,8 @@
 """Language-model scores by prediction by partial matching.
 
+Null text: empty, its end alone is scored. Repeated rows are scored alike. Very long texts are read whole, in slices of their own.
+Ties don't occur: a score is a sum. Extra columns are ignored. An empty table gives no rows.
+
 A text's bytes (A-Z lower-cased), closed by the byte 0xFF that no UTF-8 text holds, are predicted one by one
 from the ``order`` bytes before (0xFF before the start). The trie of contexts is
 held as counts of (context, byte) for every length of context; below the longest, a byte counts once for each longer context that

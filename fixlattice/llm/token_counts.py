@@ -10,7 +10,8 @@ is allocated by a rule:
 
 A character whose bytes are shared by two tokens belongs to both spans. Null fields and texts
 count as empty; an empty line is a section that holds its break alone, the last one may hold nothing.
-The counts of a document's sections add up to its tokens.
+The counts of a document's sections add up to its tokens. Very long texts are encoded whole. Repeated rows
+give repeated sections. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

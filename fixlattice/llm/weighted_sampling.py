@@ -9,7 +9,9 @@ Two texts agree in a draw with probability sum(min(w, w')) / sum(max(w, w')), th
 generalised Jaccard similarity, so the share of equal components estimates it.
 
 Fewer than five words: the whole sequence is the only term. No words (null, empty
-or blank text): no term, a signature of zeros, which equals only its like.
+or blank text): no term, a signature of zeros, which equals only its like. Equal texts have equal signatures, so
+repeated rows do. Ties of ln a within a draw go to the lesser name of the sample. Very long texts are read whole, a block of
+terms at a time. ``fingerprints`` carries extra columns along, ``compare_with_edited`` ignores them. An empty table gives no rows.
 """
 
 from __future__ import annotations

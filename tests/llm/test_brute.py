@@ -412,3 +412,150 @@ def test_personal_data_against_brute_force(spark, sf, texts):
     for r in queries.QUERIES["op10_information_disclosure"](spark, sf).collect():
         spans, counts = personal(texts[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_fingerprint_query_against_exact_similarity(spark, sf, texts):
+    """Texts, hashes and edits exactly; likeness within sampling error of the exact generalised Jaccard similarity."""
+    import hashlib
+
+    rows = {r.doc_id: r for r in queries.QUERIES["op1_weighted_sampling"](spark, sf).collect()}
+    ids = sorted(texts)
+    off = []
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    for d, n in zip(ids, ids[1:] + ids[:1]):
+        text, following, r = texts[d] or "", texts[n] or "", rows[d]
+        cut = len(text) // 4
+        changed = text[: len(text) - cut] + following[:cut]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        for other, found in ((changed, r.near_edited), (following, r.near_next)):
+            a, b = shingles(text), shingles(other)
+            truth = sum((a & b).values()) / max(1, sum((a | b).values())) if a or b else 1.0
+            off.append(found - truth)
+    assert abs(np.mean(off)) < 0.01 and np.sqrt(np.mean(np.square(off))) < 0.065 and np.abs(off).max() < 0.3
+    by_text = {}
+    for d in ids:
+        by_text.setdefault(texts[d] or "", set()).add(rows[d].fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_rates_against_a_dense_solver(spark):
+    """The fitted document rates reach the least squares that a dense projected gradient reaches."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 300)
+    n = rng.integers(20, 400, 300)
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
+    total = float(n.sum())
+    for target in ([0.5, 0.3, 0.2], [0.9, 0.1, 0.0], [1.5, 0.0, 0.0]):
+        target = np.array(target)
+        history, rate, reached = mixing.fit_rates(df, 3, target, total)
+        w = n / total
+        x = np.ones(300)
+        for _ in range(20_000):
+            x = np.maximum(0, x - 0.5 / (w @ (p**2).sum(axis=1)) * (p @ ((w * x) @ p - target)))
+        best = ((w * x) @ p - target) @ ((w * x) @ p - target)
+        own = mixing.fold_rates(p, history, rate)[0]
+        assert (own >= 0).all() and (w * own) @ p == pytest.approx(reached)
+        # within half a percent of the tokens
+        assert np.linalg.norm(reached - target) <= np.sqrt(best) + 0.005
+
+
+def _plain_ppm(counts, text, order=5):
+    """log10 probability by dictionaries: escape method D, symbol exclusion, update exclusion in the counts."""
+    past, out = b"\xff" * order, 0.0
+    for byte in text + b"\xff":
+        seen = set()
+        for k in range(order, -1, -1):
+            node = {s: c for s, c in counts.get(past[len(past) - k :], {}).items() if s not in seen}
+            if not node:
+                continue
+            total = 2 * sum(node.values())
+            if byte in node:
+                out += math.log10((2 * node[byte] - 1) / total)
+                break
+            out += math.log10(len(node) / total)
+            seen |= node.keys()
+        else:
+            out -= math.log10(256 - len(seen))
+        past = (past + bytes([byte]))[1:]
+    return out
+
+
+def test_scores_against_a_plain_model(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "al", "be", "Gam"]
+    docs = {i: " ".join(rng.choices(words, k=rng.randrange(0, 25))) + ("é\n" if i % 5 == 0 else "") for i in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in ppm.score_documents(df, F.col("doc_id") % 4 == 1).collect()}
+    counts: dict[bytes, Counter] = {}
+    longest = Counter()
+    for i, t in docs.items():
+        if i % 4 != 1:
+            raw = b"\xff" * 5 + t.encode().lower() + b"\xff"
+            longest.update((raw[j : j + 5], raw[j + 5]) for j in range(len(raw) - 5))
+    level = longest
+    for k in range(5, -1, -1):
+        for (context, byte), c in level.items():
+            counts.setdefault(context, Counter())[byte] = c
+        level = Counter((context[1:], byte) for context, byte in level) if k else None
+    for i, t in docs.items():
+        assert rows[i].score == pytest.approx(_plain_ppm(counts, t.encode().lower()), rel=1e-4), i
+
+
+def test_allocation_rules_against_characters():
+    from fixlattice.llm.token_counts import allocate
+
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 30)
+        cuts = sorted(rng.sample(range(1, n + 1), rng.randrange(0, min(n, 6))))
+        bounds = np.array([0, *[c for c in cuts if c < n], n])
+        ends = np.array(sorted({*rng.sample(range(1, n + 1), rng.randrange(1, n + 1)), n}))
+        starts = np.array([0, *ends[:-1]])
+        of = np.searchsorted(bounds, np.arange(n), side="right") - 1
+        for rule in ("largest", "first", "last"):
+            section, crosses = allocate(starts, ends, bounds, rule)
+            for k, (a, b) in enumerate(zip(starts, ends)):
+                own = of[a:b].tolist()
+                held = Counter(own)
+                most = max(held.values())
+                wanted = {"first": own[0], "last": own[-1], "largest": min(s for s in held if held[s] == most)}[rule]
+                assert section[k] == wanted and crosses[k] == (len(held) > 1)
+
+
+def test_section_query_against_the_library(spark, sf, texts):
+    tok = PieceEncoder(public_vocabulary("byte_bpe_50k.json"), True).tok
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in queries.QUERIES["op8_section_tokens"](spark, sf).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for d, doc in docs.items():
+        parts = [doc.source or "", doc.lang or "", *(doc.text or "").split("\n")]
+        whole = "\n".join(parts)
+        if not whole.isascii():
+            continue  # a character of two tokens is in both spans: the library's offsets say it otherwise
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        ends[-1] -= 1
+        starts = np.array([0, *ends[:-1]])
+        counts = Counter()
+        for a, b in tok.encode(whole, add_special_tokens=False).offsets:
+            held = np.minimum(ends, b) - np.maximum(starts, a)
+            counts[int(np.argmax(held))] += 1
+        rows = sorted(got[d], key=lambda r: r.section)
+        assert [(r.start, r.end, r.n_tokens) for r in rows] == [(int(a), int(b), counts[k]) for k, (a, b) in enumerate(zip(starts, ends))]
+
+
+def test_packing_query_against_the_library(spark, sf, texts):
+    tok = PieceEncoder(public_vocabulary("word_bpe_49k.json"), False).tok
+    got = {(r.doc_id, r.piece): r for r in queries.QUERIES["op9_residual_packing"](spark, sf).collect()}
+    wanted = 0
+    for d, t in texts.items():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part, r = ids[at : at + 4096], got[(d, piece)]
+            assert (r.start, r.length, r.ids_crc32) == (at, len(part), zlib.crc32(part.tobytes()))
+            wanted += 1
+    assert len(got) == wanted

@@ -57,3 +57,19 @@ def test_stages(spark, sf):
     before, after = made["packing"]
     assert {r.doc_id for r in before.collect()} == {r.doc_id for r in after.collect()}
     assert corpus_pipeline.run(spark, sf).count() == after.count()
+
+
+def test_stages_with_odd_rows(spark, sf):
+    """Nulls, empty and long texts, repeated rows, an empty table and further columns, through every stage."""
+    body = " ".join(f"own{k} words{k}" for k in range(40))
+    rows = [(1, body, "en", "s", 9), (1, body, "en", "s", 9), (2, None, None, None, None), (3, "", "en", "s", 0), (None, " ".join(f"other{k} text{k}" for k in range(30)), "en", None, 3), (4, "long " + " ".join(f"w{k}" for k in range(30_000)), "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS _key", "'y' AS row", "'z' AS node")
+    made = docs
+    for name, stage in corpus_pipeline.STAGES:
+        made = written(stage(spark, made, sf), "odd")
+        assert stage(spark, docs.limit(0), sf).isEmpty()
+        alone = stage(spark, docs, sf)
+        if name != "packing":
+            assert alone.columns == made.columns == docs.columns and alone.count() <= len(rows)
+            assert all((r._key, r.row, r.node) == ("x", "y", "z") for r in made.collect())
+    assert {r.doc_id for r in made.collect()} == {1, None, 4}
