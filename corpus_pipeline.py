@@ -1,7 +1,11 @@
 """Raw documents to packed training sequences, in five stages.
 
 Each stage reads what the stage before has written as Parquet and covers all of it; all but the last return
-the columns of documents.
+the columns of documents, whatever further columns there are and whatever their names.
+
+Null and empty texts have no words: the first stage rejects them; called on their own, the second keeps one of them, the third leaves them alone,
+the fourth gives them the bias's posterior and the fifth a sequence of the end id alone. Very long texts are read whole. Repeated rows are documents of their own: the
+first stage judges them alike, the second keeps one. Ties: as the operators' modules say. An empty table gives an empty result.
 """
 
 from __future__ import annotations
