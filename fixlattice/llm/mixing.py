@@ -167,19 +167,26 @@ def fold_rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], rate: flo
     return x, y
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of (n_tokens, posterior) as one row of two byte strings: what each step reads."""
+    for batch in batches:
+        if batch.num_rows:
+            n, p = batch.column("n_tokens").to_numpy().tobytes(), batch.column("posterior").flatten().to_numpy().tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.binary()), pa.array([p], pa.binary())], names=["n", "p"])
+
+
 def _sums(domains: int, history: list, rate: float, total: float):
     """One row for each partition: expected tokens of each domain at the point the next step starts from, and at the rates themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_y, at_x = np.zeros(domains), np.zeros(domains)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = batch.column("posterior").flatten().to_numpy().reshape(-1, domains)
-            w = batch.column("n_tokens").to_numpy() / total
-            x, y = fold_rates(p, history, rate)
-            at_y += (w * y) @ p
-            at_x += (w * x) @ p
+            for sizes, posteriors in zip(batch.column("n").to_pylist(), batch.column("p").to_pylist()):
+                p = np.frombuffer(posteriors).reshape(-1, domains)
+                w = np.frombuffer(sizes, np.int64) / total
+                x, y = fold_rates(p, history, rate)
+                at_y += (w * y) @ p
+                at_x += (w * x) @ p
         yield pa.RecordBatch.from_arrays([pa.array([at_y.tolist()]), pa.array([at_x.tolist()])], names=["y", "x"])
 
     return run
@@ -191,9 +198,10 @@ def fit_rates(table: DataFrame, domains: int, targets: np.ndarray, total: float,
     m = np.array(table.agg(*[c for row in second for c in row]).first(), float).reshape(domains, domains) / total
     rate = 1.0 / max(1e-12, float(np.linalg.eigvalsh(m)[-1]))
     history: list[tuple[np.ndarray, float]] = []
+    blocks = written(table.select("n_tokens", "posterior").mapInArrow(_blocks, "n binary, p binary"), "mixture-blocks")
     best, t, before, losses = None, 1.0, np.inf, []
     for _ in range(steps + 1):
-        rows = table.select("n_tokens", "posterior").mapInArrow(_sums(domains, history, rate, total), "y array<double>, x array<double>").collect()
+        rows = blocks.mapInArrow(_sums(domains, history, rate, total), "y array<double>, x array<double>").collect()
         at_y, at_x = (np.sum([r[k] for r in rows], axis=0) for k in ("y", "x"))
         loss = float(((at_x - targets) ** 2).sum())
         if best is None or loss < best[0]:
