@@ -15,7 +15,7 @@ import regex
 #: Entries that a worker's memo may hold before it is emptied: bounds its memory, changes no result.
 MEMO_ENTRIES = 150_000
 #: Entries in each of the two generations of a tokenizer's memo, byte-level and word-level: bounds its memory, changes no result.
-GENERATIONS = (400_000, 300_000)
+GENERATIONS = (400_000, 200_000)
 
 
 def words_of(text: bytes) -> list[bytes]:
