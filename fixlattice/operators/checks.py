@@ -165,3 +165,64 @@ class BoundQuery:
         if missing := [s for s in self.slots if s not in values]:
             raise ValueError(f"unbound: {', '.join(missing)}")
         return self.spark.sql(self.sql, args={s: values[s] for s in self.slots})
+
+
+class BoundGroup:
+    """Parameterised SQL texts (method: (sql, parameters)) that share one table of bound slots.
+
+    A method takes the parameters that aren't slots at its call, and refuses to run while one of its own slots is unbound;
+    slots that only other methods have don't hold it up.
+    """
+
+    def __init__(self, spark: SparkSession, methods: dict[str, tuple[str, tuple[str, ...]]], slots: tuple[str, ...], defaults: dict | None = None, bound: dict | None = None):
+        self.spark, self.methods, self.slots, self.defaults = spark, dict(methods), tuple(sorted(slots)), dict(defaults or {})
+        if unknown := sorted((bound or {}).keys() - set(self.slots)):
+            raise ValueError(f"no slot {', '.join(unknown)}")
+        self.bound = dict(bound or {})
+
+    def bind(self, slot: str, value) -> "BoundGroup":
+        if slot in self.bound:
+            raise ValueError(f"{slot!r} is bound already")
+        return BoundGroup(self.spark, self.methods, self.slots, self.defaults, self.bound | {slot: value})
+
+    @property
+    def unbound(self) -> list[str]:
+        return [s for s in self.slots if s not in self.bound]
+
+    def plan(self) -> dict[str, tuple[list[str], list[str], list[str]]]:
+        """method: (slots, parameters given at the call, slots still unbound), each in the method's own order."""
+        out = {}
+        for name, (_, params) in self.methods.items():
+            own = [p for p in params if p in self.slots]
+            out[name] = (own, [p for p in params if p not in self.slots], [p for p in own if p not in self.bound])
+        return out
+
+    def call(self, method: str, **given) -> DataFrame:
+        own, rest, missing = self.plan()[method]
+        if missing:
+            raise ValueError(f"{method}, unbound: {', '.join(missing)}")
+        if odd := sorted(given.keys() - set(rest)):
+            raise ValueError(f"{method}, no parameter {', '.join(odd)}")
+        values = {p: self.bound[p] for p in own} | {p: self.defaults[p] for p in rest if p in self.defaults} | given
+        if absent := [p for p in rest if p not in values]:
+            raise ValueError(f"{method}, not given: {', '.join(absent)}")
+        return self.spark.sql(self.methods[method][0], args=values)
+
+
+class Curried:
+    """A stack put together one ring at a time, innermost first; each call returns a new composer, so a beginning can be shared."""
+
+    def __init__(self, spark: SparkSession, base: tuple[str, ...] = (), rings: tuple[tuple, ...] = ()):
+        self.spark, self.base, self.held = spark, tuple(base), tuple(rings)
+
+    def __call__(self, ring: str, adds=(), requires=(), accesses=()) -> "Curried":
+        return Curried(self.spark, self.base, (*self.held, (ring, list(adds), list(requires), list(accesses))))
+
+    def rings(self, stack: str) -> DataFrame:
+        """(stack, depth, ring, adds, requires, accesses), depth 0 the innermost."""
+        rows = [(stack, depth, *r) for depth, r in enumerate(self.held)]
+        return self.spark.createDataFrame(rows, "stack string, depth int, ring string, adds array<string>, requires array<string>, accesses array<string>")
+
+    def build(self, stack: str) -> DataFrame:
+        """The stack's one row of ``validate_stack``: ok, or the first ring that is refused and why."""
+        return validate_stack(self.rings(stack), "stack", list(self.base))

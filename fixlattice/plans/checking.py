@@ -184,6 +184,16 @@ def bound_query(spark, sf):
     return q.bind("most", 0.05)(least=10)
 
 
+def bound_group(spark, sf):
+    """Two methods over the line items that share the slot least: only one of them has a further slot."""
+    table(spark, sf, "lineitem").createOrReplaceTempView("_group_lineitem")
+    select = "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM _group_lineitem WHERE l_quantity >= :least"
+    methods = {"cheap": (f"{select} AND l_discount >= :discount GROUP BY l_returnflag", ("least", "discount")), "taxed": (f"{select} AND l_tax >= :tax GROUP BY l_returnflag", ("least", "tax"))}
+    g = X.BoundGroup(spark, methods, ("least", "discount"), {"tax": 0.04}).bind("least", 10)
+    taxed, cheap = g.call("taxed"), g.bind("discount", 0.05).call("cheap")
+    return taxed.withColumn("method", F.lit("taxed")).unionByName(cheap.withColumn("method", F.lit("cheap")))
+
+
 def _sources(spark):
     return spark.createDataFrame(list(SOURCES.items()), "source_name string, src string")
 
@@ -281,8 +291,9 @@ _SLOTS = "s AS (SELECT source AS instance, lang AS verb, doc_id AS pos, 's' || (
 _FACTS = [(p, i, n, f"{p}({i}, {n}).") for d, p in W.PREDICATES.items() for i, n in enumerate(dims.DIMENSIONS[d])] + [("conditional_verb", i, n, f"conditional_verb({n}).") for i, n in enumerate(dims.CONDITIONAL_VERBS)]
 _FLAGS = " || chr(10) || ".join(f"'    <{p} rdf:datatype=\"{W.BOOLEAN}\">' || CASE WHEN ({m} >> {i}) & 1 = 1 THEN 'true' ELSE 'false' END || '</{p}>'" for names, m, pre in ((dims.COOLING, "w", "witnessed_"), (dims.RITES, "r", "rite_")) for i, p in ((i, pre + n) for i, n in enumerate(names)))
 
-QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
+QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, bound_group, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
 ORACLES = {
+    "bound_group": "SELECT 'taxed' AS method, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_tax >= 0.04 GROUP BY l_returnflag UNION ALL SELECT 'cheap', l_returnflag, count(*), round(sum(l_quantity), 2) FROM lineitem WHERE l_quantity >= 10 AND l_discount >= 0.05 GROUP BY l_returnflag",
     "predict_status": "SELECT * FROM (VALUES ('pull', 'source', 'active', '', ''), ('pull', 'qualify', 'active', '', ''), ('pull', 'write', 'active', '', ''), ('pull', 'deliver', 'blocked', 'send_api', 'postal_address'), ('pull', 'report', 'blocked', 'sends', ''), ('both', 'source', 'active', '', ''), ('both', 'qualify', 'active', '', ''), ('both', 'write', 'active', '', ''), ('both', 'deliver', 'buildable', '', 'postal_address'), ('both', 'report', 'active', '', '')) t(base, name, status, capability_residue, binding_residue)",
     "closure_fixture": "SELECT 'contacts,copy,fit_scores,pull_api' AS available, 'contacts,fit_scores,copy' AS \"order\", 'qualify,source,write' AS active",
     "closure_numeric": "WITH RECURSIVE p AS (SELECT p_partkey AS i FROM part), lim AS (SELECT max(i) AS m FROM p), a AS (SELECT 0 AS round, [0::BIGINT] AS have UNION ALL SELECT round + 1, list_concat(have, new) FROM (SELECT round, have, (SELECT coalesce(list(i), []) FROM p WHERE i % 17 <> 0 AND NOT list_contains(have, i) AND list_contains(have, i // 2) AND list_contains(have, i // 3)) AS new FROM a) WHERE len(new) > 0), f AS (SELECT round, unnest(have) AS i FROM a) SELECT 'u' || i AS name, CAST(min(round) AS INT) AS round FROM f WHERE i > 0 GROUP BY i",

@@ -279,3 +279,36 @@ def test_stream_keeps_the_latest(spark, tmp_path):
         S.keep_latest(S.log_stream(spark, path), out, f"file://{tmp_path}/ck").awaitTermination()
     last = {r.name: r.graph_identity for r in spark.read.parquet(f"{out}/1").collect()}
     assert last == {"n0": "g1", "n1": "g1", "n2": "g0"}
+
+
+def test_bound_group(spark):
+    g = checks.BoundGroup(spark, {"add": ("SELECT :a + :x AS s", ("a", "x")), "both": ("SELECT :a * :b + :y AS s", ("y", "b", "a"))}, ("b", "a"), {"y": 1})
+    assert g.plan() == {"add": (["a"], ["x"], ["a"]), "both": (["b", "a"], ["y"], ["b", "a"])}
+    one = g.bind("a", 2)
+    assert one.unbound == ["b"] and g.unbound == ["a", "b"]
+    assert one.call("add", x=5).first().s == 7
+    for bad in (lambda: one.call("both"), lambda: one.call("add"), lambda: one.call("add", x=1, a=3), lambda: one.bind("a", 1), lambda: one.bind("z", 1)):
+        with pytest.raises(ValueError):
+            bad()
+    assert one.bind("b", 3).call("both").first().s == 7 and one.bind("b", 3).call("both", y=4).first().s == 10
+
+
+def test_curried_stacks(spark):
+    begun = checks.Curried(spark, ("log",))("Greet", adds=["greet"], requires=["log"])
+    good = begun("Shout", adds=["shout"], requires=["greet"], accesses=["greet", "shout"])
+    assert [(r.depth, r.ring) for r in good.rings("s").orderBy("depth").collect()] == [(0, "Greet"), (1, "Shout")]
+    assert good.build("s").first().status == "ok" and len(begun.held) == 1
+    gap = begun("Sing", requires=["tune"]).build("s").first()
+    assert (gap.status, gap.depth, gap.reason, gap["names"]) == ("refused", 1, "missing", ["tune"])
+    leak = begun("Peek", accesses=["greet"]).build("s").first()
+    assert (leak.reason, leak["names"]) == ("leak", ["greet"])
+    assert checks.Curried(spark).build("none").count() == 0
+
+
+def test_units_of_classes_and_callables(spark):
+    classes = spark.createDataFrame([(0, "Send", "send", ["to", "cc"]), (1, "Plain", None, None)], "pos int, name string, impl string, slots array<string>")
+    got = [tuple(r) for r in deduce.unit_from_classes(classes).orderBy("pos").collect()]
+    assert got == [(0, "Send", ["send"], [], ["cc", "to"]), (1, "Plain", ["Plain"], [], [])]
+    src = "def f(p):\n    print(math.pi, len(p), fetch(p))\n    return open(p)\n"
+    u = spark.createDataFrame([(src,)], "src string").lateralJoin(source_rows.CallableUnit(F.col("src").outer()).alias("u")).select("u.*").first()
+    assert (u.name, u.provides, u.requires) == ("f", ["f"], ["fetch", "open", "print"])
