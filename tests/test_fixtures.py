@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fixlattice.functions import dims, lattice, stats
 from fixlattice.functions import text as T
-from fixlattice.operators import checks, climb, deduce, deltas, evolve, graph, selection, source_rows
+from fixlattice.operators import attributes, checks, climb, deduce, deltas, evolve, graph, selection, source_rows
 from fixlattice.operators import log as G
 from fixlattice.plans.checking import SOURCES, UNITS
 from fixlattice.sources import codecs, log_store
@@ -312,3 +312,17 @@ def test_units_of_classes_and_callables(spark):
     src = "def f(p):\n    print(math.pi, len(p), fetch(p))\n    return open(p)\n"
     u = spark.createDataFrame([(src,)], "src string").lateralJoin(source_rows.CallableUnit(F.col("src").outer()).alias("u")).select("u.*").first()
     assert (u.name, u.provides, u.requires) == ("f", ["f"], ["fetch", "open", "print"])
+
+
+def test_attribute_kit(spark):
+    kit = attributes.Kit().add("gross", "net * (1 + rate)", computed=True, dependencies=["rate"]).add_from({"name": "rate", "value": 0.5, "type": "double"})
+    assert kit.order() == ["rate", "gross"] and kit.dependencies("gross") == ["rate"] and kit.dependencies("rate") == kit.dependencies("none") == []
+    out = kit.apply(spark.createDataFrame([(2.0,)], "net double"))
+    assert out.first().gross == 3.0 and out.schema["rate"].metadata == {"comment": "Attribute rate"}
+    assert kit.update("rate", 1.0).apply(spark.createDataFrame([(2.0,)], "net double")).first().gross == 4.0 and kit.get("rate").value == 0.5
+    with pytest.raises(KeyError):
+        kit.update("none", 1)
+    with pytest.raises(ValueError):
+        kit.add_from({"value": 1})
+    with pytest.raises(ValueError):
+        attributes.Kit().add("a", "b", computed=True, dependencies=["b"]).add("b", "a", computed=True, dependencies=["a"]).order()
