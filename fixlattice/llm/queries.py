@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixlattice.llm import quality
+from fixlattice.llm import exponion, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,23 @@ def op10_information_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(_table(spark, sf_dir, "documents")))
 
 
+def op11_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.secret_scans import digest, scan
+
+    # a source is an owner; what it has in one language is a repository
+    return digest(scan(_table(spark, sf_dir, "documents"), owner="source", repository="lang"))
+
+
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.with_inertia(*exponion.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixlattice.llm.resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_weighted_sampling": op1_weighted_sampling,
     "op2_soft_membership": op2_soft_membership,
@@ -94,5 +111,8 @@ QUERIES = {
     "op8_section_tokens": op8_section_tokens,
     "op9_residual_packing": op9_residual_packing,
     "op10_information_disclosure": op10_information_disclosure,
+    "op11_ownership_frequency": op11_ownership_frequency,
+    "op12_exponion": op12_exponion,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op7_line_frequency": quality.ORACLE}
+ORACLES: dict[str, str] = {"op7_line_frequency": quality.ORACLE, "op12_exponion": exponion.ORACLE}
