@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from fixlattice.operators.segments import cut
+
 OPS = ("override", "add", "exclude")
 
 
@@ -53,29 +55,129 @@ def compose(deltas: DataFrame, program: str = "program", path: str = "path") ->
         over = overlapping(deltas, program, path)
         both = over.select(program, F.explode(F.array(path, "prefix")).alias(path)).distinct().withColumn("_over", F.lit("prefix_overlap"))
         fused = fused.join(both, [program, path], "left").withColumn("reason", F.coalesce("reason", "_over")).drop("_over")
-    w = Window.partitionBy(program)
-    out = fused.withColumn("pos", F.row_number().over(w.orderBy("first_seq")) - 1).withColumn("refused", F.bool_or(F.col("reason").isNotNull()).over(w))
-    return out.withColumn("status", F.when(F.col("refused"), "refused").otherwise("ok")).drop("refused")
+    segments = cut(fused, [program], "first_seq")
+    rows = segments.with_carry(segments.rows, {"n": F.count("*")}, F.lit(0).cast("long"), lambda held, s: held + s["n"])
+    rows = segments.with_totals(rows, {"refused": F.bool_or(F.col("reason").isNotNull())})
+    out = rows.withColumn("pos", (F.col("_carry") + F.row_number().over(segments.window()) - 1).cast("int"))
+    return out.withColumn("status", F.when(F.col("refused"), "refused").otherwise("ok")).drop("refused", "_seg", "_carry")
 
 
-def apply_programs(deltas: DataFrame, base: DataFrame, program: str = "program", path: str = "path") -> DataFrame:
+def apply_programs(deltas: DataFrame, base: DataFrame, program: str = "program", path: str = "path", whole: bool = True) -> DataFrame:
     """Final (program, path, value) with status, abort_seq and reason, for disjoint paths.
 
     base: (path, value) present before. add refuses a present path, exclude an absent one; the first violation
-    aborts its program, and what came before it stands.
+    aborts its program, and what came before it stands. whole: the result has a row for each path of the base and program, touched or not;
+    otherwise for the paths that operations before the abort name, with a null value where a path is gone.
+    """
+    was = segments_of_last(deltas, [program, path])
+    with_base = was.join(base.select(F.col("path").alias(path), F.lit(True).alias("in_base")), path, "left")
+    present = F.coalesce(F.col("_before") != "exclude", F.col("in_base"), F.lit(False))
+    marked = with_base.withColumn("bad", F.when(F.col("op") == "add", present).when(F.col("op") == "exclude", ~present).otherwise(F.lit(False))).select(program, path, "seq", "op", "value", "bad")
+    by_program = cut(marked, [program], "seq")
+    at = F.when(F.col("bad"), F.col("seq"))
+    stops = {"abort_seq": F.min(at), "reason": F.min_by(F.when(F.col("op") == "add", "present").otherwise("absent"), at)}
+    kept = by_program.with_totals(by_program.rows, stops).where(F.col("abort_seq").isNull() | (F.col("seq") < F.col("abort_seq")))
+    final = kept.groupBy(program, path).agg(F.max_by("op", "seq").alias("last_op"), F.max_by("value", "seq").alias("value"), F.first("abort_seq").alias("abort_seq"), F.first("reason").alias("reason"))
+    status = F.when(F.col("abort_seq").isNull(), "ok").otherwise("refused").alias("status")
+    if not whole:
+        return final.select(program, path, F.when(F.col("last_op") != "exclude", F.col("value")).alias("value"), status, "abort_seq", "reason")
+    names = marked.groupBy(program).agg(*[c.alias(n) for n, c in stops.items()])
+    every = names.crossJoin(base.select(F.col("path").alias(path), F.col("value").alias("base_value")))  # the result has a row for each of these
+    touched = final.select(program, path, "last_op", "value")
+    # operations on paths outside the base: their own stops; all others: those of the names
+    both = every.join(touched.join(base.select(F.col("path").alias(path)), path, "left_semi"), [program, path], "left").select(program, path, F.when(F.col("last_op").isNotNull(), F.col("value")).otherwise(F.col("base_value")).alias("value"), "last_op", "abort_seq", "reason")
+    beside = final.join(base.select(F.col("path").alias(path)), path, "left_anti").select(program, path, "value", "last_op", "abort_seq", "reason")
+    return both.unionByName(beside).where("last_op IS NULL OR last_op <> 'exclude'").select(program, path, "value", status, "abort_seq", "reason")
+
+
+def segments_of_last(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    """deltas with _before, the operation before each one on its keys, found in segments."""
+    segments = cut(deltas, keys, "seq")
+    rows = segments.with_carry(segments.rows, {"last": F.max_by("op", "seq")}, F.lit(None).cast("string"), lambda held, s: s["last"])
+    return rows.withColumn("_before", F.coalesce(F.lag("op").over(segments.window()), "_carry")).drop("_seg", "_carry")
+
+
+_NEVER = -(1 << 63)
+
+
+def _nodes(paths: DataFrame, path: str) -> DataFrame:
+    """One row for each prefix of each path that isn't empty, itself (``_own``) included: its ``_node`` and depth ``_k``."""
+    out = paths.where(F.size(path) > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size(path))))
+    return out.withColumns({"_node": F.slice(F.col(path), 1, F.col("_k")), "_own": F.col("_k") == F.size(path)})
+
+
+def _violation(op: str, levels: str) -> Column:
+    """The reason why an operation can't be carried out, from the kinds of the nodes on its path before it (levels: (k, own, kind, at, cut) by k)."""
+
+    def walk(acc: Column, x: Column) -> Column:
+        # what an operation on a node above has removed since the node was last touched is absent
+        kind = F.when(acc["reach"] > x["at"], "absent").otherwise(x["kind"])
+        inner = F.when(kind == "leaf", "not_a_container").when((F.col(op) == "exclude") & (kind == "absent"), "absent")
+        leaf = F.when((F.col(op) == "add") & (kind != "absent"), "present").when((F.col(op) == "exclude") & (kind == "absent"), "absent")
+        return F.struct(F.greatest(acc["reach"], x["cut"]).alias("reach"), F.coalesce(acc["reason"], F.when(x["own"], leaf).otherwise(inner)).alias("reason"))
+
+    return F.aggregate(levels, F.struct(F.lit(_NEVER).cast("long").alias("reach"), F.lit(None).cast("string").alias("reason")), walk)["reason"]
+
+
+def apply_nested(deltas: DataFrame, base: DataFrame, program: str = "program", path: str = "path", whole: bool = True) -> DataFrame:
+    """Final (program, path, value, status, abort_seq, reason) of programs over a nested tree, a row for each leaf and each empty container (value {}).
+
+    base: (path, value), the leaves before. Paths are arrays and may overlap. Setting a path makes what is missing above it and removes what was below it; a leaf above it
+    is a violation, and so are add of what is there and exclude of what isn't. The first violation aborts its program. Values are
+    JSON text of anything but an object; one that is an object is refused (``object_value``).
+
+    No program is folded in one place. Each operation touches the prefixes of its path; the state of a node before an operation is that of the last touch of it,
+    unless an operation on a node above came later: a last value and a greatest number, both found in segments of (program, node). An operation's
+    few levels are then read together. States after a program's first violation are wrong and of no account.
+    whole: with the leaves of the base that no operation touched, in every program.
     """
-    w = Window.partitionBy(program, path).orderBy("seq")
-    with_base = deltas.join(base.select(F.col("path").alias(path), F.lit(True).alias("in_base")), path, "left")
-    was = F.coalesce(F.lag("op").over(w) != "exclude", F.col("in_base"), F.lit(False))
-    marked = with_base.withColumn("was", was).withColumn("bad", F.when(F.col("op") == "add", F.col("was")).when(F.col("op") == "exclude", ~F.col("was")).otherwise(F.lit(False)))
-    stop = marked.groupBy(program).agg(F.min(F.when(F.col("bad"), F.col("seq"))).alias("abort_seq"), F.min_by(F.when(F.col("op") == "add", "present").otherwise("absent"), F.when(F.col("bad"), F.col("seq"))).alias("reason"))
-    kept = marked.join(stop, program).where(F.col("abort_seq").isNull() | (F.col("seq") < F.col("abort_seq")))
-    final = kept.groupBy(program, path).agg(F.max_by("op", "seq").alias("last_op"), F.max_by("value", "seq").alias("value"))
-    names = stop.select(program, "abort_seq", F.when(F.col("abort_seq").isNotNull(), F.col("reason")).alias("reason"))
-    whole = names.crossJoin(base.select(F.col("path").alias(path), F.col("value").alias("base_value")))  # the result has a row for each of these
-    both = whole.join(final, [program, path], "full").select(program, path, F.when(F.col("last_op").isNotNull(), F.when(F.col("last_op") != "exclude", F.col("value"))).otherwise(F.col("base_value")).alias("value"), F.coalesce("last_op", F.lit("base")).alias("last_op"))
-    live = both.where("last_op <> 'exclude'").select(program, path, "value")
-    return live.join(names, program).withColumn("status", F.when(F.col("abort_seq").isNull(), "ok").otherwise("refused"))
+    base_nodes = _nodes(base.select(F.col("path").alias(path), F.col("value").alias("_base_value")), path)
+    base_nodes = base_nodes.groupBy("_node").agg(F.max(F.when(~F.col("_own"), "container").otherwise("leaf")).alias("_m"), F.bool_or(~F.col("_own")).alias("_inner"), F.max(F.when(F.col("_own"), F.col("_base_value"))).alias("_base_value"))
+    base_nodes = base_nodes.select("_node", F.when(F.col("_inner"), "container").otherwise("leaf").alias("_base_kind"), "_base_value")
+    ops = deltas.select(program, "seq", "op", path, "value")
+    plain = F.when(~F.col("op").isin(*OPS) | F.col("op").isNull(), "unknown_op").when(F.coalesce(F.size(path), F.lit(0)) < 1, "empty_path").when((F.col("op") != "exclude") & F.startswith(F.ltrim("value"), F.lit("{")), "object_value")
+    touch = _nodes(ops, path).withColumn("_effect", F.when(~F.col("_own"), "container").when(F.col("op") == "exclude", "absent").otherwise("leaf"))
+    segments = cut(touch, [program, "_node"], "seq")
+    own_seq = F.when(F.col("_own"), F.col("seq"))
+    start = F.struct(F.lit(None).cast("string").alias("effect"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("cut"))
+
+    def step(held: Column, s: Column) -> Column:
+        return F.struct(s["effect"].alias("effect"), s["at"].alias("at"), F.greatest(held["cut"], s["cut"]).alias("cut"))
+
+    seq = F.col("seq").cast("long")
+    rows = segments.with_carry(segments.rows, {"effect": F.max_by("_effect", "seq"), "at": F.max(seq), "cut": F.max(own_seq.cast("long"))}, start, step)
+    w = segments.window()
+    rows = rows.withColumns({"_was": F.coalesce(F.lag("_effect").over(w), "_carry.effect"), "_at": F.coalesce(F.lag(seq).over(w), "_carry.at"), "_cut": F.greatest(F.max(own_seq.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_carry.cut")})
+    rows = rows.join(base_nodes.select("_node", "_base_kind"), "_node", "left")
+    never = F.lit(_NEVER).cast("long")
+    level = F.struct(F.col("_k"), F.col("_own").alias("own"), F.coalesce("_was", "_base_kind", F.lit("absent")).alias("kind"), F.coalesce("_at", never).alias("at"), F.coalesce("_cut", never).alias("cut"))
+    told = rows.groupBy(program, "seq").agg(F.first("op").alias("op"), F.first(path).alias(path), F.first("value").alias("value"), F.array_sort(F.collect_list(level)).alias("_levels"))
+    judged = told.withColumn("_bad", F.coalesce(plain, _violation("op", "_levels"))).select(program, "seq", "op", path, "value", "_bad")
+    judged = judged.unionByName(ops.withColumn("_bad", plain).where(F.coalesce(F.size(path), F.lit(0)) < 1))
+    by_program = cut(judged, [program], "seq")
+    at = F.when(F.col("_bad").isNotNull(), F.col("seq"))
+    stops = {"abort_seq": F.min(at), "reason": F.min_by("_bad", at)}
+    kept = by_program.with_totals(by_program.rows, stops).where(F.col("abort_seq").isNull() | (F.col("seq") < F.col("abort_seq")))
+    told = ("abort_seq", "reason")
+    last = _nodes(kept, path).withColumn("_effect", F.when(~F.col("_own"), "container").when(F.col("op") == "exclude", "absent").otherwise("leaf"))
+    last = last.groupBy(program, "_node").agg(F.max_by(F.struct(F.col("_effect").alias("effect"), "value"), "seq").alias("_s"), F.max(seq).alias("_at"), F.max(own_seq.cast("long")).alias("_cut"), *[F.first(c).alias(c) for c in told])
+    last = last.select(program, "_node", F.col("_s.effect").alias("_effect"), F.col("_s.value").alias("value"), "_at", "_cut", *told)
+    if whole:
+        names = judged.groupBy(program).agg(*[c.alias(n) for n, c in stops.items()])
+        # the result has a row for each leaf of the base and program
+        every = names.crossJoin(base_nodes).select(program, "_node", F.col("_base_kind").alias("_effect"), F.col("_base_value").alias("value"), never.alias("_at"), never.alias("_cut"), *told)
+        last = last.unionByName(every).groupBy(program, "_node").agg(F.max_by(F.struct("_effect", "value"), "_at").alias("_s"), F.max("_at").alias("_at"), F.max("_cut").alias("_cut"), *[F.first(c).alias(c) for c in told])
+        last = last.select(program, "_node", F.col("_s._effect").alias("_effect"), F.col("_s.value").alias("value"), "_at", "_cut", *told)
+    # gone with what lay above it
+    standing = last.where("_effect <> 'absent'")
+    above = standing.where(F.size("_node") > 1).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_node") - 1))).select(program, "_node", "_at", F.slice("_node", F.lit(1), F.col("_k")).alias("_above"))
+    cuts = last.where("_cut IS NOT NULL").select(program, F.col("_node").alias("_above"), "_cut")
+    gone = above.join(cuts, [program, "_above"]).where(F.col("_cut") > F.col("_at")).select(program, "_node").distinct()
+    alive = standing.join(gone, [program, "_node"], "left_anti")
+    parents = alive.where(F.size("_node") > 1).select(program, F.slice("_node", F.lit(1), F.size("_node") - 1).alias("_node")).distinct()
+    bare = alive.where("_effect = 'container'").join(parents, [program, "_node"], "left_anti").withColumn("value", F.lit("{}"))
+    status = F.when(F.col("abort_seq").isNull(), "ok").otherwise("refused").alias("status")
+    return alive.where("_effect = 'leaf'").unionByName(bare).select(program, F.col("_node").alias(path), "value", status, *told)
 
 
 def fold_tree(ops, tree: dict) -> tuple[dict, int | None, str | None]:

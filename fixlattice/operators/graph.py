@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixlattice.operators.segments import cut
+
 
 def combine_wiring(*directed: tuple[DataFrame, float]) -> DataFrame:
     """(src, dst, w) with src < dst: the directed (src, dst, w) tables, each scaled, summed both ways; self-edges go."""
@@ -55,10 +57,15 @@ def merge_hottest(edges: DataFrame, assign: DataFrame, k: int = 3) -> DataFrame:
 
 
 def coactivation(calls: DataFrame, bank, order: str = "seq", by: str = "trace") -> DataFrame:
-    """(src, dst, w): for each banked call the nearest banked call before it in its trace; self pairs go. ``bank`` is a condition."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(bank, F.col("name")), ignorenulls=True).over(w)
-    pairs = calls.withColumn("src", before).where(bank & F.col("src").isNotNull() & (F.col("src") != F.col("name")))
+    """(src, dst, w): for each banked call the nearest banked call before it in its trace; self pairs go. ``bank`` is a condition.
+
+    The last banked call is looked for in a segment of the trace; where there is none, it is the last one of the segments before."""
+    segments = cut(calls, [by], order)
+    banked = F.when(bank, F.col("name"))
+    none = F.lit(None).cast(calls.schema["name"].dataType)
+    rows = segments.with_carry(segments.rows, {"last": F.max_by(banked, F.when(bank, F.col(order)))}, none, lambda held, s: F.coalesce(s["last"], held))
+    before = F.last(banked, ignorenulls=True).over(segments.window().rowsBetween(Window.unboundedPreceding, -1))
+    pairs = rows.withColumn("src", F.coalesce(before, "_carry")).where(bank & F.col("src").isNotNull() & (F.col("src") != F.col("name")))
     return pairs.groupBy("src", F.col("name").alias("dst")).agg(F.count("*").alias("w"))
 
 
@@ -68,11 +75,11 @@ def learn_clusters(edges: DataFrame, rounds: int = 8, brood: int = 8, seed: int
     Each round proposes up to six moves of nodes and three merges of clusters and scores all of them in one job. The driver holds
     the proposals and scores of a round alone; assignments stay tables.
     """
-    from fixlattice.plans.checkpoints import cut
+    from fixlattice.plans.checkpoints import cut as written
 
     rng, spark = random.Random(seed), edges.sparkSession
-    edges = cut(edges)
-    assign = cut(neighbors(edges).select("node").distinct().withColumn("cluster", F.concat(F.lit("r_"), F.col("node").cast("string"))))
+    edges = written(edges)
+    assign = written(neighbors(edges).select("node").distinct().withColumn("cluster", F.concat(F.lit("r_"), F.col("node").cast("string"))))
     best_q, trail = modularity(edges, assign).first()["q"] or 0.0, []
     for _ in range(rounds):
         # six of all nodes' moves, drawn by a hash that each round seeds anew
@@ -92,7 +99,7 @@ def learn_clusters(edges: DataFrame, rounds: int = 8, brood: int = 8, seed: int
             trail.append(best_q)
             continue
         best_q = q
-        assign = cut(candidates.where(F.col("pos") == pos).select("node", "cluster"))
+        assign = written(candidates.where(F.col("pos") == pos).select("node", "cluster"))
         trail.append(best_q)
     return assign, trail
 

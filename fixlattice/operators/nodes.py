@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fixlattice.functions import lattice as L
 from fixlattice.functions.dims import CONDITIONAL_VERBS, COOLING, LADDER, LOOP, RITES, mask_of, nth
+from fixlattice.operators.segments import cut
 
 
 def level_index(name: Column) -> Column:
@@ -30,10 +31,15 @@ def validate(requests: DataFrame) -> DataFrame:
     """requests (seq, name, action, what, witness) with status and reason.
 
     cool needs a known step and a witness; advance needs a witness and a rung above (its place is counted from the advances accepted
-    before it, beginning at the first rung); a rite needs a known name and takes an empty witness too.
+    before it, beginning at the first rung); a rite needs a known name and takes an empty witness too. Advances are counted in segments
+    of a name, by a counter that stops above the last rung.
     """
     empty = F.coalesce("witness", F.lit("")) == ""
-    tries = F.sum(F.when((F.col("action") == "advance") & ~empty, 1).otherwise(0)).over(Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    above = L.TOP_LEVEL + 1
+    climbs = F.when((F.col("action") == "advance") & ~empty, 1).otherwise(0)
+    segments = cut(requests, ["name"], "seq")
+    rows = segments.with_carry(segments.rows, {"n": F.sum(climbs)}, F.lit(0).cast("long"), lambda held, s: F.least(held + s["n"], F.lit(above)))
+    tries = F.col("_carry") + F.sum(climbs).over(segments.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     reason = (
         F.when((F.col("action") == "cool") & ~F.col("what").isin(*COOLING), "unknown_step")
         .when((F.col("action") == "rite") & ~F.col("what").isin(*RITES), "unknown_rite")
@@ -41,8 +47,8 @@ def validate(requests: DataFrame) -> DataFrame:
         .when(F.col("action").isin("cool", "advance") & empty, "empty_witness")
         .when((F.col("action") == "advance") & (F.col("_tries") > L.TOP_LEVEL), "at_top")
     )
-    marked = requests.withColumn("_tries", tries)
-    return marked.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("refused")).drop("_tries")
+    marked = rows.withColumn("_tries", tries)
+    return marked.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("refused")).drop("_tries", "_carry", "_seg")
 
 
 def state(validated: DataFrame) -> DataFrame:

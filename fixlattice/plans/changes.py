@@ -45,6 +45,15 @@ def delta_apply_trees(spark, sf):
     return D.apply_trees(d, {"p0": {"0": 1}, "p1": {"1": 2}})
 
 
+def delta_apply_nested(spark, sf):
+    """Programs whose paths overlap: a third of them names a container itself."""
+    k = F.col("path").cast("int")
+    top = F.concat(F.lit("p"), (k % 3).cast("string"))
+    d = _short(spark, sf).withColumn("path", F.when(F.col("seq") % 3 == 0, F.array(top)).otherwise(F.array(top, F.col("path"))))
+    base = spark.createDataFrame([(["p0", "0"], "1"), (["p1", "1"], "2"), (["p2"], "3")], "path array<string>, value string")
+    return D.apply_nested(d, base).select("program", F.array_join("path", ".").alias("path"), "value", "status", "abort_seq", "reason")
+
+
 def delta_overlaps(spark, sf):
     d = _short(spark, sf).withColumn("path", F.when(F.col("path").cast("int") % 2 == 0, F.array(F.lit("p"), F.col("path"))).otherwise(F.array(F.lit("p"))))
     return D.overlapping(d).select("program", F.array_join("path", ".").alias("path"), F.array_join("prefix", ".").alias("prefix"))
@@ -124,11 +133,32 @@ def _q(cluster):
     return f"WITH {_EDGES}, asg AS (SELECT n_nationkey AS node, {cluster} AS cluster FROM nation), m AS (SELECT CAST(sum(w) AS DOUBLE) AS m FROM edges), i AS (SELECT a.cluster, sum(w) AS inside FROM edges JOIN asg a ON src = a.node JOIN asg b ON dst = b.node WHERE a.cluster = b.cluster GROUP BY 1), g AS (SELECT cluster, sum(w) AS degree FROM both_ JOIN asg USING (node) GROUP BY 1) SELECT round(sum(coalesce(inside, 0) / m - pow(degree / (2 * m), 2)), 9) + 0.0 AS q FROM g LEFT JOIN i USING (cluster), m"
 
 
-QUERIES = {f.__name__: f for f in (delta_fuse, delta_compose, delta_apply, delta_apply_trees, delta_overlaps, delta_crossover, genome_ids, wiring_nation, modularity_region, modularity_singletons, modularity_one, move_to_mass, merge_hottest, coactivation, learn_clusters, emit_clusters)}
+QUERIES = {f.__name__: f for f in (delta_fuse, delta_compose, delta_apply, delta_apply_trees, delta_apply_nested, delta_overlaps, delta_crossover, genome_ids, wiring_nation, modularity_region, modularity_singletons, modularity_one, move_to_mass, merge_hottest, coactivation, learn_clusters, emit_clusters)}
 ORACLES = {
     "delta_fuse": f"WITH {_SHORT} SELECT program, path, op, value, n, reason FROM fused",
     "delta_compose": f"WITH {_SHORT} SELECT program, path, op, value, CAST(row_number() OVER (PARTITION BY program ORDER BY first_seq) - 1 AS INT) AS pos, CASE WHEN bool_or(reason IS NOT NULL) OVER (PARTITION BY program) THEN 'refused' ELSE 'ok' END AS status FROM fused",
     "delta_apply": f"WITH {_SHORT}, base AS (SELECT CAST(i AS VARCHAR) AS path, CAST(-i AS VARCHAR) AS value FROM range(5) t(i)), m AS (SELECT d.*, coalesce(lag(op) OVER (PARTITION BY program, path ORDER BY seq) <> 'exclude', b.path IS NOT NULL) AS was FROM (SELECT * FROM d) d LEFT JOIN base b USING (path)), x AS (SELECT *, (op = 'add' AND was) OR (op = 'exclude' AND NOT was) AS bad FROM m), s AS (SELECT program, min(seq) FILTER (bad) AS abort_seq, min_by(CASE op WHEN 'add' THEN 'present' ELSE 'absent' END, seq) FILTER (bad) AS reason FROM x GROUP BY 1), k AS (SELECT x.program, path, max_by(op, seq) AS op, max_by(value, seq) AS value FROM x JOIN s USING (program) WHERE abort_seq IS NULL OR seq < abort_seq GROUP BY 1, 2), b2 AS (SELECT program, path, value FROM s, base), u AS (SELECT coalesce(k.program, b2.program) AS program, coalesce(k.path, b2.path) AS path, CASE WHEN k.op IS NOT NULL THEN k.value ELSE b2.value END AS value, k.op FROM b2 FULL JOIN k ON b2.program = k.program AND b2.path = k.path) SELECT u.program, path, value, CASE WHEN abort_seq IS NULL THEN 'ok' ELSE 'refused' END AS status, abort_seq, reason FROM u JOIN s USING (program) WHERE op IS DISTINCT FROM 'exclude'",
+    "delta_apply_nested": f"""WITH {_SHORT}, o AS (SELECT program, seq, op, value, 'p' || CAST(path AS INT) % 3 AS top, CASE WHEN seq % 3 <> 0 THEN path END AS leaf FROM d),
+base AS (SELECT * FROM (VALUES ('p0', '0', '1'), ('p1', '1', '2'), ('p2', NULL, '3')) t(top, leaf, value)),
+-- before each operation: the last one that touched its top, and the last one on its own path
+m AS (SELECT o.*, (SELECT max_by(CASE WHEN x.leaf IS NOT NULL THEN 'container' WHEN x.op = 'exclude' THEN 'absent' ELSE 'leaf' END, x.seq) FROM o x WHERE x.program = o.program AND x.top = o.top AND x.seq < o.seq) AS top_kind,
+  (SELECT max(x.seq) FROM o x WHERE x.program = o.program AND x.top = o.top AND x.leaf IS NULL AND x.seq < o.seq) AS top_cut,
+  (SELECT max_by(x.op, x.seq) FROM o x WHERE x.program = o.program AND x.top = o.top AND x.leaf = o.leaf AND x.seq < o.seq) AS leaf_op,
+  (SELECT max(x.seq) FROM o x WHERE x.program = o.program AND x.top = o.top AND x.leaf = o.leaf AND x.seq < o.seq) AS leaf_seq FROM o),
+k AS (SELECT m.*, coalesce(top_kind, CASE WHEN top = 'p2' THEN 'leaf' ELSE 'container' END) AS tk,
+  CASE WHEN leaf_seq IS NOT NULL THEN leaf_op <> 'exclude' AND leaf_seq > coalesce(top_cut, -1) ELSE top_cut IS NULL AND (top, leaf) IN (SELECT (top, leaf) FROM base WHERE leaf IS NOT NULL) END AS has_leaf FROM m),
+x AS (SELECT *, CASE WHEN leaf IS NULL THEN CASE WHEN op = 'add' AND tk <> 'absent' THEN 'present' WHEN op = 'exclude' AND tk = 'absent' THEN 'absent' END
+  WHEN tk = 'leaf' THEN 'not_a_container' WHEN op = 'exclude' AND tk = 'absent' THEN 'absent' WHEN op = 'add' AND has_leaf THEN 'present' WHEN op = 'exclude' AND NOT has_leaf THEN 'absent' END AS bad FROM k),
+s AS (SELECT program, min(seq) FILTER (bad IS NOT NULL) AS abort_seq, min_by(bad, seq) FILTER (bad IS NOT NULL) AS reason FROM x GROUP BY 1),
+kept AS (SELECT o.* FROM o JOIN s USING (program) WHERE abort_seq IS NULL OR seq < abort_seq
+  UNION ALL SELECT program, -1, 'override', value, top, leaf FROM s, base),
+cuts AS (SELECT program, top, max(seq) AS cut FROM kept WHERE leaf IS NULL GROUP BY 1, 2),
+leaves AS (SELECT program, top, leaf, max_by(op, seq) AS op, max_by(value, seq) AS value, max(seq) AS touched FROM kept WHERE leaf IS NOT NULL GROUP BY 1, 2, 3),
+alive AS (SELECT program, top, leaf, value FROM leaves LEFT JOIN cuts USING (program, top) WHERE op <> 'exclude' AND touched > coalesce(cut, -2)),
+tops AS (SELECT program, top, max_by(CASE WHEN leaf IS NOT NULL THEN 'container' WHEN op = 'exclude' THEN 'absent' ELSE 'leaf' END, seq) AS kind, max_by(value, seq) AS value FROM kept GROUP BY 1, 2),
+t AS (SELECT program, top || '.' || leaf AS path, value FROM alive UNION ALL SELECT program, top, value FROM tops WHERE kind = 'leaf'
+  UNION ALL SELECT program, top, '{{}}' FROM tops WHERE kind = 'container' AND (program, top) NOT IN (SELECT (program, top) FROM alive))
+SELECT program, path, value, CASE WHEN abort_seq IS NULL THEN 'ok' ELSE 'refused' END AS status, abort_seq, reason FROM t JOIN s USING (program)""",
     "delta_overlaps": f"WITH {_SHORT}, p AS (SELECT DISTINCT program, CASE WHEN CAST(path AS INT) % 2 = 0 THEN 'p.' || path ELSE 'p' END AS path FROM d) SELECT a.program, a.path, b.path AS prefix FROM p a JOIN p b ON a.program = b.program AND b.path = 'p' AND a.path <> 'p'",
     "delta_crossover": f"WITH {_SHORT}, g AS (SELECT program, path, op, value FROM fused WHERE reason IS NULL), a AS (SELECT program AS pair, path, op, value FROM g), b AS (SELECT program - 1 AS pair, path, op, value FROM g), j AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.path, b.path) AS path, a.op AS ao, a.value AS av, b.op AS bo, b.value AS bv, a.pair IS NOT NULL AND b.pair IS NOT NULL AND (a.op <> b.op OR a.value <> b.value) AS conflict FROM a FULL JOIN b ON a.pair = b.pair AND a.path = b.path) SELECT pair, path, CASE WHEN NOT conflict THEN coalesce(ao, bo) END AS op, CASE WHEN NOT conflict THEN coalesce(av, bv) END AS value, conflict FROM j",
     "genome_ids": f"""WITH {_SHORT} SELECT program, 'g_' || substr(sha256('[' || string_agg('["' || op || '", ["' || path || '"], ' || value || ']', ', ' ORDER BY seq) || ']'), 1, 16) AS id FROM d GROUP BY 1""",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fixlattice.functions import dims as V
 from fixlattice.functions import lattice as L
 from fixlattice.operators import climb as C
 from fixlattice.operators import log as G
+from fixlattice.plans.checkpoints import shared_root
 from fixlattice.session import table
-from fixlattice.sources import log_store
+from fixlattice.sources import log_store, record_log
+
 
 def K():
     """The one number in an event's props."""
@@ -87,12 +91,10 @@ def closure_inflationary_violations(spark, sf):
 
 
 def leq_pairs(spark, sf):
-    # users of one state count once: at most as many states meet as the lattice has
-    users = _user_masks(spark, sf).select(F.struct("level", "w", "r").alias("s"), "user_id")
-    states = users.groupBy("s").agg(F.count("*").alias("n"))
-    a, b = states.alias("a"), states.alias("b")
-    above = a.join(b, L.leq(F.col("a.s"), F.col("b.s"))).groupBy(F.col("a.s").alias("s")).agg(F.sum("b.n").alias("n_above"))
-    return users.join(above, "s").select("user_id", "n_above")
+    users = _user_masks(spark, sf).select("user_id", "level", "w", "r")
+    above = L.count_above(users.withColumn("n", F.lit(1)))
+    # a row for each state of the lattice
+    return users.withColumn("index", L.state_index(F.col("level"), F.col("w"), F.col("r"))).join(F.broadcast(above), "index").select("user_id", "n_above")
 
 
 def lub_by_event_type(spark, sf):
@@ -161,12 +163,17 @@ def promoted_users(spark, sf):
     return G.promote(log.select("name").distinct(), log)
 
 
-def substrate_roundtrip(spark, sf):
-    """Whether region and nation survive each registered format; files go to a session's own folder."""
-    import uuid
+def log_appended_twice(spark, sf):
+    """Documents mirrored into a log, then once more as programs: the last record of each, numbered over both appends."""
+    path = f"{shared_root(spark)}/log-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    for text, kind in ((F.col("text"), "function"), (F.concat("text", F.lit("\n")), "program")):
+        record_log.append(log_store.mirror(docs.withColumn("text", text), "doc_id", "text", kind).withColumn("at", F.col("name").cast("long")), path, "at")
+    return G.latest(record_log.records(spark, path)).select("name", "seq", "kind", "graph_identity", "realization_level")
 
-    from fixlattice.plans.checkpoints import shared_root
 
+def substrate_roundtrip(spark, sf):
+    """Whether region and nation survive each registered format; files go to a session's own folder."""
     root = shared_root(spark)
     rows = []
     for t in ("region", "nation"):
@@ -202,7 +209,7 @@ _U = _E + ", u AS (SELECT user_id, CAST(count(*) % 10 AS INT) AS level, CAST(bit
 _ALL = "s AS (SELECT CAST(i // 8192 AS INT) AS level, (i // 64) % 128 AS w, i % 64 AS r FROM range(81920) t(i))"
 _STEP = "CAST(CASE WHEN w < 127 OR r < 63 THEN level ELSE least(level + 1, 9) END AS INT) AS level2, CASE WHEN w < 127 THEN w | (w + 1) ELSE w END AS w2, CASE WHEN w = 127 AND r < 63 THEN r | (r + 1) ELSE r END AS r2"
 
-QUERIES = {f.__name__: f for f in (ladder_next, loop_trace, golden_users, node_closure_answer, lattice_states, closure_step_all, closure_inflationary_violations, leq_pairs, lub_by_event_type, kleene_chain, log_latest, log_latest_node, log_history, external_witnesses, agentify, climb_positions, climb_step, gauge, fork_nodes, registry_new, bestiary, promoted_users, substrate_roundtrip)}
+QUERIES = {f.__name__: f for f in (ladder_next, loop_trace, golden_users, node_closure_answer, lattice_states, closure_step_all, closure_inflationary_violations, leq_pairs, lub_by_event_type, kleene_chain, log_latest, log_latest_node, log_history, external_witnesses, agentify, climb_positions, climb_step, gauge, fork_nodes, registry_new, bestiary, promoted_users, log_appended_twice, substrate_roundtrip)}
 ORACLES = {
     "ladder_next": "WITH d AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(V.LADDER)) + ") t(idx, name)) SELECT idx, name, lead(name) OVER (ORDER BY idx) AS next_name FROM d",
     "loop_trace": "WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, bool_or(event_type = 'purchase') AS effect FROM events GROUP BY 1), v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(V.LOOP)) + ") t(idx, verb)) SELECT day, idx, verb, verb NOT IN ('goldenize', 'improve_compiler') OR effect AS fired FROM d, v",
@@ -225,5 +232,6 @@ ORACLES = {
     "fork_nodes": f"WITH {_LOG} SELECT name || '@lab' AS name, 'id' || (k % 3) AS graph_identity, {_pick(V.LADDER, 'k % 10')} AS realization_level, 'fork:' || name || '->lab:by:handler' AS provenance, 0 AS n_tests, 'ok' AS status FROM last",
     "registry_new": "WITH d AS (SELECT sha256(text) AS id, doc_id FROM documents), s AS (SELECT id FROM d JOIN labels USING (doc_id)) SELECT id, min(doc_id) AS pos FROM d WHERE id NOT IN (SELECT id FROM s) GROUP BY 1",
     "bestiary": "WITH d AS (SELECT sha256(text) AS id, doc_id, quality FROM documents JOIN labels USING (doc_id)) SELECT id FROM d GROUP BY 1 HAVING max_by(quality, doc_id) = 0",
+    "log_appended_twice": "SELECT CAST(doc_id AS VARCHAR) AS name, (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY doc_id) - 1 AS seq, 'program' AS kind, sha256(text || chr(10)) AS graph_identity, 'program' AS realization_level FROM documents",
     "promoted_users": f"WITH {_LOG} SELECT name, n_ext > 0 AS promoted FROM h",
 }

@@ -36,6 +36,16 @@ def ci_separated_pairs(spark, sf):
     return S.significantly_above(_rated(spark, sf), "source")
 
 
+def ci_counts_below(spark, sf):
+    return S.counts_below(_rated(spark, sf), "source")
+
+
+def ci_counts_users(spark, sf):
+    """Users whose rate of purchases lies significantly above how many others'."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("k"), F.count("*").alias("n"))
+    return S.counts_below(with_rate(e), "user_id")
+
+
 def _scored(spark, sf):
     return _rated(spark, sf).select(F.substring("source", 4, 9).cast("int").alias("pos"), "source", F.col("rate").alias("primary"), "lo", "hi")
 
@@ -107,7 +117,7 @@ def user_sessions(spark, sf):
 
 _TOK = f"tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '([a-z'']+)', 1)) AS word FROM documents), wc AS (SELECT lang, word, count(*) AS n FROM tok WHERE word NOT IN ({_STOP}) GROUP BY lang, word)"
 
-QUERIES = {f.__name__: f for f in (wilson_by_source, ci_separated_pairs, select_hillclimb, select_mu_plus_lambda, select_ucb, select_tournament, pareto_suppliers, word_count_by_lang, total_words_by_doc, top_words_by_lang, normalized_digest, word_report, content_identity, quality_rollup, user_sessions)}
+QUERIES = {f.__name__: f for f in (wilson_by_source, ci_separated_pairs, ci_counts_below, ci_counts_users, select_hillclimb, select_mu_plus_lambda, select_ucb, select_tournament, pareto_suppliers, word_count_by_lang, total_words_by_doc, top_words_by_lang, normalized_digest, word_report, content_identity, quality_rollup, user_sessions)}
 
 
 def _tournament_sql(mu: int, size: int = 2, seed: int = 0) -> str:
@@ -123,6 +133,8 @@ ORACLES = {
     "select_tournament": _tournament_sql(4),
     "wilson_by_source": f"WITH {_RATED} SELECT source, k, n, round(rate, 9) AS rate, round(lo, 9) AS lo, round(hi, 9) AS hi FROM rated",
     "ci_separated_pairs": f"WITH {_RATED} SELECT a.source AS above, b.source AS below FROM rated a JOIN rated b ON a.lo > b.hi",
+    "ci_counts_below": f"WITH {_RATED} SELECT a.source, count(b.source) AS n_below FROM rated a LEFT JOIN rated b ON a.lo > b.hi GROUP BY 1",
+    "ci_counts_users": "WITH " + _RATED.replace("g AS (SELECT source, CAST(sum(quality) AS BIGINT) AS k, count(quality) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source)", "g AS (SELECT user_id AS source, count(*) FILTER (event_type = 'purchase') AS k, count(*) AS n FROM events GROUP BY 1)").split(",\nscored AS")[0] + " SELECT a.source AS user_id, count(b.source) AS n_below FROM rated a LEFT JOIN rated b ON a.lo > b.hi GROUP BY 1",
     "select_hillclimb": f"WITH {_RATED} SELECT source, round(primary_, 9) AS value, CAST(row_number() OVER (ORDER BY primary_ DESC, pos) AS INT) AS rank FROM scored WHERE primary_ > {_BASE} QUALIFY rank <= 5",
     "select_mu_plus_lambda": f"WITH {_RATED}, u AS (SELECT pos, source, primary_, false AS b FROM scored UNION ALL SELECT (SELECT max(pos) + 1 FROM scored), NULL, {_BASE}, true), r AS (SELECT *, CAST(row_number() OVER (ORDER BY primary_ DESC, pos) AS INT) AS rank FROM u) SELECT source, round(primary_, 9) AS value, rank FROM r WHERE rank <= 8 AND NOT b",
     "select_ucb": f"WITH {_RATED}, r AS (SELECT source, primary_ + (hi - lo) / 2 AS v, pos FROM scored) SELECT source, round(v, 9) AS value, CAST(row_number() OVER (ORDER BY v DESC, pos) AS INT) AS rank FROM r QUALIFY rank <= 5",
