@@ -10,8 +10,8 @@ of N rows:
 A term discloses an entity if PMI(t, e) >= ``threshold`` * IC(e), so that it gives away that part of what there is to know,
 and if at most ``residual_bits`` bits of IC(e) are left once it is seen (IC - PMI = -log P(e | t)). At least
 ``support`` documents must hold both; rarer pairs are no evidence. Every occurrence of a disclosing term outside base spans, in any document, is
-a span of kind ``term``; ``sanitised`` generalises every span to its kind. With ``copies_once`` (off by
-default) rows of equal texts count as one document in all four counts.
+a span of kind ``term``; ``sanitised`` generalises every span to its kind. A text that was copied says nothing new: rows of equal texts count as one document
+in all four counts, and so do rows of one class where ``copy_class`` names a column of near copies; with ``copies_once=False`` every row counts.
 
 Only entities of ``support`` documents can have disclosing terms, so only their documents are paired with terms, equal
 texts once with their number; pairs of one document are as many as its entities times its terms.
@@ -98,10 +98,22 @@ def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.crc32(text).alias("b"))
 
 
-def disclosing(base: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, residual_bits: float = RESIDUAL_BITS, copies_once: bool = False) -> DataFrame:
-    """(entity, term, n_e, n_t, n_te): the pairs that disclose, from base (text_key, entities, terms)."""
+#: Classes of copies that are broadcast at most, 24 bytes each; more are merged.
+MOST_BROADCAST = 500_000
+
+
+def _first_copies(base: DataFrame) -> DataFrame:
+    """The rows of base, a written table (row, copy, ...), that are the first of their class of copies."""
+    classes = base.groupBy("copy").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("copy", "first")
+    classes = written(classes, "personal-copies", narrow=True)
+    classes = F.broadcast(classes) if classes.count() <= MOST_BROADCAST else classes.hint("merge")
+    return base.join(classes, "copy", "left").where("first IS NULL OR first = row").drop("first")
+
+
+def disclosing(base: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, residual_bits: float = RESIDUAL_BITS, copies_once: bool = True) -> DataFrame:
+    """(entity, term, n_e, n_t, n_te): the pairs that disclose, from base, a written table (row, copy, text_key, entities, terms)."""
     if copies_once:
-        base = base.groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+        base = _first_copies(base)
     n = base.count()
     known = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < n))
     held = base.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
@@ -117,21 +129,29 @@ def disclosing(base: DataFrame, support: int = SUPPORT, threshold: float = THRES
     return pairs.join(frequency, "term").where((content - left >= threshold * content - 1e-12) & (left <= residual_bits * math.log(2) + 1e-12)).select("entity", "term", "n_e", "n_t", "n_te")
 
 
-def find(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", copy_class: str | None = None, **options) -> DataFrame:
     """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base_spans, term_spans) of each row; options: those of ``disclosing``.
 
+    copy_class: a column of ids; rows of one id are copies of each other, those of none of equal texts alone.
+
     Spans are array<struct<kind, start, stop>> in code points, stop exclusive: base ones by kind, then start; terms by start.
     text_key is a struct of two hashes of the text, by which rows of one text can be joined.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = own.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    copy = _key(F.coalesce(F.col(text), F.lit("")))
+    if copy_class is not None:
+        named = F.col(copy_class).cast("string")
+        copy = F.when(named.isNotNull(), _key(F.concat(F.lit("class:"), named))).otherwise(copy)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), copy.alias("copy"))
+    spans = own.select("doc_id", "text", "copy", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
 
-    spans = spans.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*map(tagged, KINDS)).alias("mentions"))
+    spans = spans.select("doc_id", "text", "copy", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*map(tagged, KINDS)).alias("mentions"))
     base = written(
         spans.select(
+            F.monotonically_increasing_id().alias("row"),
+            "copy",
             "doc_id",
             _key(F.col("text")).alias("text_key"),
             *[f"n_{k}" for k in KINDS],
@@ -141,7 +161,7 @@ def find(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         ),
         "personal-data",
     )
-    found = [*[c for c in base.columns if c not in ("entities", "terms")]]
+    found = [*[c for c in base.columns if c not in ("row", "copy", "entities", "terms")]]
     revealing = written(disclosing(base, **options).select("term").distinct(), "personal-terms", narrow=True)
     if revealing.isEmpty():
         return base.select(*found, F.array().cast(_SPANS).alias("term_spans"))
@@ -192,9 +212,10 @@ def _generalised(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame, text: str = "text", length: str | None = "n_chars", **options) -> DataFrame:
     """docs with every span of their texts generalised, and ``length`` (if there is such a column) brought up to date. All columns stay, whatever their names."""
     a, b, spans, new = free_names(docs, "_a", "_b", "_spans", "_new")
-    plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    classed = [F.col(options["copy_class"]).alias("copy_class")] if options.get("copy_class") else []
+    plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), *classed)
     with scratch():
-        found = find(plain, **options).withColumn("spans", F.concat("base_spans", "term_spans")).where(F.size("spans") > 0)
+        found = find(plain, **options | ({"copy_class": "copy_class"} if classed else {})).withColumn("spans", F.concat("base_spans", "term_spans")).where(F.size("spans") > 0)
         by_text = found.groupBy("text_key").agg(F.first("spans").alias(spans)).select(F.col("text_key.a").alias(a), F.col("text_key.b").alias(b), spans)
         by_text = result(by_text, "personal-spans", narrow=True)
     key = _key(F.coalesce(F.col(text), F.lit("")))

@@ -312,6 +312,21 @@ def _disclosed(texts, support=disclosure.SUPPORT, threshold=disclosure.THRESHOLD
     return [[f"term:{a}:{b}" for a, b, t in x if t in out] for x in runs], out
 
 
+def _spans_of(terms, texts):
+    """Spans of the given terms in each text, outside personal data."""
+    from tests.llm.brute import PATTERNS, holds
+
+    out = []
+    for t in texts:
+        masked = list(t)
+        for k, p in PATTERNS.items():
+            for m in re.finditer(p, t):
+                if holds(k, m.group()):
+                    masked[m.start() : m.end()] = " " * (m.end() - m.start())
+        out.append([f"term:{m.start()}:{m.end()}" for m in regex.finditer(r"\p{L}+", "".join(masked)) if m.group().lower() in terms])
+    return out
+
+
 def test_ranges_have_partitions_of_their_own(spark):
     from fixlattice.llm import ranges
 
@@ -363,6 +378,34 @@ def test_terms_that_disclose(spark):
     assert clean[101] == dict(rows)[101]
 
 
+def test_copies_are_no_evidence_of_disclosure(spark):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("al", "en", "is", "or", "um")]
+
+    def plain(n):
+        return " ".join(rng.choices(words, k=n))
+
+    one = f"Quibblet {plain(40)} ann@y.org {plain(20)}"
+    unlike = [f"{plain(30)} cy@z.org wuzzle {plain(10)}" for _ in range(3)]
+    rows = [(i, one, None) for i in range(5)] + [(5, one + " more", 7), (6, one + " and more", 7)]
+    rows += [(10 + i, t, None) for i, t in enumerate(unlike)] + [(100 + i, plain(40), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class long")
+
+    def told(**options):
+        found = {r.doc_id: r.spans for r in disclosure.digest(disclosure.find(df, **options)).collect()}
+        return {k: [dict((i, t) for i, t, _ in rows)[k][int(a) : int(b)].lower() for _, a, b in (x.split(":") for x in v.split(",")) if _ == "term"] for k, v in found.items() if "term" in v}
+
+    by_text, by_class, by_row = told(), told(copy_class="class"), told(copies_once=False)
+    assert all(by_text[10 + i] == by_class[10 + i] == by_row[10 + i] == ["wuzzle"] for i in range(3))
+    assert "quibblet" in by_row[0] and "quibblet" in by_text[0]  # three texts hold it: one and two that are near it
+    assert "quibblet" in by_class[0]  # of which two classes are left
+    alone = df.where("doc_id < 5 OR doc_id >= 100")
+    assert not any("term" in r.spans for r in disclosure.digest(disclosure.find(alone)).collect())
+    near = df.where("doc_id IN (5, 6) OR doc_id >= 100")
+    assert not any("term" in r.spans for r in disclosure.digest(disclosure.find(near, copy_class="class")).collect())
+    assert disclosure.sanitised(near, copy_class="class").columns == df.columns
+
+
 def test_disclosure_query_against_brute_force(spark, sf, texts):
     ids = sorted(texts)
     more = {10_000 + i: texts[i] for i in ids if "@" in texts[i]}  # copies, so that some entities have two documents
@@ -370,12 +413,15 @@ def test_disclosure_query_against_brute_force(spark, sf, texts):
     every = {**texts, **more}
     for support in (2, 3):
         spans, _ = _disclosed(list(every.values()), support)
-        rows = {r.doc_id: r for r in disclosure.digest(disclosure.find(docs, support=support)).collect()}
+        rows = {r.doc_id: r for r in disclosure.digest(disclosure.find(docs, support=support, copies_once=False)).collect()}
         assert any(spans)
         for i, own in zip(every, spans):
             assert [x for x in rows[i].spans.split(",") if x.startswith("term")] == own
-    assert not any("term" in r.spans for r in disclosure.digest(disclosure.find(docs, copies_once=True)).collect())
-    spans, _ = _disclosed([texts[i] for i in ids])
+    # by default a copy is no evidence
+    assert not any("term" in r.spans for r in disclosure.digest(disclosure.find(docs)).collect())
+    once = {texts[i]: i for i in reversed(ids)}
+    _, terms = _disclosed([texts[i] for i in sorted(once.values())])
+    spans = _spans_of(terms, [texts[i] for i in ids])
     rows = {r.doc_id: r for r in queries.QUERIES["op10_information_disclosure"](spark, sf).collect()}
     for i, own in zip(ids, spans):
         assert [x for x in rows[i].spans.split(",") if x.startswith("term")] == own
