@@ -17,7 +17,12 @@ _WITNESSING = 1 << COOLING.index("independent_witnessing")
 
 def node_states(log: DataFrame) -> DataFrame:
     """(name, level, w, r, ...evidence): independent witnessing comes from external records alone; names of witnesses only are at the bottom."""
-    found = G.rites(G.evidence(log))
+    return located(G.evidence(log))
+
+
+def located(evidence: DataFrame) -> DataFrame:
+    """node_states from evidence as ``operators.log.evidence``, or a stream of it, gives it."""
+    found = G.rites(evidence)
     level = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LADDER]), F.coalesce("level_name", F.lit("function"))) - 1, F.lit(0)).cast("int")
     external = F.col("n_external") > 0
     w = F.col("cooled").bitwiseAND(~_WITNESSING & L.ALL_COOLING) + F.when(external, _WITNESSING).otherwise(0)
@@ -27,7 +32,11 @@ def node_states(log: DataFrame) -> DataFrame:
 
 def positions(log: DataFrame) -> DataFrame:
     """(name, level, w, r, distance, next_kind, next_name, requires); requires: the evidence that decides the next closure."""
-    s = node_states(log)
+    return positions_of(node_states(log))
+
+
+def positions_of(s: DataFrame) -> DataFrame:
+    """positions from node_states."""
     kind, name = L.next_closure(F.col("level"), F.col("w"), F.col("r"))
     wanted = F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])
     out = s.select("name", "level", "w", "r", L.distance(F.col("level"), F.col("w"), F.col("r")).alias("distance"), kind.alias("next_kind"), name.alias("next_name"))

@@ -56,13 +56,14 @@ def evidence(log: DataFrame) -> DataFrame:
         F.coalesce(last("graph_identity") != "", F.lit(False)).alias("has_identity"),
         F.count_distinct(F.when(node & (F.col("graph_identity") != ""), F.col("graph_identity"))).alias("n_identities"),
         F.coalesce(F.bool_or(F.when(node, F.array_contains(passes, "testing"))), F.lit(False)).alias("tested"),
-        F.coalesce(F.bit_or(F.when(node, _cooled(passes))), F.lit(0)).alias("cooled"),
+        F.coalesce(F.bit_or(F.when(node, cooled_steps(passes))), F.lit(0)).alias("cooled"),
         F.sum(F.when((F.col("kind") == "witness") & is_external(F.col("witness_id")), 1).otherwise(0)).alias("n_external"),
         last("provenance").alias("provenance"),
     )
 
 
-def _cooled(passes: Column) -> Column:
+def cooled_steps(passes: Column) -> Column:
+    """The mask of the steps among passes."""
     from fixlattice.functions.dims import COOLING, mask_of
 
     return mask_of(passes, COOLING)

@@ -13,6 +13,7 @@ from fixlattice.operators import log as G
 from fixlattice.plans.checkpoints import shared_root
 from fixlattice.session import table
 from fixlattice.sources import log_store, record_log
+from fixlattice.streaming import node_state
 
 
 def K():
@@ -163,6 +164,31 @@ def promoted_users(spark, sf):
     return G.promote(log.select("name").distinct(), log)
 
 
+def _stream_of_states(spark, sf):
+    """Evidence from keyed state over the events' log, appended in two parts with a run of the stream after each; the last row of each name."""
+    root = f"{shared_root(spark)}/states-{uuid.uuid4().hex}"
+    log = as_log(spark, sf)
+    middle = log.agg(F.coalesce(F.max("seq"), F.lit(0)) / 2).first()[0]
+    for part in (log.where(F.col("seq") <= middle), log.where(F.col("seq") > middle)):
+        record_log.append(part, f"{root}/log", "seq")
+        states = node_state.evidence_stream(record_log.stream(spark, f"{root}/log"))
+        schema = states.schema
+        write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}")
+        query = states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"{root}/out")
+    rest = [c for c in schema.names if c != "name"]
+    last = rows.groupBy("name").agg(F.max_by(F.struct(*rest), "n_records").alias("s"))
+    return last.select("name", *[F.col(f"s.{c}").alias(c) for c in rest])
+
+
+def climb_positions_stream(spark, sf):
+    found = C.located(_stream_of_states(spark, sf).withColumn("provenance", F.lit(None).cast("array<string>")))
+    granted = F.array_join(V.names_of(F.col("r"), V.RITES), ",").alias("granted")
+    at = C.positions_of(found).select("name", "level", "w", "r", "distance", "next_kind", "next_name")
+    return at.withColumn("granted", granted)
+
+
 def log_appended_twice(spark, sf):
     """Documents mirrored into a log, then once more as programs: the last record of each, numbered over both appends."""
     path = f"{shared_root(spark)}/log-{uuid.uuid4().hex}"
@@ -209,7 +235,7 @@ _U = _E + ", u AS (SELECT user_id, CAST(count(*) % 10 AS INT) AS level, CAST(bit
 _ALL = "s AS (SELECT CAST(i // 8192 AS INT) AS level, (i // 64) % 128 AS w, i % 64 AS r FROM range(81920) t(i))"
 _STEP = "CAST(CASE WHEN w < 127 OR r < 63 THEN level ELSE least(level + 1, 9) END AS INT) AS level2, CASE WHEN w < 127 THEN w | (w + 1) ELSE w END AS w2, CASE WHEN w = 127 AND r < 63 THEN r | (r + 1) ELSE r END AS r2"
 
-QUERIES = {f.__name__: f for f in (ladder_next, loop_trace, golden_users, node_closure_answer, lattice_states, closure_step_all, closure_inflationary_violations, leq_pairs, lub_by_event_type, kleene_chain, log_latest, log_latest_node, log_history, external_witnesses, agentify, climb_positions, climb_step, gauge, fork_nodes, registry_new, bestiary, promoted_users, log_appended_twice, substrate_roundtrip)}
+QUERIES = {f.__name__: f for f in (ladder_next, loop_trace, golden_users, node_closure_answer, lattice_states, closure_step_all, closure_inflationary_violations, leq_pairs, lub_by_event_type, kleene_chain, log_latest, log_latest_node, log_history, external_witnesses, agentify, climb_positions, climb_step, gauge, fork_nodes, registry_new, bestiary, promoted_users, log_appended_twice, climb_positions_stream, substrate_roundtrip)}
 ORACLES = {
     "ladder_next": "WITH d AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(V.LADDER)) + ") t(idx, name)) SELECT idx, name, lead(name) OVER (ORDER BY idx) AS next_name FROM d",
     "loop_trace": "WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, bool_or(event_type = 'purchase') AS effect FROM events GROUP BY 1), v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(V.LOOP)) + ") t(idx, verb)) SELECT day, idx, verb, verb NOT IN ('goldenize', 'improve_compiler') OR effect AS fired FROM d, v",
@@ -232,6 +258,7 @@ ORACLES = {
     "fork_nodes": f"WITH {_LOG} SELECT name || '@lab' AS name, 'id' || (k % 3) AS graph_identity, {_pick(V.LADDER, 'k % 10')} AS realization_level, 'fork:' || name || '->lab:by:handler' AS provenance, 0 AS n_tests, 'ok' AS status FROM last",
     "registry_new": "WITH d AS (SELECT sha256(text) AS id, doc_id FROM documents), s AS (SELECT id FROM d JOIN labels USING (doc_id)) SELECT id, min(doc_id) AS pos FROM d WHERE id NOT IN (SELECT id FROM s) GROUP BY 1",
     "bestiary": "WITH d AS (SELECT sha256(text) AS id, doc_id, quality FROM documents JOIN labels USING (doc_id)) SELECT id FROM d GROUP BY 1 HAVING max_by(quality, doc_id) = 0",
+    "climb_positions_stream": f"WITH {_LOG} SELECT name, level, w, r, distance, next_kind, next_name, {_listed(V.RITES, 'r')} AS granted FROM pos",
     "log_appended_twice": "SELECT CAST(doc_id AS VARCHAR) AS name, (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY doc_id) - 1 AS seq, 'program' AS kind, sha256(text || chr(10)) AS graph_identity, 'program' AS realization_level FROM documents",
     "promoted_users": f"WITH {_LOG} SELECT name, n_ext > 0 AS promoted FROM h",
 }
