@@ -69,6 +69,30 @@ def closure_numeric(spark, sf):
     return P.closure_rounds(_numeric(spark, sf), base)[1]
 
 
+def _two_ways(spark, sf):
+    """The parts' units and, for every third part, a second provider that requires its neighbour: cycles, and ways to choose among."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("i")).where("i % 3 = 0")
+    none = F.array().cast("array<string>")
+    more = p.select((F.col("i") + 100_000_000).cast("int").alias("pos"), F.concat(F.lit("v"), "i").alias("name"), F.array(F.concat(F.lit("c"), "i")).alias("provides"), F.array(F.concat(F.lit("c"), (F.col("i") + 1).cast("string"))).alias("requires"), none.alias("slots"))
+    return _numeric(spark, sf).unionByName(more)
+
+
+DEPTH = 4
+
+
+def best_ways_parts(spark, sf):
+    """The best way to each part's capability within a few levels, from c0, c1 and c5."""
+    found = P.best_ways(_two_ways(spark, sf), ["c0", "c1", "c5"], DEPTH)
+    return found.select("cap", F.array_join("chain", ",").alias("chain"), F.array_join("residue", ",").alias("residue"))
+
+
+def predict_parts(spark, sf):
+    """Which of the parts' units could be built from what those ways make without residue; every fifth has a slot, and slot0 is bound."""
+    pool = _two_ways(spark, sf).withColumn("slots", F.when(F.col("pos") % 5 == 0, F.array(F.lit("slot0"), F.lit("slot1"))).otherwise(F.col("slots")))
+    available = P.best_ways(pool, ["c0", "c1", "c5"], DEPTH).where(F.size("residue") == 0).select("cap")
+    return P.predict(pool, available, ["slot0"]).select("name", "status", F.array_join("capability_residue", ",").alias("capability_residue"), F.array_join("binding_residue", ",").alias("binding_residue"))
+
+
 def derivations(spark, sf):
     d = P.derivations(_units(spark), "verdict", ["pull_api", "send_api"])
     return d.select("pos", F.array_join("chain", ",").alias("chain"), F.array_join("residue", ",").alias("residue"))
@@ -291,7 +315,23 @@ _SLOTS = "s AS (SELECT source AS instance, lang AS verb, doc_id AS pos, 's' || (
 _FACTS = [(p, i, n, f"{p}({i}, {n}).") for d, p in W.PREDICATES.items() for i, n in enumerate(dims.DIMENSIONS[d])] + [("conditional_verb", i, n, f"conditional_verb({n}).") for i, n in enumerate(dims.CONDITIONAL_VERBS)]
 _FLAGS = " || chr(10) || ".join(f"'    <{p} rdf:datatype=\"{W.BOOLEAN}\">' || CASE WHEN ({m} >> {i}) & 1 = 1 THEN 'true' ELSE 'false' END || '</{p}>'" for names, m, pre in ((dims.COOLING, "w", "witnessed_"), (dims.RITES, "r", "rite_")) for i, p in ((i, pre + n) for i, n in enumerate(names)))
 
-QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, bound_group, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
+def _best_ways_sql() -> str:
+    """Ways level by level: a level joins each unit's requirements with the level before."""
+    steps = ["""u AS (SELECT p_partkey AS pos, 'u' || p_partkey AS name, 'c' || p_partkey AS cap, CASE WHEN p_partkey % 17 = 0 THEN ['none'] ELSE ['c' || p_partkey // 2, 'c' || p_partkey // 3] END AS requires FROM part
+  UNION ALL SELECT p_partkey + 100000000, 'v' || p_partkey, 'c' || p_partkey, ['c' || (p_partkey + 1)] FROM part WHERE p_partkey % 3 = 0)""",
+        "given AS (SELECT unnest(['c0', 'c1', 'c5']) AS cap)",
+        "leaf AS (SELECT DISTINCT cap FROM (SELECT unnest(requires) AS cap FROM u) WHERE cap NOT IN (SELECT cap FROM u) AND cap NOT IN (SELECT cap FROM given))",
+        "n AS (SELECT cap, pos, name, len(requires) AS n, unnest(requires) AS need, unnest(range(len(requires))) AS k FROM u WHERE cap NOT IN (SELECT cap FROM given))",
+        "w0 AS (SELECT cap, []::VARCHAR[] AS chain, []::VARCHAR[] AS residue FROM given)"]
+    once = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+    for d in range(1, DEPTH + 1):
+        chain, rest = once.format("flatten(list(w.chain ORDER BY k))"), once.format("flatten(list(w.residue ORDER BY k))")
+        steps.append(f"m{d} AS (SELECT n.cap, pos, name, {chain} AS chain, list_sort({rest}) AS residue FROM n JOIN w{d - 1} w ON w.cap = need GROUP BY n.cap, pos, name, n HAVING count(*) = n)")
+        steps.append(f"w{d} AS (SELECT cap, []::VARCHAR[] AS chain, []::VARCHAR[] AS residue FROM given UNION ALL SELECT cap, [], [cap] FROM leaf UNION ALL SELECT cap, list_append(chain, name), residue FROM (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY len(residue), len(chain), pos) AS best FROM m{d}) WHERE best = 1)")
+    return "WITH " + ", ".join(steps)
+
+
+QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, best_ways_parts, predict_parts, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, bound_group, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
 ORACLES = {
     "bound_group": "SELECT 'taxed' AS method, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_tax >= 0.04 GROUP BY l_returnflag UNION ALL SELECT 'cheap', l_returnflag, count(*), round(sum(l_quantity), 2) FROM lineitem WHERE l_quantity >= 10 AND l_discount >= 0.05 GROUP BY l_returnflag",
     "predict_status": "SELECT * FROM (VALUES ('pull', 'source', 'active', '', ''), ('pull', 'qualify', 'active', '', ''), ('pull', 'write', 'active', '', ''), ('pull', 'deliver', 'blocked', 'send_api', 'postal_address'), ('pull', 'report', 'blocked', 'sends', ''), ('both', 'source', 'active', '', ''), ('both', 'qualify', 'active', '', ''), ('both', 'write', 'active', '', ''), ('both', 'deliver', 'buildable', '', 'postal_address'), ('both', 'report', 'active', '', '')) t(base, name, status, capability_residue, binding_residue)",
@@ -299,6 +339,8 @@ ORACLES = {
     "closure_numeric": "WITH RECURSIVE p AS (SELECT p_partkey AS i FROM part), lim AS (SELECT max(i) AS m FROM p), a AS (SELECT 0 AS round, [0::BIGINT] AS have UNION ALL SELECT round + 1, list_concat(have, new) FROM (SELECT round, have, (SELECT coalesce(list(i), []) FROM p WHERE i % 17 <> 0 AND NOT list_contains(have, i) AND list_contains(have, i // 2) AND list_contains(have, i // 3)) AS new FROM a) WHERE len(new) > 0), f AS (SELECT round, unnest(have) AS i FROM a) SELECT 'u' || i AS name, CAST(min(round) AS INT) AS round FROM f WHERE i > 0 GROUP BY i",
     "derivations": "SELECT 0 AS pos, 'source,write,deliver,report' AS chain, '' AS residue",
     "residue": "SELECT * FROM (VALUES ('verdict', 'pull_api,send_api'), ('copy', 'pull_api'), ('nothing', 'nothing')) t(target, residue)",
+    "best_ways_parts": _best_ways_sql() + f" SELECT cap, array_to_string(chain, ',') AS chain, array_to_string(residue, ',') AS residue FROM w{DEPTH}",
+    "predict_parts": _best_ways_sql() + f", a AS (SELECT cap FROM w{DEPTH} WHERE len(residue) = 0), r AS (SELECT DISTINCT name, unnest(requires) AS cap FROM u), y AS (SELECT name, list(cap ORDER BY cap) AS l FROM r WHERE cap NOT IN (SELECT cap FROM a) GROUP BY 1), x AS (SELECT name, pos, coalesce(l, []) AS lack FROM u LEFT JOIN y USING (name)) SELECT name, CASE WHEN len(lack) > 0 THEN 'blocked' WHEN pos % 5 = 0 THEN 'buildable' ELSE 'active' END AS status, array_to_string(lack, ',') AS capability_residue, CASE WHEN pos % 5 = 0 THEN 'slot1' ELSE '' END AS binding_residue FROM x",
     "classify_names": f"WITH {_CLS} SELECT alphabet, count(*) AS n, count(DISTINCT name) AS n_names FROM cls GROUP BY 1",
     "doc_verdict": f"WITH {_CLS}, {_PLACED} SELECT doc_id, CASE WHEN bool_or(alphabet = 'ambient:effect') THEN 'effectful' WHEN bool_or(alphabet = 'demand') THEN 'open' WHEN bool_or(alphabet = 'config') THEN 'config_dependent' WHEN any_value(placement) IS NOT NULL THEN 'ring_coupled:' || any_value(placement) ELSE 'pure' END AS verdict FROM documents LEFT JOIN cls USING (doc_id) LEFT JOIN placed USING (doc_id) GROUP BY 1",
     "doc_placement": f"WITH {_CLS}, {_PLACED} SELECT doc_id, placement FROM documents LEFT JOIN placed USING (doc_id)",

@@ -34,11 +34,11 @@ def records(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFra
 def mirror(df: DataFrame, name: str, text: str, kind: str = "function") -> DataFrame:
     """Rows of (name, text) as log records: identity is the SHA-256 of the text, functions begin at the first rung, all else at the second.
 
-    They have no seq yet: ``record_log.append`` numbers records when they are appended."""
+    Their seq numbers the rows of one call; ``record_log.append`` numbers records over all that is appended."""
     level = F.when(F.lit(kind) == "function", "function").otherwise("program")
     none = F.array().cast("array<string>")
     return df.select(
-        F.lit(None).cast("long").alias("seq"), F.col(name).cast("string").alias("name"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("python_path"),
+        F.monotonically_increasing_id().alias("seq"), F.col(name).cast("string").alias("name"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("python_path"),
         F.sha2(text, 256).alias("graph_identity"), level.alias("realization_level"), F.array(F.concat(F.lit("mirror:"), F.col(name).cast("string"))).alias("provenance"),
         *[none.alias(c) for c in EVIDENCE], F.array().cast("array<array<string>>").alias("golden_history"), F.lit(None).cast("string").alias("witness_id"),
     )
