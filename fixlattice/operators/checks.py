@@ -106,6 +106,31 @@ def validate_stack(rings: DataFrame, key: str, base: list[str] = ()) -> DataFram
     return all_.select(key, F.when(F.col("f").isNull(), "ok").otherwise("refused").alias("status"), F.col("f.depth").alias("depth"), F.when(F.col("f.check") == 0, "missing").when(F.col("f.check") == 1, "leak").alias("reason"), F.col("f.names").alias("names"))
 
 
+def assemble(rings: DataFrame, key: str, base: list[str] = ()) -> DataFrame:
+    """(key, status, depth, reason, verb, names) of stacks whose rings have verbs (name, slots, accesses): the first refusal, innermost ring first.
+
+    A ring is refused for what it requires and nothing below adds (``missing``); then, verb by verb, for one that isn't among its adds (``outside_adds``) and for what a verb accesses that
+    is neither added, required nor a slot of it (``leak``).
+    """
+    stacked = validate_stack(rings.withColumn("accesses", F.array().cast("array<string>")), key, base).where("status = 'refused'")
+    gaps = stacked.select(key, "depth", F.lit(-1).alias("at"), F.lit("missing").alias("reason"), F.lit(None).cast("string").alias("verb"), "names")
+    verbs = rings.select(key, "depth", "adds", "requires", F.posexplode("verbs").alias("at", "v"))
+    leaks = F.array_sort(F.array_distinct(F.array_except("v.accesses", F.concat("adds", "requires", "v.slots"))))
+    outside = ~F.array_contains("adds", F.col("v.name"))
+    reason = F.when(outside, "outside_adds").when(F.size(leaks) > 0, "leak")
+    bad = verbs.select(key, "depth", "at", reason.alias("reason"), F.col("v.name").alias("verb"), F.when(outside, F.array("v.name")).otherwise(leaks).alias("names")).where("reason IS NOT NULL")
+    first = gaps.union(bad).groupBy(key).agg(F.min(F.struct("depth", "at", "reason", "verb", "names")).alias("f"))
+    out = rings.select(key).distinct().join(first, key, "left")
+    return out.select(key, F.when(F.col("f").isNull(), "ok").otherwise("refused").alias("status"), *[F.col(f"f.{c}").alias(c) for c in ("depth", "reason", "verb", "names")])
+
+
+def admitted_records(candidates: DataFrame, judged: DataFrame) -> DataFrame:
+    """The candidates that ``intake`` admits, as log records to append: name, kind, provenance (the seat) and what they declare as payload."""
+    kept = candidates.join(judged.where("status = 'admitted'").select("id"), "id", "left_semi")
+    payload = F.to_json(F.struct("demand", "rationale", "ring", "reads", "writes"))
+    return kept.select(F.col("id").cast("string").alias("name"), F.lit("candidate_envelope").alias("kind"), F.array(F.concat(F.lit("seat:"), "seat")).alias("provenance"), payload.alias("payload"), F.col("id").alias("at"))
+
+
 def soup(slots: DataFrame, bindings: DataFrame) -> DataFrame:
     """(instance, verb, unbound): declared order. slots: (instance, verb, pos, slot)."""
     open_ = slots.join(bindings.select("instance", "slot"), ["instance", "slot"], "left_anti")

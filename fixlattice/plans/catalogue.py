@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fixlattice.plans import changes, checking, logs, nodes, rates
+from fixlattice.plans import changes, checking, logs, nodes, rates, records
 
-_MODULES = (rates, logs, changes, checking, nodes)
+_MODULES = (rates, logs, changes, checking, nodes, records)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from fixlattice.sources.log_store import LOG_SCHEMA
+from fixlattice.sources import log_store
 
+#: Records of a log, with fields that only some kinds have as JSON in payload.
+LOG_SCHEMA = f"{log_store.LOG_SCHEMA}, payload string"
 _KINDS = {"bigint": LongType(), "string": StringType(), "array<string>": ArrayType(StringType()), "array<array<string>>": ArrayType(ArrayType(StringType()))}
 #: LOG_SCHEMA as a type; workers of a data source have no session to parse it.
 LOG_TYPE = StructType([StructField(n, _KINDS[t]) for n, t in (c.split(" ") for c in LOG_SCHEMA.split(", "))])
@@ -302,7 +304,7 @@ def register(spark: SparkSession) -> None:
 
 
 def append(records: DataFrame, path: str, order: str | None = None) -> None:
-    """Appends records. order: a column in whose order they are numbered; else that of the partitions and their rows."""
+    """Appends records; columns that the log doesn't have are left out. order: a column in whose order they are numbered; else that of the partitions and their rows."""
     register(records.sparkSession)
     ordered = records.orderBy(order) if order else records
     kept = [c for c in LOG_TYPE.names if c != "seq" and c in records.columns]
