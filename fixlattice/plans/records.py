@@ -15,7 +15,9 @@ from fixlattice.plans import checking
 from fixlattice.plans.checkpoints import shared_root
 from fixlattice.plans.logs import _LOG, _U, _listed, _pick, _user_masks, as_log
 from fixlattice.session import table
+from fixlattice.sources import codecs as W
 from fixlattice.sources import log_store, record_log
+from fixlattice.sources import ring_files as R
 
 
 def _fresh(spark, name):
@@ -58,6 +60,38 @@ def assemble_orders(spark, sf):
     return X.assemble(rings, "key", ["s0", "s1"]).select("key", "status", "depth", "reason", "verb", F.array_join("names", ",").alias("names"))
 
 
+def _part_rings(spark, sf):
+    """A ring for each part; every 13th has no name, every 11th a verb without source."""
+    k = F.col("p_partkey")
+    c = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    verb = F.struct(F.concat(F.lit("v<"), k).alias("name"), F.when(k % 11 != 0, F.concat(F.lit("a < b & "), k)).alias("source"), F.array(F.concat(F.lit("s"), k % 3)).alias("slots"))
+    return table(spark, sf, "part").select("p_partkey", F.when(k % 13 != 0, F.concat(F.lit("r"), k)).alias("name"), F.array(c(k), F.lit("all")).alias("adds"), F.array(c(F.floor(k / 2))).alias("requires"), F.array(verb).alias("verbs"))
+
+
+def _shown(rings):
+    verbs = F.transform("verbs", lambda v: F.concat_ws(":", v["name"], v["source"], F.array_join(v["slots"], "+")))
+    return rings.select("name", F.array_join("adds", ",").alias("adds"), F.array_join("requires", ",").alias("requires"), F.array_join(verbs, ",").alias("verbs"), "status", "reason")
+
+
+def ring_xml_files(spark, sf):
+    """The parts' rings written as XML and read back, with elements that don't parse beside them, one for every 7th part."""
+    path, broken = _fresh(spark, "rings"), _fresh(spark, "broken")
+    rings = _part_rings(spark, sf)
+    R.write_rings(rings, path)
+    rings.where("p_partkey % 7 = 0").select(F.lit("<ring name=\"x\"><adds>y</ring>").alias("value")).write.text(broken)
+    return _shown(R.read_rings(spark, [path, broken]))
+
+
+def ring_owl_files(spark, sf):
+    """The parts' rings as OWL fragments in files and read back; the verb of every 5th is missing."""
+    path = _fresh(spark, "owl")
+    rings = _part_rings(spark, sf).where("name IS NOT NULL").withColumn("verbs", F.transform("verbs", lambda v: F.struct(v["name"].alias("name"), F.coalesce(v["source"], F.lit("")).alias("source"), v["slots"].alias("slots"))))
+    text = W.owl_ring(F.struct("name", "adds", "requires", "verbs"))
+    cut = F.regexp_replace(text, "(?s)<owl:NamedIndividual.*?</owl:NamedIndividual>", "")
+    rings.select(F.when(F.col("p_partkey") % 5 == 0, cut).otherwise(text).alias("value")).write.text(path)
+    return _shown(R.read_owl_rings(spark, path))
+
+
 def climb_requirements(spark, sf):
     return C.positions(as_log(spark, sf)).select("name", "next_name", "requires")
 
@@ -96,7 +130,7 @@ def substrate_digests(spark, sf):
 
 
 _STEP = "CAST(CASE WHEN w < 127 OR r < 63 THEN level ELSE least(level + 1, 9) END AS INT) AS level, CAST(CASE WHEN w < 127 THEN w | (w + 1) ELSE w END AS BIGINT) AS w, CAST(CASE WHEN w = 127 AND r < 63 THEN r | (r + 1) ELSE r END AS BIGINT) AS r"
-QUERIES = {f.__name__: f for f in (registry_reloaded, intake_appended, assemble_orders, climb_requirements, rule_closures, rule_steps, substrate_digests)}
+QUERIES = {f.__name__: f for f in (registry_reloaded, intake_appended, assemble_orders, ring_xml_files, ring_owl_files, climb_requirements, rule_closures, rule_steps, substrate_digests)}
 ORACLES = {
     "registry_reloaded": "WITH g AS (SELECT sha256(text) AS id, doc_id, quality FROM documents JOIN labels USING (doc_id)), x AS (SELECT id, min(quality) AS q, bool_or(quality = 1) AS champion, bool_or(doc_id % 2 = 0) AS seen FROM g GROUP BY 1) SELECT id, CASE WHEN q = 1 THEN 'KEEP' ELSE 'REJECT' END AS verdict, CAST(q AS DOUBLE) AS fitness, CASE WHEN champion THEN seen END AS promoted, CASE WHEN champion AND NOT seen THEN 'external_acceptance' END AS pending FROM x",
     "intake_appended": f"WITH j AS ({checking.ORACLES['intake_diff']}) SELECT CAST(id AS VARCHAR) AS name, row_number() OVER (ORDER BY id) - 1 AS seq, 'candidate_envelope' AS kind, lang AS ring FROM j JOIN documents ON doc_id = id WHERE status = 'admitted'",
@@ -105,6 +139,8 @@ b AS (SELECT key, depth, -1 AS stage, 'missing' AS reason, NULL AS verb, need AS
   UNION ALL SELECT key, depth, 0, 'leak', p, 'q9' FROM l WHERE odd UNION ALL SELECT key, depth, 1, 'outside_adds', 'zz', 'zz' FROM l WHERE zz),
 f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY depth, stage) = 1)
 SELECT k.key, CASE WHEN f.key IS NULL THEN 'ok' ELSE 'refused' END AS status, depth, reason, verb, names FROM (SELECT DISTINCT key FROM l) k LEFT JOIN f USING (key)""",
+    "ring_xml_files": "WITH p AS (SELECT p_partkey AS k FROM part) SELECT CASE WHEN k % 13 <> 0 THEN 'r' || k END AS name, 'c' || k || ',all' AS adds, 'c' || k // 2 AS requires, 'v<' || k || CASE WHEN k % 11 <> 0 THEN ':a < b & ' || k ELSE '' END || ':s' || k % 3 AS verbs, CASE WHEN k % 13 = 0 OR k % 11 = 0 THEN 'refused' ELSE 'ok' END AS status, CASE WHEN k % 13 = 0 THEN 'no_name' WHEN k % 11 = 0 THEN 'bad_verb' END AS reason FROM p UNION ALL SELECT NULL, '', '', '', 'refused', 'malformed' FROM p WHERE k % 7 = 0",
+    "ring_owl_files": "WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 13 <> 0) SELECT 'r' || k AS name, 'c' || k || ',all' AS adds, 'c' || k // 2 AS requires, CASE WHEN k % 5 = 0 THEN '' ELSE 'v<' || k || ':' || CASE WHEN k % 11 <> 0 THEN 'a < b & ' || k ELSE '' END || ':s' || k % 3 END AS verbs, CASE WHEN k % 5 = 0 THEN 'refused' ELSE 'ok' END AS status, CASE WHEN k % 5 = 0 THEN 'no_such_verb' END AS reason FROM p",
     "climb_requirements": f"WITH {_LOG} SELECT name, next_name, CASE WHEN next_kind = 'rung' THEN 'state' ELSE CASE next_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.EVIDENCE.items()) + " END END AS requires FROM pos",
     "rule_closures": f"WITH {_U} SELECT user_id, coalesce({_pick(V.LADDER, 'level + 1')}, 'none') AS next, {_listed(V.COOLING, 'w', 0)} AS missing, w = 127 AS golden, r = 63 AS is_agent, CAST(9 - level + 7 - bit_count(w) + 6 - bit_count(r) AS INT) AS steps FROM u",
     "rule_steps": f"WITH {_U} SELECT user_id, {_STEP} FROM u",

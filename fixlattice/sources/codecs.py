@@ -83,9 +83,6 @@ def rings_from_json(text: Column) -> Column:
     return F.from_json(text, RINGS)
 
 
-__all__ = ["DIMENSIONS", "document", "escape", "owl_classes", "owl_individual", "parse_prolog", "prolog_facts", "rings_from_json", "rings_from_xml", "rings_to_json", "rings_to_xml"]
-
-
 STRING = "http://www.w3.org/2001/XMLSchema#string"
 
 
@@ -124,7 +121,10 @@ class RingsFromOwl:
         rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
         owl = "{http://www.w3.org/2002/07/owl#}"
         rdfs = "{http://www.w3.org/2000/01/rdf-schema#}"
-        root = ET.fromstring(text)
+        try:
+            root = ET.fromstring(text or "")
+        except ET.ParseError:
+            return  # ``ring_files.read_owl_rings`` reads what is broken element by element, with reasons
         found = {}
         for e in root.iter(f"{owl}NamedIndividual"):
             values = {c.tag.rpartition("}")[2]: c.text or "" for c in e}
@@ -136,7 +136,7 @@ class RingsFromOwl:
                 continue
             links = [(r.find(f"{owl}onProperty").get(f"{rdf}resource"), r.find(f"{owl}hasValue").get(f"{rdf}resource")) for s in subs for r in s.findall(f"{owl}Restriction")]
             of = lambda prop: [v for p, v in links if p == prop]
-            yield (c.get(f"{rdf}about")[1:], [v.removeprefix("#cap_") for v in of("#adds")], [v.removeprefix("#cap_") for v in of("#requires")], [found[v] for v in of("#has_verb")])
+            yield (c.get(f"{rdf}about")[1:], [v.removeprefix("#cap_") for v in of("#adds")], [v.removeprefix("#cap_") for v in of("#requires")], [found[v] for v in of("#has_verb") if v in found])
 
 
 def render_verb(verb: Column) -> Column:
