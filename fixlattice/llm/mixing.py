@@ -2,17 +2,19 @@
 
 A classifier fitted on the labelled table gives each document a posterior over domains. Nonnegative
 document rates x are then fitted so that the expected tokens of every domain, sum_d x_d n_d p_dk, meet their targets, by
-accelerated projected-gradient least squares from x = 1. The gradient's step for a document, in the metric
-of its tokens, depends on its posterior and the residuals so far alone: a document's rate is folded from
-the history of residuals (one number a domain and step), no rates are carried between steps, and each step is one
-pass over a narrow written table that returns one row of sums for each partition.
+projected-gradient least squares from x = 1, with a slight pull (``pull``) of the rates towards 1. The gradient for a document, in the metric
+of its tokens, is its posterior times one number a domain. These are summed over the steps and projected once: x_d = max(0, 1 - p_d . s), so a
+document's rate follows from its posterior and the sums s alone, and nothing is carried or folded. Steps are scaled by the second
+moments of the posteriors of documents with a rate above 0, in several lengths, of which a pass tries all and the driver takes the one of least dual loss. Each step is one
+pass over a narrow written table that returns one row of sums a partition; it ends where what remains of the residuals is the pull alone, after some
+ten passes, and is an error if it doesn't within ``STEPS``.
 
 The classifier (multinomial logistic regression on hashed words and a few proportions) is fitted on the driver on a
 bounded sample: about ``per_class`` labelled documents of each class, by a hash of their id. All else
 covers every row. Null text: no words, posterior from the bias alone. Labels with nulls or without a document are
 left out; without labels there is one domain. Repeated rows get equal rates. Ties: a rate halfway between whole numbers
 is rounded up by ``take_nearest``. Very long texts are read whole, a row at a time beyond a megabyte. ``mix`` returns the columns it is asked for; ``take_nearest``
-carries all along, whatever their names. An empty table gives no rows. A fit that ends before its tolerance is met says so: ``mix`` returns the shares reached beside the targets.
+carries all along, whatever their names. An empty table gives no rows. Targets that can't be reached are met as nearly as least squares allow: ``mix`` returns the shares reached beside the targets.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ from fixlattice.llm.text import Memo, release, slices
 BUCKETS = 1 << 18
 DENSE = 6
 PER_CLASS = 2_000
-#: Steps of the fit at most, and in how many of them the loss must fall by a hundredth.
-STEPS = 120
-PATIENCE = 12
-TOLERANCE = 1e-3
+#: Passes of the fit; it converges in some ten.
+STEPS = 60
+#: What the residuals may differ from the pull's, as part of the targets.
+TOLERANCE = 1e-4
+#: Weight of the squares of x - 1 against those of the residuals.
+PULL = 1e-4
+#: Parts of a full step that a pass tries.
+LENGTHS = (1.0, 0.5, 0.2, 0.05)
 #: Standard errors by which a hashed word's share in one class must differ from the others' to be a feature.
 SIGNIFICANT = 4.0
 
@@ -158,13 +164,9 @@ def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, *columns:
     return kept.mapInArrow(run, schema)
 
 
-def fold_rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y) of documents with posteriors p after the steps of the history: (residual, momentum) each."""
-    x = y = np.ones(len(p))
-    for residual, momentum in history:
-        new = np.maximum(0.0, y - rate * (p @ residual))
-        x, y = new, new + momentum * (new - x)
-    return x, y
+def rates_of(p: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Rates of documents with posteriors p."""
+    return np.maximum(0.0, 1.0 - p @ sums)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,47 +177,44 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.binary()), pa.array([p], pa.binary())], names=["n", "p"])
 
 
-def _sums(domains: int, history: list, rate: float, total: float):
-    """One row for each partition: expected tokens of each domain at the point the next step starts from, and at the rates themselves."""
+def _tried(tries: list[np.ndarray], total: float):
+    """One row for each partition: for each of the tried sums, the expected tokens of each domain, the squares of the rates, and the moments of posteriors with a rate above 0."""
+    domains = len(tries[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_y, at_x = np.zeros(domains), np.zeros(domains)
+        out = np.zeros((len(tries), domains + 1 + domains * domains))
         for batch in batches:
             for sizes, posteriors in zip(batch.column("n").to_pylist(), batch.column("p").to_pylist()):
                 p = np.frombuffer(posteriors).reshape(-1, domains)
                 w = np.frombuffer(sizes, np.int64) / total
-                x, y = fold_rates(p, history, rate)
-                at_y += (w * y) @ p
-                at_x += (w * x) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([at_y.tolist()]), pa.array([at_x.tolist()])], names=["y", "x"])
+                for row, sums in zip(out, tries):
+                    x = rates_of(p, sums)
+                    row[:domains] += (w * x) @ p
+                    row[domains] += (w * x) @ x
+                    row[domains + 1 :] += ((p * (w * (x > 0))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()])], names=["sums"])
 
     return run
 
 
-def fit_rates(table: DataFrame, domains: int, targets: np.ndarray, total: float, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list, float, np.ndarray]:
-    """(history, step size, expected shares reached) for targets as shares of ``total`` tokens. table: a written (n_tokens, posterior)."""
-    second = [[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i)) * F.get("posterior", F.lit(j))) for j in range(domains)] for i in range(domains)]
-    m = np.array(table.agg(*[c for row in second for c in row]).first(), float).reshape(domains, domains) / total
-    rate = 1.0 / max(1e-12, float(np.linalg.eigvalsh(m)[-1]))
-    history: list[tuple[np.ndarray, float]] = []
+def fit_rates(table: DataFrame, domains: int, targets: np.ndarray, total: float, pull: float = PULL, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sums, expected shares reached, passes) for targets as shares of ``total`` tokens. table: a written (n_tokens, posterior)."""
     blocks = written(table.select("n_tokens", "posterior").mapInArrow(_blocks, "n binary, p binary"), "mixture-blocks")
-    best, t, before, losses = None, 1.0, np.inf, []
-    for _ in range(steps + 1):
-        rows = blocks.mapInArrow(_sums(domains, history, rate, total), "y array<double>, x array<double>").collect()
-        at_y, at_x = (np.sum([r[k] for r in rows], axis=0) for k in ("y", "x"))
-        loss = float(((at_x - targets) ** 2).sum())
-        if best is None or loss < best[0]:
-            best = loss, len(history), at_x
-        losses.append(best[0])
-        if len(losses) > PATIENCE and best[0] > 0.99 * losses[-1 - PATIENCE]:
-            break
-        if np.sqrt(loss) <= tolerance * np.sqrt((targets**2).sum()):
-            break
-        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        momentum = 0.0 if loss > before else (t - 1) / later
-        t, before = (1.0 if loss > before else later), loss
-        history.append((at_y - targets, momentum))
-    return history[: best[1]], rate, best[2]
+    tries, best = [np.zeros(domains)], None
+    for n in range(1, STEPS + 1):
+        rows = blocks.mapInArrow(_tried(tries, total), "sums array<double>").collect()
+        found = np.sum([r["sums"] for r in rows], axis=0).reshape(len(tries), -1)
+        for sums, row in zip(tries, found):
+            loss = (pull * (sums @ sums) + row[domains]) / 2 + targets @ sums
+            if best is None or loss < best[0]:
+                best = loss, sums, row[:domains], row[domains + 1 :].reshape(domains, domains)
+        _, sums, reached, moments = best
+        left = reached - targets - pull * sums
+        if np.linalg.norm(left) <= tolerance * np.linalg.norm(targets):
+            return sums, reached, n
+        step = np.linalg.solve(moments + pull * np.eye(domains), left)
+        tries = [sums + length * step for length in LENGTHS]
+    raise ValueError(f"rates didn't converge in {STEPS} passes: {np.linalg.norm(left)} of the targets' {np.linalg.norm(targets)} is left")
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float] | None, without: tuple[str, ...] = (), budget: float = 1.0, columns: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray]:
@@ -237,15 +236,9 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
     else:
         wanted = np.array([targets.get(d, 0.0) for d in names])
         wanted = wanted / max(1e-12, wanted.sum()) * budget
-    history, rate, reached = fit_rates(table, len(names), wanted, total)
-    schema = with_fields(table.schema, "rate double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("posterior").flatten().to_numpy().reshape(-1, len(names)) if batch.num_rows else np.zeros((0, len(names)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fold_rates(p, history, rate)[0])], names=[*batch.schema.names, "rate"])
-
-    return table.mapInArrow(run, schema), names, wanted, reached
+    sums, reached, _ = fit_rates(table, len(names), wanted, total)
+    pulled = sum((s * F.lit(float(x)) for s, x in zip(shares, sums)), F.lit(0.0))
+    return table.withColumn("rate", F.greatest(F.lit(0.0), 1 - pulled)), names, wanted, reached
 
 
 def label_domain() -> Column:
