@@ -13,7 +13,7 @@ from fixlattice.operators import deduce as P
 from fixlattice.operators import evolve as V
 from fixlattice.operators import source_rows as B
 from fixlattice.plans.checkpoints import cut
-from fixlattice.plans.logs import _LOG, _pick, as_log
+from fixlattice.plans.logs import _LOG, _U, _pick, _user_masks, as_log
 from fixlattice.functions import dims
 from fixlattice.session import table
 from fixlattice.sources import codecs as W
@@ -42,18 +42,26 @@ def _units(spark):
 
 
 def predict_status(spark, sf):
-    """The pool under each of two bases."""
+    """The parts' units under each of two bases; every fifth has slots, of which one is bound."""
+    pool = _numeric(spark, sf).withColumn("slots", F.when(F.col("pos") % 5 == 0, F.array(F.lit("slot0"), F.lit("slot1"))).otherwise(F.col("slots")))
     out = None
-    for label, base in (("pull", ["pull_api"]), ("both", ["pull_api", "send_api"])):
-        available = P.closure_fold(_units(spark), base).first()["available"]
-        rows = P.predict(_units(spark), available).select(F.lit(label).alias("base"), "name", "status", F.array_join("capability_residue", ",").alias("capability_residue"), F.array_join("binding_residue", ",").alias("binding_residue"))
+    for label, base in (("few", ["c0", "c1"]), ("more", ["c0", "c1", "c2", "c3", "none"])):
+        rows = P.predict(pool, base, ["slot0"]).select(F.lit(label).alias("base"), "name", "status", F.array_join("capability_residue", ",").alias("capability_residue"), F.array_join("binding_residue", ",").alias("binding_residue"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+#: Parts of a small pool.
+_POOL = 40
+
+
 def closure_fixture(spark, sf):
-    c = P.closure_fold(_units(spark), ["pull_api"])
-    return c.select(*[F.array_join(x, ",").alias(x) for x in ("available", "order", "active")])
+    """Small pools of parts, each closed in order."""
+    p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / _POOL).alias("pool"), (F.col("p_partkey") % _POOL + 1).alias("i"))
+    c = lambda x: F.concat(F.lit("c"), F.floor(x).cast("string"))
+    units = p.select("pool", F.col("i").cast("int").alias("pos"), F.concat(F.lit("u"), "i").alias("name"), F.array(c(F.col("i"))).alias("provides"), F.when(F.col("i") % 17 == 0, F.array(F.lit("none"))).otherwise(F.array(c(F.col("i") / 2), c(F.col("i") / 3))).alias("requires"))
+    out = P.closure_fold(units, ["c0"], ["pool"])
+    return out.select("pool", *[F.array_join(x, ",").alias(x) for x in ("available", "order", "active")])
 
 
 def _numeric(spark, sf):
@@ -93,13 +101,18 @@ def predict_parts(spark, sf):
     return P.predict(pool, available, ["slot0"]).select("name", "status", F.array_join("capability_residue", ",").alias("capability_residue"), F.array_join("binding_residue", ",").alias("binding_residue"))
 
 
+#: A part whose capability has two providers.
+_TARGET = "c12"
+
+
 def derivations(spark, sf):
-    d = P.derivations(_units(spark), "verdict", ["pull_api", "send_api"])
+    d = P.derivations(_two_ways(spark, sf), _TARGET, ["c0", "c1", "c5"], DEPTH)
     return d.select("pos", F.array_join("chain", ",").alias("chain"), F.array_join("residue", ",").alias("residue"))
 
 
 def residue(spark, sf):
-    return spark.createDataFrame([(t, ",".join(P.residue(_units(spark), t, []))) for t in ("verdict", "copy", "nothing")], "target string, residue string")
+    pool = _two_ways(spark, sf)
+    return spark.createDataFrame([(t, ",".join(P.residue(pool, t, ["c0", "c1", "c5"], DEPTH))) for t in ("c51", "none")], "target string, residue string")
 
 
 def _names(spark, sf):
@@ -218,39 +231,43 @@ def bound_group(spark, sf):
     return taxed.withColumn("method", F.lit("taxed")).unionByName(cheap.withColumn("method", F.lit("cheap")))
 
 
-def _sources(spark):
-    return spark.createDataFrame(list(SOURCES.items()), "source_name string, src string")
+def _sources(spark, sf):
+    """Four shapes of source text for each part, with its key and brand in them."""
+    p = table(spark, sf, "part").select("p_partkey", F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")).alias("brand"))
+    shapes = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in SOURCES.items()])).alias("s")
+    text = F.regexp_replace(F.regexp_replace("s.text", r"\bn\b", F.concat(F.lit("n_"), F.col("brand"))), r"\b1\b", F.col("p_partkey").cast("string"))
+    return p.select("p_partkey", "brand", shapes).select(F.concat("s.name", F.lit("_"), "p_partkey").alias("source_name"), text.alias("src"))
 
 
 def blockify_rows(spark, sf):
-    return _sources(spark).lateralJoin(B.Blockify(F.col("src").outer(), F.lit(True)).alias("b")).select("source_name", "b.i", "b.kind", F.array_join("b.reads", ",").alias("reads"), F.array_join("b.writes", ",").alias("writes"), "b.capture_risk", "b.reason")
+    return _sources(spark, sf).lateralJoin(B.Blockify(F.col("src").outer(), F.lit(True)).alias("b")).select("source_name", "b.i", "b.kind", F.array_join("b.reads", ",").alias("reads"), F.array_join("b.writes", ",").alias("writes"), "b.capture_risk", "b.reason")
 
 
 def module_report(spark, sf):
-    return _sources(spark).lateralJoin(B.ModuleReport(F.col("src").outer()).alias("m")).select("source_name", "m.pos", "m.name", "m.granularity", "m.reason", "m.n_blocks", "m.n_opaque")
+    return _sources(spark, sf).lateralJoin(B.ModuleReport(F.col("src").outer()).alias("m")).select("source_name", "m.pos", "m.name", "m.granularity", "m.reason", "m.n_blocks", "m.n_opaque")
 
 
 def block_functions(spark, sf):
     """Blocks of the sources that can be cut, as functions of their own."""
-    rows = _sources(spark).lateralJoin(B.Blockify(F.col("src").outer(), F.lit(True)).alias("b")).where("b.reason IS NULL")
+    rows = _sources(spark, sf).lateralJoin(B.Blockify(F.col("src").outer(), F.lit(True)).alias("b")).where("b.reason IS NULL")
     return rows.select("source_name", "b.i", B.functionalize(F.col("source_name"), F.col("b.i"), F.col("b.reads"), F.col("b.writes"), F.col("b.source")).alias("text"))
 
 
 def signatures(spark, sf):
-    return _sources(spark).lateralJoin(B.Signature(F.col("src").outer()).alias("s")).select("source_name", "s.pos", "s.param", "s.kind", "s.has_default", "s.reason")
+    return _sources(spark, sf).lateralJoin(B.Signature(F.col("src").outer()).alias("s")).select("source_name", "s.pos", "s.param", "s.kind", "s.has_default", "s.reason")
 
 
 def self_accesses(spark, sf):
-    return _sources(spark).lateralJoin(B.SelfAccesses(F.col("src").outer()).alias("s")).select("source_name", F.array_join("s.accesses", ",").alias("accesses"), "s.reason")
+    return _sources(spark, sf).lateralJoin(B.SelfAccesses(F.col("src").outer()).alias("s")).select("source_name", F.array_join("s.accesses", ",").alias("accesses"), "s.reason")
 
 
 def derived_envelopes(spark, sf):
-    d = _sources(spark).lateralJoin(B.Derive(F.col("src").outer()).alias("d"))
+    d = _sources(spark, sf).lateralJoin(B.Derive(F.col("src").outer()).alias("d"))
     return d.select("source_name", "d.name", *[F.array_join(f"d.{c}", ",").alias(c) for c in ("reads", "writes", "builtin_named")], "d.n_blocks", "d.reason")
 
 
 def callable_units(spark, sf):
-    u = _sources(spark).lateralJoin(B.CallableUnit(F.col("src").outer()).alias("u"))
+    u = _sources(spark, sf).lateralJoin(B.CallableUnit(F.col("src").outer()).alias("u"))
     return u.select("source_name", "u.name", *[F.array_join(f"u.{c}", ",").alias(c) for c in ("provides", "requires", "slots")], "u.reason")
 
 
@@ -263,7 +280,7 @@ def relational_validation(spark, sf):
 
 
 def static_calls(spark, sf):
-    return _sources(spark).lateralJoin(B.StaticCalls(F.col("src").outer()).alias("c")).select("source_name", "c.caller", "c.callee", "c.n")
+    return _sources(spark, sf).lateralJoin(B.StaticCalls(F.col("src").outer()).alias("c")).select("source_name", "c.caller", "c.callee", "c.n")
 
 
 def owl_individuals(spark, sf):
@@ -271,18 +288,29 @@ def owl_individuals(spark, sf):
     return s.select("name", F.md5(W.owl_individual(F.col("name"), F.col("level"), F.col("w"), F.col("r"))).alias("digest"))
 
 
+def _witnessed(spark, sf):
+    """(predicate, idx, name): the steps that each user has witnessed, in order."""
+    steps = F.posexplode(F.array(*[F.when(F.col("w").bitwiseAND(1 << i) != 0, F.lit(n)) for i, n in enumerate(dims.COOLING)])).alias("idx", "name")
+    return _user_masks(spark, sf).select(F.concat(F.lit("witnessed_u"), "user_id").alias("predicate"), steps).where("name IS NOT NULL")
+
+
 def prolog_facts(spark, sf):
-    return W.prolog_facts(spark)
+    return W.indexed_facts(_witnessed(spark, sf))
 
 
 def prolog_roundtrip(spark, sf):
-    lines = W.prolog_facts(spark).select(F.col("line").alias("value"))
+    lines = W.indexed_facts(_witnessed(spark, sf)).select(F.col("line").alias("value"))
     return W.parse_prolog(lines).select("predicate", F.array_join("atoms", ",").alias("atoms"))
 
 
 def xml_rings(spark, sf):
-    text = '<onion name="stack"><ring name="Greet"><adds>greet</adds><verb name="hello"><source>x</source><slot>who</slot><slot>salutation</slot></verb></ring><ring name="Shout"><adds>shout</adds><requires>greet</requires></ring></onion>'
-    d = spark.createDataFrame([(text,)], "text string").select(W.rings_from_xml(F.col("text")).alias("o"))
+    """Regions as stacks of their nations' rings, as XML and back."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    verb = F.struct(F.lower("n_name").alias("_name"), F.concat(F.lit("a < "), "n_nationkey").alias("source"), F.array(F.lit("who")).alias("slot"))
+    ring = F.struct("n_nationkey", F.col("n_name").alias("_name"), F.array(F.lower("n_name"), F.lit("all")).alias("adds"), F.array(F.lower("r_name")).alias("requires"), F.array(verb).alias("verb"))
+    held = n.groupBy("r_name").agg(F.array_sort(F.collect_list(ring)).alias("l"))
+    rings = F.transform("l", lambda x: F.struct(*[x[c].alias(c) for c in ("_name", "adds", "requires", "verb")]))
+    d = held.select(W.rings_to_xml(F.struct(F.col("r_name").alias("_name"), rings.alias("ring"))).alias("text")).select(W.rings_from_xml(F.col("text")).alias("o"))
     return d.select(F.col("o._name").alias("onion"), F.posexplode("o.ring").alias("depth", "r")).select("onion", "depth", F.col("r._name").alias("ring"), F.array_join(F.col("r.adds"), ",").alias("adds"), F.array_join(F.col("r.requires"), ",").alias("requires"), F.size("r.verb").alias("n_verbs"))
 
 
@@ -312,19 +340,18 @@ _CLS = f"{_TOKENS}, rings AS (SELECT * FROM (VALUES {', '.join(f'({p}, {chr(39)}
 _PLACED = "mass AS (SELECT doc_id, alphabet[6:] AS ring, count(*) AS m FROM cls WHERE starts_with(alphabet, 'ring:') GROUP BY 1, 2), placed AS (SELECT doc_id, ring AS placement FROM mass QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, ring) = 1)"
 _TURNS = "t AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '([a-z'']+)', 1)) AS name FROM conversations)"
 _SLOTS = "s AS (SELECT source AS instance, lang AS verb, doc_id AS pos, 's' || (doc_id % 40) AS slot FROM documents), b AS (SELECT source AS instance, doc_id AS pos, 's' || (doc_id % 40) AS slot FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)"
-_FACTS = [(p, i, n, f"{p}({i}, {n}).") for d, p in W.PREDICATES.items() for i, n in enumerate(dims.DIMENSIONS[d])] + [("conditional_verb", i, n, f"conditional_verb({n}).") for i, n in enumerate(dims.CONDITIONAL_VERBS)]
 _FLAGS = " || chr(10) || ".join(f"'    <{p} rdf:datatype=\"{W.BOOLEAN}\">' || CASE WHEN ({m} >> {i}) & 1 = 1 THEN 'true' ELSE 'false' END || '</{p}>'" for names, m, pre in ((dims.COOLING, "w", "witnessed_"), (dims.RITES, "r", "rite_")) for i, p in ((i, pre + n) for i, n in enumerate(names)))
 
-def _best_ways_sql() -> str:
+def _best_ways_sql(depth: int = DEPTH, without: str = "") -> str:
     """Ways level by level: a level joins each unit's requirements with the level before."""
     steps = ["""u AS (SELECT p_partkey AS pos, 'u' || p_partkey AS name, 'c' || p_partkey AS cap, CASE WHEN p_partkey % 17 = 0 THEN ['none'] ELSE ['c' || p_partkey // 2, 'c' || p_partkey // 3] END AS requires FROM part
   UNION ALL SELECT p_partkey + 100000000, 'v' || p_partkey, 'c' || p_partkey, ['c' || (p_partkey + 1)] FROM part WHERE p_partkey % 3 = 0)""",
         "given AS (SELECT unnest(['c0', 'c1', 'c5']) AS cap)",
         "leaf AS (SELECT DISTINCT cap FROM (SELECT unnest(requires) AS cap FROM u) WHERE cap NOT IN (SELECT cap FROM u) AND cap NOT IN (SELECT cap FROM given))",
-        "n AS (SELECT cap, pos, name, len(requires) AS n, unnest(requires) AS need, unnest(range(len(requires))) AS k FROM u WHERE cap NOT IN (SELECT cap FROM given))",
+        "n AS (SELECT cap, pos, name, len(requires) AS n, unnest(requires) AS need, unnest(range(len(requires))) AS k FROM u WHERE cap NOT IN (SELECT cap FROM given) AND cap <> '" + without + "')",
         "w0 AS (SELECT cap, []::VARCHAR[] AS chain, []::VARCHAR[] AS residue FROM given)"]
     once = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
-    for d in range(1, DEPTH + 1):
+    for d in range(1, depth + 1):
         chain, rest = once.format("flatten(list(w.chain ORDER BY k))"), once.format("flatten(list(w.residue ORDER BY k))")
         steps.append(f"m{d} AS (SELECT n.cap, pos, name, {chain} AS chain, list_sort({rest}) AS residue FROM n JOIN w{d - 1} w ON w.cap = need GROUP BY n.cap, pos, name, n HAVING count(*) = n)")
         steps.append(f"w{d} AS (SELECT cap, []::VARCHAR[] AS chain, []::VARCHAR[] AS residue FROM given UNION ALL SELECT cap, [], [cap] FROM leaf UNION ALL SELECT cap, list_append(chain, name), residue FROM (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY len(residue), len(chain), pos) AS best FROM m{d}) WHERE best = 1)")
@@ -334,11 +361,11 @@ def _best_ways_sql() -> str:
 QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, best_ways_parts, predict_parts, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, bound_group, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
 ORACLES = {
     "bound_group": "SELECT 'taxed' AS method, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_tax >= 0.04 GROUP BY l_returnflag UNION ALL SELECT 'cheap', l_returnflag, count(*), round(sum(l_quantity), 2) FROM lineitem WHERE l_quantity >= 10 AND l_discount >= 0.05 GROUP BY l_returnflag",
-    "predict_status": "SELECT * FROM (VALUES ('pull', 'source', 'active', '', ''), ('pull', 'qualify', 'active', '', ''), ('pull', 'write', 'active', '', ''), ('pull', 'deliver', 'blocked', 'send_api', 'postal_address'), ('pull', 'report', 'blocked', 'sends', ''), ('both', 'source', 'active', '', ''), ('both', 'qualify', 'active', '', ''), ('both', 'write', 'active', '', ''), ('both', 'deliver', 'buildable', '', 'postal_address'), ('both', 'report', 'active', '', '')) t(base, name, status, capability_residue, binding_residue)",
-    "closure_fixture": "SELECT 'contacts,copy,fit_scores,pull_api' AS available, 'contacts,fit_scores,copy' AS \"order\", 'qualify,source,write' AS active",
+    "predict_status": " UNION ALL ".join(f"SELECT '{label}' AS base, 'u' || p_partkey AS name, CASE WHEN len(lack) > 0 THEN 'blocked' WHEN p_partkey % 5 = 0 THEN 'buildable' ELSE 'active' END AS status, array_to_string(lack, ',') AS capability_residue, CASE WHEN p_partkey % 5 = 0 THEN 'slot1' ELSE '' END AS binding_residue FROM (SELECT p_partkey, list_sort(list_distinct(list_filter(CASE WHEN p_partkey % 17 = 0 THEN ['none'] ELSE ['c' || p_partkey // 2, 'c' || p_partkey // 3] END, lambda x: x NOT IN {base}))) AS lack FROM part)" for label, base in (("few", ("c0", "c1")), ("more", ("c0", "c1", "c2", "c3", "none")))),
+    "closure_fixture": f"WITH RECURSIVE a AS (SELECT 0 AS round, [0::BIGINT] AS have UNION ALL SELECT round + 1, list_concat(have, new) FROM (SELECT round, have, (SELECT coalesce(list(i), []) FROM range(1, {_POOL + 1}) t(i) WHERE i % 17 <> 0 AND NOT list_contains(have, i) AND list_contains(have, i // 2) AND list_contains(have, i // 3)) AS new FROM a) WHERE len(new) > 0), f AS (SELECT DISTINCT unnest(have) AS i FROM a), m AS (SELECT p_partkey // {_POOL} AS pool, p_partkey % {_POOL} + 1 AS i FROM part), g AS (SELECT pool, list('c' || i ORDER BY i) AS o, list('u' || i ORDER BY 'u' || i) AS v FROM m WHERE i IN (SELECT i FROM f) GROUP BY 1) SELECT pool, array_to_string(list_sort(list_append(coalesce(o, []), 'c0')), ',') AS available, coalesce(array_to_string(o, ','), '') AS \"order\", coalesce(array_to_string(v, ','), '') AS active FROM (SELECT DISTINCT pool FROM m) LEFT JOIN g USING (pool)",
     "closure_numeric": "WITH RECURSIVE p AS (SELECT p_partkey AS i FROM part), lim AS (SELECT max(i) AS m FROM p), a AS (SELECT 0 AS round, [0::BIGINT] AS have UNION ALL SELECT round + 1, list_concat(have, new) FROM (SELECT round, have, (SELECT coalesce(list(i), []) FROM p WHERE i % 17 <> 0 AND NOT list_contains(have, i) AND list_contains(have, i // 2) AND list_contains(have, i // 3)) AS new FROM a) WHERE len(new) > 0), f AS (SELECT round, unnest(have) AS i FROM a) SELECT 'u' || i AS name, CAST(min(round) AS INT) AS round FROM f WHERE i > 0 GROUP BY i",
-    "derivations": "SELECT 0 AS pos, 'source,write,deliver,report' AS chain, '' AS residue",
-    "residue": "SELECT * FROM (VALUES ('verdict', 'pull_api,send_api'), ('copy', 'pull_api'), ('nothing', 'nothing')) t(target, residue)",
+    "derivations": _best_ways_sql(DEPTH - 1, _TARGET) + f", t AS (SELECT pos, name, len(requires) AS n, unnest(requires) AS need, unnest(range(len(requires))) AS k FROM u WHERE cap = '{_TARGET}'), x AS (SELECT pos, name, flatten(list(w.chain ORDER BY k)) AS c, flatten(list(w.residue ORDER BY k)) AS r FROM t JOIN w{DEPTH - 1} w ON w.cap = need GROUP BY pos, name, n HAVING count(*) = n) SELECT CAST(row_number() OVER (ORDER BY pos) - 1 AS INT) AS pos, array_to_string(list_append(list_filter(c, lambda y, i: list_position(c, y) = i), name), ',') AS chain, array_to_string(list_sort(list_distinct(r)), ',') AS residue FROM x",
+    "residue": _best_ways_sql() + f" SELECT t AS target, CASE WHEN w.cap IS NULL THEN t ELSE array_to_string(residue, ',') END AS residue FROM (SELECT unnest(['c51', 'none']) AS t) LEFT JOIN w{DEPTH} w ON w.cap = t",
     "best_ways_parts": _best_ways_sql() + f" SELECT cap, array_to_string(chain, ',') AS chain, array_to_string(residue, ',') AS residue FROM w{DEPTH}",
     "predict_parts": _best_ways_sql() + f", a AS (SELECT cap FROM w{DEPTH} WHERE len(residue) = 0), r AS (SELECT DISTINCT name, unnest(requires) AS cap FROM u), y AS (SELECT name, list(cap ORDER BY cap) AS l FROM r WHERE cap NOT IN (SELECT cap FROM a) GROUP BY 1), x AS (SELECT name, pos, coalesce(l, []) AS lack FROM u LEFT JOIN y USING (name)) SELECT name, CASE WHEN len(lack) > 0 THEN 'blocked' WHEN pos % 5 = 0 THEN 'buildable' ELSE 'active' END AS status, array_to_string(lack, ',') AS capability_residue, CASE WHEN pos % 5 = 0 THEN 'slot1' ELSE '' END AS binding_residue FROM x",
     "classify_names": f"WITH {_CLS} SELECT alphabet, count(*) AS n, count(DISTINCT name) AS n_names FROM cls GROUP BY 1",
@@ -356,7 +383,8 @@ ORACLES = {
     "shared_params": "WITH l AS (SELECT DISTINCT l_suppkey AS fn, l_partkey AS param, l_linenumber AS pos FROM lineitem), c AS (SELECT param FROM l GROUP BY 1 HAVING count(DISTINCT fn) >= 30), r AS (SELECT l.*, CASE WHEN c.param IS NOT NULL THEN 'config' WHEN pos > 3 THEN 'call' ELSE 'required_call' END AS role FROM l LEFT JOIN c USING (param)) SELECT role, count(*) AS n, count(DISTINCT param) AS n_params FROM r GROUP BY 1",
     "bound_query": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_discount <= 0.05 AND l_quantity >= 10 GROUP BY 1",
     "owl_individuals": f"WITH {_LOG} SELECT name, md5('  <owl:NamedIndividual rdf:about=\"#' || name || '\">' || chr(10) || '    <rdf:type rdf:resource=\"#AtLeast_' || {_pick(dims.LADDER, 'level')} || '\"/>' || chr(10) || {_FLAGS} || chr(10) || '  </owl:NamedIndividual>') AS digest FROM st WHERE n_nodes > 0",
-    "prolog_facts": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {i}, '{line}')" for p, i, _, line in _FACTS) + ") t(predicate, idx, line)",
-    "prolog_roundtrip": "SELECT predicate, string_agg(atom, ',' ORDER BY idx, atom) AS atoms FROM (VALUES " + ", ".join(f"('{p}', {0 if p == 'conditional_verb' else i}, '{n}')" for p, i, n, _ in _FACTS) + ") t(predicate, idx, atom) GROUP BY 1",
+    "xml_rings": "SELECT r_name AS onion, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INT) AS depth, n_name AS ring, lower(n_name) || ',all' AS adds, lower(r_name) AS requires, 1 AS n_verbs FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "prolog_facts": f"WITH {_U}, s AS (SELECT user_id, w, unnest(range(7)) AS idx FROM u) SELECT 'witnessed_u' || user_id AS predicate, CAST(idx AS INT) AS idx, 'witnessed_u' || user_id || '(' || idx || ', ' || {_pick(dims.COOLING, 'idx')} || ').' AS line FROM s WHERE (w >> idx) & 1 = 1",
+    "prolog_roundtrip": f"WITH {_U}, s AS (SELECT user_id, w, unnest(range(7)) AS idx FROM u) SELECT 'witnessed_u' || user_id AS predicate, string_agg({_pick(dims.COOLING, 'idx')}, ',' ORDER BY idx) AS atoms FROM s WHERE (w >> idx) & 1 = 1 GROUP BY user_id",
 }
 ORACLES["relational_validation"] = f"SELECT 'c' || conv_id AS name, status = 'ok' AS relational_validation FROM ({ORACLES['stack_validate']})"

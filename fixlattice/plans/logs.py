@@ -10,6 +10,7 @@ from fixlattice.functions import dims as V
 from fixlattice.functions import lattice as L
 from fixlattice.operators import climb as C
 from fixlattice.operators import log as G
+from fixlattice.operators import nodes as N
 from fixlattice.plans.checkpoints import shared_root
 from fixlattice.session import table
 from fixlattice.sources import log_store, record_log
@@ -46,8 +47,9 @@ def as_log(spark, sf):
 
 
 def ladder_next(spark, sf):
-    d = V.dimension(spark, "ladder")
-    return d.join(d.select((F.col("idx") - 1).alias("idx"), F.col("name").alias("next_name")), "idx", "left").select("idx", "name", "next_name")
+    """The rung of each user and the one above it."""
+    own = V.nth(V.LADDER, F.col("level"))
+    return _user_masks(spark, sf).select("user_id", own.alias("name"), N.next_level(own).alias("next_name"))
 
 
 def loop_trace(spark, sf):
@@ -76,16 +78,19 @@ def node_closure_answer(spark, sf):
 
 
 def lattice_states(spark, sf):
-    return L.all_states(spark).groupBy(L.distance(F.col("level"), F.col("w"), F.col("r")).alias("distance")).agg(F.count("*").alias("n"))
+    """How many users are how far from the top."""
+    return _user_masks(spark, sf).groupBy(L.distance(F.col("level"), F.col("w"), F.col("r")).alias("distance")).agg(F.count("*").alias("n"))
 
 
 def closure_step_all(spark, sf):
+    """How many users get to each state by one step."""
     l, w, r = L.closure_step(F.col("level"), F.col("w"), F.col("r"))
-    return L.all_states(spark).select(l.alias("level"), w.alias("w"), r.alias("r")).groupBy("level", "w", "r").agg(F.count("*").alias("n_from"))
+    return _user_masks(spark, sf).select(l.alias("level"), w.alias("w"), r.alias("r")).groupBy("level", "w", "r").agg(F.count("*").alias("n_from"))
 
 
 def closure_inflationary_violations(spark, sf):
-    s = L.all_states(spark)
+    """Users whose next state isn't above theirs, of which there are none, and those at the fixpoint."""
+    s = _user_masks(spark, sf)
     l, w, r = L.closure_step(F.col("level"), F.col("w"), F.col("r"))
     both = s.select(F.struct("level", "w", "r").alias("a"), F.struct(l.alias("level"), w.alias("w"), r.alias("r")).alias("b"))
     return both.agg(F.sum(F.when(~L.leq(F.col("a"), F.col("b")), 1).otherwise(0)).alias("violations"), F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("fixpoints"), F.count("*").alias("n"))
@@ -104,8 +109,8 @@ def lub_by_event_type(spark, sf):
 
 
 def kleene_chain(spark, sf):
-    bottom = spark.range(1).select(F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("r"))
-    return L.chain(bottom).select("step", "level", "w", "r")
+    """The chain of each user's state up to the top."""
+    return L.chain(_user_masks(spark, sf)).select("user_id", "step", "level", "w", "r")
 
 
 def log_latest(spark, sf):
@@ -237,16 +242,16 @@ _STEP = "CAST(CASE WHEN w < 127 OR r < 63 THEN level ELSE least(level + 1, 9) EN
 
 QUERIES = {f.__name__: f for f in (ladder_next, loop_trace, golden_users, node_closure_answer, lattice_states, closure_step_all, closure_inflationary_violations, leq_pairs, lub_by_event_type, kleene_chain, log_latest, log_latest_node, log_history, external_witnesses, agentify, climb_positions, climb_step, gauge, fork_nodes, registry_new, bestiary, promoted_users, log_appended_twice, climb_positions_stream, substrate_roundtrip)}
 ORACLES = {
-    "ladder_next": "WITH d AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(V.LADDER)) + ") t(idx, name)) SELECT idx, name, lead(name) OVER (ORDER BY idx) AS next_name FROM d",
+    "ladder_next": f"WITH {_U} SELECT user_id, {_pick(V.LADDER, 'level')} AS name, {_pick(V.LADDER, 'level + 1')} AS next_name FROM u",
     "loop_trace": "WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, bool_or(event_type = 'purchase') AS effect FROM events GROUP BY 1), v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(V.LOOP)) + ") t(idx, verb)) SELECT day, idx, verb, verb NOT IN ('goldenize', 'improve_compiler') OR effect AS fired FROM d, v",
     "golden_users": f"WITH {_U} SELECT user_id, round(1 - bit_count(w) / 7.0, 9) AS heat, w = 127 AS golden, r = 63 AS is_agent FROM u",
     "node_closure_answer": f"WITH {_U} SELECT user_id, {_pick(V.LADDER, 'level')} AS level_name, {_pick(V.LADDER, 'level + 1')} AS next_name, {_listed(V.COOLING, 'w', 0)} AS unwitnessed, {_listed(V.RITES, 'r', 0)} AS missing_rites FROM u",
-    "lattice_states": f"WITH {_ALL} SELECT CAST(9 - level + 7 - bit_count(w) + 6 - bit_count(r) AS INT) AS distance, count(*) AS n FROM s GROUP BY 1",
-    "closure_step_all": f"WITH {_ALL}, t AS (SELECT {_STEP} FROM s) SELECT level2 AS level, w2 AS w, r2 AS r, count(*) AS n_from FROM t GROUP BY 1, 2, 3",
-    "closure_inflationary_violations": f"WITH {_ALL}, t AS (SELECT *, {_STEP} FROM s) SELECT CAST(sum(CASE WHEN level <= level2 AND w & ~w2 = 0 AND r & ~r2 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS violations, CAST(sum(CASE WHEN level = level2 AND w = w2 AND r = r2 THEN 1 ELSE 0 END) AS BIGINT) AS fixpoints, count(*) AS n FROM t",
+    "lattice_states": f"WITH {_U} SELECT CAST(9 - level + 7 - bit_count(w) + 6 - bit_count(r) AS INT) AS distance, count(*) AS n FROM u GROUP BY 1",
+    "closure_step_all": f"WITH {_U}, t AS (SELECT {_STEP} FROM u) SELECT level2 AS level, CAST(w2 AS BIGINT) AS w, CAST(r2 AS BIGINT) AS r, count(*) AS n_from FROM t GROUP BY 1, 2, 3",
+    "closure_inflationary_violations": f"WITH {_U}, t AS (SELECT *, {_STEP} FROM u) SELECT CAST(sum(CASE WHEN level <= level2 AND w & ~w2 = 0 AND r & ~r2 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS violations, CAST(sum(CASE WHEN level = level2 AND w = w2 AND r = r2 THEN 1 ELSE 0 END) AS BIGINT) AS fixpoints, count(*) AS n FROM t",
     "leq_pairs": f"WITH {_U} SELECT a.user_id, count(*) AS n_above FROM u a JOIN u b ON a.level <= b.level AND a.w & ~b.w = 0 AND a.r & ~b.r = 0 GROUP BY 1",
     "lub_by_event_type": f"WITH {_E} SELECT event_type, max(k % 10) AS level, CAST(bit_or(1 << (k % 7)) AS BIGINT) AS w, CAST(bit_or(1 << (k % 6)) AS BIGINT) AS r FROM e GROUP BY 1",
-    "kleene_chain": f"WITH RECURSIVE c AS (SELECT 0 AS step, 0 AS level, CAST(0 AS BIGINT) AS w, CAST(0 AS BIGINT) AS r UNION ALL SELECT step + 1, level2, w2, r2 FROM (SELECT step, {_STEP} FROM c WHERE level < 9 OR w < 127 OR r < 63)) SELECT step, level, w, r FROM c",
+    "kleene_chain": f"WITH RECURSIVE {_U}, c AS (SELECT user_id, 0 AS step, level, w, r FROM u UNION ALL SELECT user_id, step + 1, level2, CAST(w2 AS BIGINT), CAST(r2 AS BIGINT) FROM (SELECT user_id, step, {_STEP} FROM c WHERE level < 9 OR w < 127 OR r < 63)) SELECT user_id, step, level, w, r FROM c",
     "log_latest": f"WITH {_LOG} SELECT name, max(seq) AS seq, max_by(CASE WHEN wit THEN 'witness' ELSE 'node' END, seq) AS kind, max_by('id' || (k % 3), seq) AS graph_identity FROM l GROUP BY 1",
     "log_latest_node": f"WITH {_LOG} SELECT name, max(seq) AS seq, {_pick(V.LADDER, 'max_by(k, seq) % 10')} AS realization_level, max_by('id' || (k % 3), seq) AS graph_identity FROM l WHERE NOT wit GROUP BY 1",
     "log_history": f"WITH {_LOG} SELECT name, seq, CASE WHEN wit THEN 'witness' ELSE 'node' END AS kind, {_pick(V.LADDER, 'k % 10')} AS realization_level FROM l WHERE name = 'u8'",

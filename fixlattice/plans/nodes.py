@@ -29,9 +29,9 @@ def node_states(spark, sf):
 
 
 def admissible_transitions(spark, sf):
-    d = V.dimension(spark, "ladder")
-    pairs = d.select(F.col("name").alias("a")).join(d.select(F.col("name").alias("b")))  # ten by ten
-    return pairs.where(N.admissible(F.col("a"), F.col("b")))
+    """Line items as steps from the rung of their supplier to that of their part: how often each step is taken, and whether it is admissible."""
+    line = table(spark, sf, "lineitem").select(V.nth(V.LADDER, F.col("l_suppkey") % 10).alias("a"), V.nth(V.LADDER, F.col("l_partkey") % 10).alias("b"))
+    return line.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("admissible", N.admissible(F.col("a"), F.col("b")))
 
 
 def project_position(spark, sf):
@@ -72,7 +72,7 @@ QUERIES = {f.__name__: f for f in (node_requests, node_states, admissible_transi
 ORACLES = {
     "node_requests": f"WITH {_REQ} SELECT seq, name, action, CASE WHEN reason IS NULL THEN 'ok' ELSE 'refused' END AS status, reason FROM v",
     "node_states": f"WITH {_REQ}, s AS (SELECT name, CAST(count(*) FILTER (reason IS NULL AND action = 'advance') AS INT) AS level, CAST(coalesce(bit_or(1 << (k % 9)) FILTER (reason IS NULL AND action = 'cool'), 0) AS BIGINT) AS w, CAST(coalesce(bit_or(1 << (k % 7)) FILTER (reason IS NULL AND action = 'rite'), 0) AS BIGINT) AS r, count(*) FILTER (reason IS NULL) AS provenance_size FROM v GROUP BY name) SELECT name, level, w, r, round(1 - bit_count(w) / 7.0, 9) AS heat, w = 127 AS golden, r = 63 AS is_agent, provenance_size FROM s",
-    "admissible_transitions": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(V.LADDER, V.LADDER[1:])) + ") t(a, b)",
+    "admissible_transitions": "WITH s AS (SELECT l_suppkey % 10 AS i, l_partkey % 10 AS j, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT " + _pick(V.LADDER, "i") + " AS a, " + _pick(V.LADDER, "j") + " AS b, n, j = i + 1 AS admissible FROM s",
     "project_position": f"WITH {_LOG}, o AS (SELECT * FROM l WHERE starts_with(name, 'u1')), f AS (SELECT bool_or(NOT wit) AS seen, bool_or(wit AND NOT starts_with(witness_id, 'process_rerun')) AS ext FROM o) SELECT CASE WHEN seen THEN 2 ELSE 1 END AS level, CAST(1 + 2 + CASE WHEN seen THEN 8 + 32 + 64 ELSE 0 END + CASE WHEN ext THEN 16 ELSE 0 END AS BIGINT) AS w, CAST(1 + 8 + CASE WHEN seen THEN 32 ELSE 0 END + CASE WHEN ext THEN 16 ELSE 0 END AS BIGINT) AS r FROM f",
     "drive_node": f"WITH {_U} SELECT user_id, CAST(9 - level + 7 - bit_count(w) + 6 - bit_count(r) + 1 AS INT) AS cycles, 9 AS level, CAST(127 AS BIGINT) AS w, CAST(63 AS BIGINT) AS r FROM u",
     "loop_chain": "SELECT idx, verb, true AS fired, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS n_kept FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(V.LOOP)) + ") t(idx, verb)",

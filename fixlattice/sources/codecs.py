@@ -24,6 +24,11 @@ def prolog_facts(spark: SparkSession) -> DataFrame:
     return out
 
 
+def indexed_facts(rows: DataFrame) -> DataFrame:
+    """(predicate, idx, line) of rows (predicate, idx, name): ``predicate(idx, name).``"""
+    return rows.select("predicate", "idx", F.format_string("%s(%d, %s).", "predicate", "idx", "name").alias("line"))
+
+
 def parse_prolog(lines: DataFrame, line: str = "value") -> DataFrame:
     """(predicate, atoms): facts of lower-case atoms in index order; all other lines are passed over."""
     fact = r"^(\w+)\((?:(\d+),\s*)?([a-z_]+)\)\.$"
