@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fixlattice.functions.dims import ACTIONS, EFFECT_AMBIENT, EFFECT_CALLS, PURE_AMBIENT
+from fixlattice.operators.segments import cut
 
 
 def _strings(*items: str) -> Column:
@@ -28,6 +29,13 @@ def classify_names(names: DataFrame, rings: DataFrame, config: list[str] = (), k
     return names.join(first, name, "left").withColumn("alphabet", alphabet).drop("_ring")
 
 
+def with_params(classified: DataFrame, params: DataFrame, config: list[str], key: str, name: str = "name") -> DataFrame:
+    """classified (key, name, alphabet) with the parameters (key, name) that name a config slot as ``config``, whatever their names are otherwise, and whether or not they occur among the names."""
+    forced = params.where(F.col(name).isin(*config) if config else F.lit(False)).select(key, name).distinct()
+    rest = classified.select(key, name, "alphabet").join(forced, [key, name], "left_anti")
+    return rest.unionByName(forced.withColumn("alphabet", F.lit("config")))
+
+
 def verdicts(classified: DataFrame, key: str, name: str = "name") -> DataFrame:
     """(key, verdict, placement): effectful, open, config_dependent, ring_coupled:<ring> or pure; placement is the ring of greatest mass, ties by name."""
     ring = F.when(F.col("alphabet").startswith("ring:"), F.substring("alphabet", 6, 1000))
@@ -146,9 +154,11 @@ def heat(slots: DataFrame, bindings: DataFrame) -> DataFrame:
 
 def bind(requests: DataFrame, bindings: DataFrame) -> DataFrame:
     """requests (instance, pos, slot, value) with status: the first of a slot is bound unless it already is; all others are refused."""
-    first = F.row_number().over(Window.partitionBy("instance", "slot").orderBy("pos")) == 1
+    segments = cut(requests, ["instance", "slot"], "pos")
+    rows = segments.with_carry(segments.rows, {"n": F.count("*")}, F.lit(0).cast("long"), lambda held, s: held + s["n"])
+    rows = rows.withColumn("_first", (F.col("_carry") == 0) & (F.row_number().over(segments.window()) == 1)).drop("_seg", "_carry")
     held = bindings.select("instance", "slot").distinct().withColumn("held", F.lit(True))
-    return requests.join(held, ["instance", "slot"], "left").withColumn("status", F.when(F.col("held").isNull() & first, "bound").otherwise("refused")).drop("held")
+    return rows.join(held, ["instance", "slot"], "left").withColumn("status", F.when(F.col("held").isNull() & F.col("_first"), "bound").otherwise("refused")).drop("held", "_first")
 
 
 def morph(bindings: DataFrame, slots: DataFrame) -> DataFrame:

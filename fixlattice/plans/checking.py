@@ -133,6 +133,13 @@ def doc_verdict(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("verdict", F.lit("pure")).alias("verdict"))
 
 
+def doc_params_verdict(spark, sf):
+    """Verdicts where a document's language and source are its parameters, and a language and two sources name config slots: ``de``, otherwise a ring's, among them."""
+    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array("lang", "source")).alias("name"))
+    found = X.verdicts(X.with_params(_classified(spark, sf), docs, ["de", "src1", "src2"], "doc_id"), "doc_id")
+    return table(spark, sf, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("verdict", F.lit("pure")).alias("verdict"), "placement")
+
+
 def doc_placement(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(X.verdicts(_classified(spark, sf), "doc_id").select("doc_id", "placement"), "doc_id", "left")
 
@@ -358,7 +365,7 @@ def _best_ways_sql(depth: int = DEPTH, without: str = "") -> str:
     return "WITH " + ", ".join(steps)
 
 
-QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, best_ways_parts, predict_parts, derivations, residue, classify_names, doc_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, bound_group, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
+QUERIES = {f.__name__: f for f in (predict_status, closure_fixture, closure_numeric, best_ways_parts, predict_parts, derivations, residue, classify_names, doc_verdict, doc_params_verdict, doc_placement, curry_plan, effect_blocks, intake_diff, stack_validate, soup, heat, bind_new, morph_split, shared_params, bound_query, bound_group, blockify_rows, module_report, static_calls, block_functions, signatures, self_accesses, derived_envelopes, callable_units, relational_validation, owl_individuals, prolog_facts, prolog_roundtrip, xml_rings, evolve_threshold)}
 ORACLES = {
     "bound_group": "SELECT 'taxed' AS method, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_tax >= 0.04 GROUP BY l_returnflag UNION ALL SELECT 'cheap', l_returnflag, count(*), round(sum(l_quantity), 2) FROM lineitem WHERE l_quantity >= 10 AND l_discount >= 0.05 GROUP BY l_returnflag",
     "predict_status": " UNION ALL ".join(f"SELECT '{label}' AS base, 'u' || p_partkey AS name, CASE WHEN len(lack) > 0 THEN 'blocked' WHEN p_partkey % 5 = 0 THEN 'buildable' ELSE 'active' END AS status, array_to_string(lack, ',') AS capability_residue, CASE WHEN p_partkey % 5 = 0 THEN 'slot1' ELSE '' END AS binding_residue FROM (SELECT p_partkey, list_sort(list_distinct(list_filter(CASE WHEN p_partkey % 17 = 0 THEN ['none'] ELSE ['c' || p_partkey // 2, 'c' || p_partkey // 3] END, lambda x: x NOT IN {base}))) AS lack FROM part)" for label, base in (("few", ("c0", "c1")), ("more", ("c0", "c1", "c2", "c3", "none")))),
@@ -370,6 +377,7 @@ ORACLES = {
     "predict_parts": _best_ways_sql() + f", a AS (SELECT cap FROM w{DEPTH} WHERE len(residue) = 0), r AS (SELECT DISTINCT name, unnest(requires) AS cap FROM u), y AS (SELECT name, list(cap ORDER BY cap) AS l FROM r WHERE cap NOT IN (SELECT cap FROM a) GROUP BY 1), x AS (SELECT name, pos, coalesce(l, []) AS lack FROM u LEFT JOIN y USING (name)) SELECT name, CASE WHEN len(lack) > 0 THEN 'blocked' WHEN pos % 5 = 0 THEN 'buildable' ELSE 'active' END AS status, array_to_string(lack, ',') AS capability_residue, CASE WHEN pos % 5 = 0 THEN 'slot1' ELSE '' END AS binding_residue FROM x",
     "classify_names": f"WITH {_CLS} SELECT alphabet, count(*) AS n, count(DISTINCT name) AS n_names FROM cls GROUP BY 1",
     "doc_verdict": f"WITH {_CLS}, {_PLACED} SELECT doc_id, CASE WHEN bool_or(alphabet = 'ambient:effect') THEN 'effectful' WHEN bool_or(alphabet = 'demand') THEN 'open' WHEN bool_or(alphabet = 'config') THEN 'config_dependent' WHEN any_value(placement) IS NOT NULL THEN 'ring_coupled:' || any_value(placement) ELSE 'pure' END AS verdict FROM documents LEFT JOIN cls USING (doc_id) LEFT JOIN placed USING (doc_id) GROUP BY 1",
+    "doc_params_verdict": f"WITH {_CLS.replace('cls AS (', 'cls0 AS (')}, par AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest([lang, source]) AS name FROM documents) WHERE name IN ('de', 'src1', 'src2')), cls AS (SELECT * FROM cls0 ANTI JOIN par USING (doc_id, name) UNION ALL SELECT doc_id, name, 'config' FROM par), {_PLACED} SELECT doc_id, CASE WHEN bool_or(alphabet = 'ambient:effect') THEN 'effectful' WHEN bool_or(alphabet = 'demand') THEN 'open' WHEN bool_or(alphabet = 'config') THEN 'config_dependent' WHEN any_value(placement) IS NOT NULL THEN 'ring_coupled:' || any_value(placement) ELSE 'pure' END AS verdict, any_value(placement) AS placement FROM documents LEFT JOIN cls USING (doc_id) LEFT JOIN placed USING (doc_id) GROUP BY 1",
     "doc_placement": f"WITH {_CLS}, {_PLACED} SELECT doc_id, placement FROM documents LEFT JOIN placed USING (doc_id)",
     "curry_plan": f"WITH {_CLS} SELECT CASE WHEN starts_with(alphabet, 'ring:') THEN 'bind_ring:' || alphabet[6:] WHEN alphabet = 'config' THEN 'curry_to_slot' WHEN alphabet = 'ambient:effect' THEN 'isolate_effect' WHEN alphabet = 'demand' THEN 'demand' ELSE 'leave' END AS action, count(*) AS n FROM cls GROUP BY 1",
     "effect_blocks": f"WITH {_TURNS}, w AS (SELECT conv_id, name, min(turn) AS first FROM t WHERE length(name) = 2 GROUP BY 1, 2), r AS (SELECT t.conv_id, t.turn, t.name FROM t LEFT JOIN w USING (conv_id, name) WHERE (first IS NULL OR first > t.turn)), g AS (SELECT conv_id, turn, count(*) AS n, bool_or(name IN ('the', 'les', 'und', 'que')) AS e FROM r GROUP BY 1, 2) SELECT c.conv_id, c.turn AS i, CAST(coalesce(n, 0) AS INT) AS n_frees, coalesce(e, false) AS effect FROM conversations c LEFT JOIN g USING (conv_id, turn)",

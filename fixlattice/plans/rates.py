@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from fixlattice.functions import text as T
 from fixlattice.functions.stats import with_rate
 from fixlattice.operators import selection as S
+from fixlattice.operators.segments import cut
 from fixlattice.session import table
 
 STOPWORDS = ["the", "a", "and", "of", "la", "le", "de", "und", "der"]
@@ -109,9 +109,11 @@ def quality_rollup(spark, sf):
 
 def user_sessions(spark, sf):
     """Beyond the reference: sessions of a user's events, closed by 30 idle minutes."""
-    e = table(spark, sf, "events").select("user_id", "ts")
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts"))
-    new = e.withColumn("new", F.when(gap.isNull() | (gap >= F.expr("interval 30 minutes")), 1).otherwise(0))
+    e = table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    segments = cut(e, ["user_id"], "at")
+    rows = segments.with_carry(segments.rows, {"last": F.max("at")}, F.lit(None).cast("long"), lambda held, s: F.coalesce(s["last"], held))
+    gap = F.col("at") - F.coalesce(F.lag("at").over(segments.window()), "_carry")
+    new = rows.withColumn("new", F.when(gap.isNull() | (gap >= 30 * 60 * 1_000_000), 1).otherwise(0))
     return new.groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("n"))
 
 
