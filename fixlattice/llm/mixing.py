@@ -210,7 +210,8 @@ def fit_rates(table: DataFrame, domains: int, targets: np.ndarray, total: float,
                 best = loss, sums, row[:domains], row[domains + 1 :].reshape(domains, domains)
         _, sums, reached, moments = best
         left = reached - targets - pull * sums
-        if np.linalg.norm(left) <= tolerance * np.linalg.norm(targets):
+        # targets of nothing have no scale of their own
+        if np.linalg.norm(left) <= tolerance * max(1e-3, np.linalg.norm(targets)):
             return sums, reached, n
         step = np.linalg.solve(moments + pull * np.eye(domains), left)
         tries = [sums + length * step for length in LENGTHS]
