@@ -15,7 +15,7 @@ from fixlattice.operators import source_rows as B
 from fixlattice.plans.checkpoints import cut
 from fixlattice.plans.logs import _LOG, _U, _pick, _user_masks, as_log
 from fixlattice.functions import dims
-from fixlattice.session import table
+from fixlattice.session import dealt, table
 from fixlattice.sources import codecs as W
 from fixlattice.sources.log_store import LOG_SCHEMA
 
@@ -240,7 +240,7 @@ def bound_group(spark, sf):
 
 def _sources(spark, sf):
     """Four shapes of source text for each part, with its key and brand in them."""
-    p = table(spark, sf, "part").select("p_partkey", F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")).alias("brand"))
+    p = dealt(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey").select("p_partkey", F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")).alias("brand"))
     shapes = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in SOURCES.items()])).alias("s")
     text = F.regexp_replace(F.regexp_replace("s.text", r"\bn\b", F.concat(F.lit("n_"), F.col("brand"))), r"\b1\b", F.col("p_partkey").cast("string"))
     return p.select("p_partkey", "brand", shapes).select(F.concat("s.name", F.lit("_"), "p_partkey").alias("source_name"), text.alias("src"))
@@ -269,8 +269,8 @@ def self_accesses(spark, sf):
 
 
 def derived_envelopes(spark, sf):
-    d = _sources(spark, sf).lateralJoin(B.Derive(F.col("src").outer()).alias("d"))
-    return d.select("source_name", "d.name", *[F.array_join(f"d.{c}", ",").alias(c) for c in ("reads", "writes", "builtin_named")], "d.n_blocks", "d.reason")
+    d = B.applied(_sources(spark, sf), B.Derive)
+    return d.select("source_name", "name", *[F.array_join(c, ",").alias(c) for c in ("reads", "writes", "builtin_named")], "n_blocks", "reason")
 
 
 def callable_units(spark, sf):

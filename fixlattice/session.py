@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,3 +31,13 @@ def local_session(cores: int | str | None = None, shuffle_partitions: int = 8, m
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a partition of ``dealt``, for work that costs up to a millisecond a row or makes some KB of it.
+DEALT_ROWS = 20_000
+
+
+def dealt(df: DataFrame, key: str, rows: int = DEALT_ROWS) -> DataFrame:
+    """df over as many partitions as its rows are worth, the session's shuffle partitions at least: a small file is one partition, whatever is made of its rows. Costs a count."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return df.repartition(n, key)
