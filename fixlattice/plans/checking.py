@@ -251,7 +251,7 @@ def blockify_rows(spark, sf):
 
 
 def module_report(spark, sf):
-    return _sources(spark, sf).lateralJoin(B.ModuleReport(F.col("src").outer()).alias("m")).select("source_name", "m.pos", "m.name", "m.granularity", "m.reason", "m.n_blocks", "m.n_opaque")
+    return B.applied(_sources(spark, sf), B.ModuleReport)
 
 
 def block_functions(spark, sf):
