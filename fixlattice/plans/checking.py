@@ -287,7 +287,7 @@ def relational_validation(spark, sf):
 
 
 def static_calls(spark, sf):
-    return _sources(spark, sf).lateralJoin(B.StaticCalls(F.col("src").outer()).alias("c")).select("source_name", "c.caller", "c.callee", "c.n")
+    return B.applied(_sources(spark, sf), B.StaticCalls)
 
 
 def owl_individuals(spark, sf):
