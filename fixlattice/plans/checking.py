@@ -261,7 +261,7 @@ def block_functions(spark, sf):
 
 
 def signatures(spark, sf):
-    return _sources(spark, sf).lateralJoin(B.Signature(F.col("src").outer()).alias("s")).select("source_name", "s.pos", "s.param", "s.kind", "s.has_default", "s.reason")
+    return B.applied(_sources(spark, sf), B.Signature)
 
 
 def self_accesses(spark, sf):
