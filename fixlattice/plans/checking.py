@@ -256,8 +256,8 @@ def module_report(spark, sf):
 
 def block_functions(spark, sf):
     """Blocks of the sources that can be cut, as functions of their own."""
-    rows = _sources(spark, sf).lateralJoin(B.Blockify(F.col("src").outer(), F.lit(True)).alias("b")).where("b.reason IS NULL")
-    return rows.select("source_name", "b.i", B.functionalize(F.col("source_name"), F.col("b.i"), F.col("b.reads"), F.col("b.writes"), F.col("b.source")).alias("text"))
+    rows = B.applied(_sources(spark, sf), B.Blockify, True).where("reason IS NULL")
+    return rows.select("source_name", "i", B.functionalize(F.col("source_name"), F.col("i"), F.col("reads"), F.col("writes"), F.col("source")).alias("text"))
 
 
 def signatures(spark, sf):
