@@ -247,7 +247,7 @@ def _sources(spark, sf):
 
 
 def blockify_rows(spark, sf):
-    return _sources(spark, sf).lateralJoin(B.Blockify(F.col("src").outer(), F.lit(True)).alias("b")).select("source_name", "b.i", "b.kind", F.array_join("b.reads", ",").alias("reads"), F.array_join("b.writes", ",").alias("writes"), "b.capture_risk", "b.reason")
+    return B.applied(_sources(spark, sf), B.Blockify, True, False).select("source_name", "i", "kind", F.array_join("reads", ",").alias("reads"), F.array_join("writes", ",").alias("writes"), "capture_risk", "reason")
 
 
 def module_report(spark, sf):
