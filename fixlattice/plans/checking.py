@@ -274,8 +274,8 @@ def derived_envelopes(spark, sf):
 
 
 def callable_units(spark, sf):
-    u = _sources(spark, sf).lateralJoin(B.CallableUnit(F.col("src").outer()).alias("u"))
-    return u.select("source_name", "u.name", *[F.array_join(f"u.{c}", ",").alias(c) for c in ("provides", "requires", "slots")], "u.reason")
+    u = B.applied(_sources(spark, sf), B.CallableUnit)
+    return u.select("source_name", "name", *[F.array_join(c, ",").alias(c) for c in ("provides", "requires", "slots")], "reason")
 
 
 def relational_validation(spark, sf):
