@@ -265,7 +265,7 @@ def signatures(spark, sf):
 
 
 def self_accesses(spark, sf):
-    return _sources(spark, sf).lateralJoin(B.SelfAccesses(F.col("src").outer()).alias("s")).select("source_name", F.array_join("s.accesses", ",").alias("accesses"), "s.reason")
+    return B.applied(_sources(spark, sf), B.SelfAccesses).select("source_name", F.array_join("accesses", ",").alias("accesses"), "reason")
 
 
 def derived_envelopes(spark, sf):

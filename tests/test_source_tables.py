@@ -21,7 +21,7 @@ def test_partitions_follow_the_rows(spark):
 
 
 def _functions():
-    return [(B.ModuleReport, ()), (B.StaticCalls, ()), (B.Signature, ()), (B.Blockify, (True,)), (B.Blockify, (True, False)), (B.CallableUnit, ()), (B.Derive, ())]
+    return [(B.ModuleReport, ()), (B.StaticCalls, ()), (B.Signature, ()), (B.Blockify, (True,)), (B.Blockify, (True, False)), (B.CallableUnit, ()), (B.SelfAccesses, ()), (B.Derive, ())]
 
 
 @pytest.mark.parametrize("function, args", _functions())
