@@ -1,5 +1,7 @@
 """Registries, rules, assembly and digests on small tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,13 @@ def test_digests_tell_multisets_apart(spark):
 def test_substrates_preserve_rows(spark, tmp_path, substrate):
     df = spark.createDataFrame([(1, "x\ny"), (None, None)], "a long, b string")
     assert log_store.preserved(df, substrate, str(tmp_path / "t"))
+
+
+def test_a_digest_beyond_a_long(spark):
+    text = next(str(i) for i in range(10_000) if hashlib.md5(str(i).encode()).hexdigest().startswith("ff"))
+    one = int(hashlib.md5(text.encode()).hexdigest()[:10], 16)
+    few = spark.range(1000).select(F.lit(text).alias("x"))
+    assert log_store.digests(few, ["x"]) == (log_store.digest(few), 1000 * one) and log_store.digests(few.limit(0), ["x"]) == ((0, 0, 0), 0)
+    n = 10_000_000
+    assert n * one >= 1 << 63
+    assert log_store.digests(spark.range(n).select(F.lit(text).alias("x")), ["x"])[1] == n * one - (1 << 64)
