@@ -14,7 +14,7 @@ from fixlattice.operators import rules as U
 from fixlattice.plans import checking
 from fixlattice.plans.checkpoints import shared_root
 from fixlattice.plans.logs import _LOG, _U, _listed, _pick, _user_masks, as_log
-from fixlattice.session import table
+from fixlattice.session import dealt, table
 from fixlattice.sources import codecs as W
 from fixlattice.sources import log_store, record_log
 from fixlattice.sources import ring_files as R
@@ -65,7 +65,7 @@ def _part_rings(spark, sf):
     k = F.col("p_partkey")
     c = lambda x: F.concat(F.lit("c"), x.cast("string"))
     verb = F.struct(F.concat(F.lit("v<"), k).alias("name"), F.when(k % 11 != 0, F.concat(F.lit("a < b & "), k)).alias("source"), F.array(F.concat(F.lit("s"), k % 3)).alias("slots"))
-    return table(spark, sf, "part").select("p_partkey", F.when(k % 13 != 0, F.concat(F.lit("r"), k)).alias("name"), F.array(c(k), F.lit("all")).alias("adds"), F.array(c(F.floor(k / 2))).alias("requires"), F.array(verb).alias("verbs"))
+    return dealt(table(spark, sf, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.when(k % 13 != 0, F.concat(F.lit("r"), k)).alias("name"), F.array(c(k), F.lit("all")).alias("adds"), F.array(c(F.floor(k / 2))).alias("requires"), F.array(verb).alias("verbs"))
 
 
 def _shown(rings):
@@ -88,7 +88,7 @@ def ring_owl_files(spark, sf):
     rings = _part_rings(spark, sf).where("name IS NOT NULL").withColumn("verbs", F.transform("verbs", lambda v: F.struct(v["name"].alias("name"), F.coalesce(v["source"], F.lit("")).alias("source"), v["slots"].alias("slots"))))
     text = W.owl_ring(F.struct("name", "adds", "requires", "verbs"))
     cut = F.regexp_replace(text, "(?s)<owl:NamedIndividual.*?</owl:NamedIndividual>", "")
-    rings.select(F.when(F.col("p_partkey") % 5 == 0, cut).otherwise(text).alias("value")).write.text(path)
+    rings.select(F.when(F.col("p_partkey") % 5 == 0, cut).otherwise(text).alias("value")).write.option("maxRecordsPerFile", R.FILE_RINGS).text(path)
     return _shown(R.read_owl_rings(spark, path))
 
 

@@ -1,4 +1,5 @@
-"""Rings in files of XML or OWL, read element by element: the XML source cuts files at row tags, so no document is parsed whole and files of any size are split.
+"""Rings in files of XML or OWL, read element by element: no document is parsed or held whole. A file is read by one task, as Spark's XML source doesn't split files, so what is written here is many small ones
+(``FILE_RINGS`` rings a file at most), and a large document from elsewhere is best cut before.
 
 Elements that don't parse (they have no fields then), or lack what a ring needs, are rows with status ``refused`` and a reason, and cost no job. Rings of one name stay rows of their own in XML; in OWL
 a class is what its name says, so classes of one name are one ring if they are equal. No files: an error of the source; an empty folder: no rows.
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rings of a written file at most.
+FILE_RINGS = 50_000
 _CORRUPT = "_corrupt"
 _RING = f"_name string, adds array<string>, requires array<string>, verb array<struct<_name:string,source:string,slot:array<string>>>, {_CORRUPT} string"
 _RESOURCE = "struct<`_rdf:resource`:string>"

@@ -10,6 +10,7 @@ from fixlattice.operators import checks as X
 from fixlattice.operators import registry as G
 from fixlattice.operators import rules as U
 from fixlattice.operators.nodes import equivalent
+from fixlattice.plans import records
 from fixlattice.sources import log_store, record_log
 
 
@@ -74,3 +75,10 @@ def test_a_digest_beyond_a_long(spark):
     n = 10_000_000
     assert n * one >= 1 << 63
     assert log_store.digests(spark.range(n).select(F.lit(text).alias("x")), ["x"])[1] == n * one - (1 << 64)
+
+
+def test_rings_of_one_file_of_parts_are_many_files(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "_fresh", lambda spark, name: f"file://{tmp_path}/{name}")
+    for query, folder in ((records.ring_owl_files, "owl"), (records.ring_xml_files, "rings")):
+        assert query(spark, sf).collect()
+        assert len([f for f in (tmp_path / folder).iterdir() if f.name.startswith("part-")]) > 1
