@@ -25,10 +25,10 @@ def _elements(spark: SparkSession, paths: str | list[str], tag: str, schema: str
 
 
 def write_rings(rings: DataFrame, path: str) -> None:
-    """Rings (name, adds, requires, verbs) as ``<onion><ring name=..>`` files, one a partition."""
+    """Rings (name, adds, requires, verbs) as ``<onion><ring name=..>`` files, one or more a partition."""
     verb = F.transform("verbs", lambda v: F.struct(v["name"].alias("_name"), v["source"].alias("source"), v["slots"].alias("slot")))
     rows = rings.select(F.col("name").alias("_name"), "adds", "requires", verb.alias("verb"))
-    rows.write.mode("overwrite").format("xml").option("rootTag", "onion").option("rowTag", "ring").save(path)
+    rows.write.mode("overwrite").format("xml").option("maxRecordsPerFile", FILE_RINGS).option("rootTag", "onion").option("rowTag", "ring").save(path)
 
 
 def _judged(rows: DataFrame, reason: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from fixlattice.operators import registry as G
 from fixlattice.operators import rules as U
 from fixlattice.operators.nodes import equivalent
 from fixlattice.plans import records
-from fixlattice.sources import log_store, record_log
+from fixlattice.sources import log_store, record_log, ring_files
 
 
 def test_registry_of_an_empty_log_and_last_verdict(spark, tmp_path):
@@ -82,3 +82,12 @@ def test_rings_of_one_file_of_parts_are_many_files(spark, sf, tmp_path, monkeypa
     for query, folder in ((records.ring_owl_files, "owl"), (records.ring_xml_files, "rings")):
         assert query(spark, sf).collect()
         assert len([f for f in (tmp_path / folder).iterdir() if f.name.startswith("part-")]) > 1
+
+
+def test_written_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ring_files, "FILE_RINGS", 10)
+    rows = [(f"r{i}", ["a"], ["b"], [("v", "s", ["x"])]) for i in range(35)]
+    rings = spark.createDataFrame(rows, "name string, adds array<string>, requires array<string>, verbs array<struct<name:string,source:string,slots:array<string>>>").coalesce(1)
+    ring_files.write_rings(rings, f"file://{tmp_path}/x")
+    assert len([f for f in (tmp_path / "x").iterdir() if f.name.startswith("part-")]) == 4
+    assert ring_files.read_rings(spark, f"file://{tmp_path}/x").where("status = 'ok'").count() == 35
