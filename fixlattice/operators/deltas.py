@@ -7,8 +7,11 @@ order of operations on different paths matters, which fusing by path would lose.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import batched, groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -211,17 +214,36 @@ def fold_tree(ops, tree: dict) -> tuple[dict, int | None, str | None]:
     return tree, None, None
 
 
+#: Trees of a batch.
+_TREES = 1000
+
+
 def apply_trees(deltas: DataFrame, base: dict, program: str = "program", path: str = "path") -> DataFrame:
-    """(program, tree, status, abort_seq, reason): each program folded in order over a nested tree, for paths that may overlap."""
+    """(program, tree, status, abort_seq, reason): each program folded in order over a nested tree, for paths that may overlap.
+
+    A task reads its programs' operations in order, many programs a batch, and holds one tree at a time; a program of any length may run over batches, but is one task's."""
     held = json.dumps(base)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        name = group[program].iloc[0]
-        tree, stop, reason = fold_tree(group.rename(columns={path: "path"}).sort_values("seq")[["seq", "op", "path", "value"]].itertuples(index=False), json.loads(held))
-        return pd.DataFrame({program: [name], "tree": [json.dumps(tree, sort_keys=True)], "status": ["ok" if stop is None else "refused"], "abort_seq": [stop], "reason": [reason]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+
+        def rows() -> Iterator[tuple]:
+            nonlocal schema
+            for batch in batches:
+                schema = schema or pa.schema([batch.schema.field(0), ("tree", pa.string()), ("status", pa.string()), ("abort_seq", pa.int64()), ("reason", pa.string())])
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        def folded() -> Iterator[tuple]:
+            for name, group in groupby(rows(), key=itemgetter(0)):
+                tree, stop, reason = fold_tree((r[1:] for r in group), json.loads(held))
+                yield name, json.dumps(tree, sort_keys=True), "ok" if stop is None else "refused", stop, reason
+
+        for some in batched(folded(), _TREES):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
 
     kind = dict(deltas.dtypes)[program]
-    return deltas.groupBy(program).applyInPandas(run, f"{program} {kind}, tree string, status string, abort_seq bigint, reason string")
+    ordered = deltas.select(program, "seq", "op", path, "value").repartition(program).sortWithinPartitions(program, F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(run, f"`{program}` {kind}, tree string, status string, abort_seq bigint, reason string")
 
 
 def crossover(a: DataFrame, b: DataFrame, pair: list[str], path: str = "path") -> DataFrame:

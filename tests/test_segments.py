@@ -150,3 +150,26 @@ def test_touched_paths_alone(spark):
     assert sorted(map(tuple, D.apply_programs(d, base, whole=False).collect())) == [(1, "x", "5", "ok", None, None), (1, "y", None, "ok", None, None)]
     whole = sorted(map(tuple, D.apply_programs(d, base).collect()))
     assert whole == [(1, "x", "5", "ok", None, None), (1, "z", "9", "ok", None, None), (2, "y", "0", "refused", 3, "present"), (2, "z", "9", "refused", 3, "present")]
+
+
+def test_programs_folded_by_the_batch_in_few_calls(spark, monkeypatch):
+    monkeypatch.setattr(D, "_TREES", 7)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(60)]) if i % 3 else 5, i, rng.choice(["override", "add", "exclude", "other"]) if i % 3 else "override", [rng.choice("ab"), rng.choice("xyz")], str(i)) for i in range(3000)]
+    base = {"a": {"x": 1}, "c": 2}
+    d = spark.createDataFrame(rng.sample(rows, len(rows)), "program long, seq long, op string, path array<string>, value string")
+    found = D.apply_trees(d, base)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {r.program: (r.tree, r.status, r.abort_seq, r.reason) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for p, *op in rows:
+        by.setdefault(p, []).append(op)
+    wanted = {}
+    for p, ops in by.items():
+        tree, stop, reason = D.fold_tree(ops, json.loads(json.dumps(base)))
+        wanted[p] = (json.dumps(tree, sort_keys=True), "ok" if stop is None else "refused", stop, reason)
+    assert got == wanted and d.limit(0).count() == D.apply_trees(d.limit(0), base).count() == 0
