@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fixlattice.operators.segments import cut
+from fixlattice.plans.checkpoints import cut as written
 
 OPS = ("override", "add", "exclude")
 
@@ -137,7 +138,8 @@ def apply_nested(deltas: DataFrame, base: DataFrame, program: str = "program", p
     base_nodes = _nodes(base.select(F.col("path").alias(path), F.col("value").alias("_base_value")), path)
     base_nodes = base_nodes.groupBy("_node").agg(F.max(F.when(~F.col("_own"), "container").otherwise("leaf")).alias("_m"), F.bool_or(~F.col("_own")).alias("_inner"), F.max(F.when(F.col("_own"), F.col("_base_value"))).alias("_base_value"))
     base_nodes = base_nodes.select("_node", F.when(F.col("_inner"), "container").otherwise("leaf").alias("_base_kind"), "_base_value")
-    ops = deltas.select(program, "seq", "op", path, "value")
+    # the operations, and what is wrong with each, are written once: segments read their rows several times
+    ops = written(deltas.select(program, "seq", "op", path, "value"))
     plain = F.when(~F.col("op").isin(*OPS) | F.col("op").isNull(), "unknown_op").when(F.coalesce(F.size(path), F.lit(0)) < 1, "empty_path").when((F.col("op") != "exclude") & F.startswith(F.ltrim("value"), F.lit("{")), "object_value")
     touch = _nodes(ops, path).withColumn("_effect", F.when(~F.col("_own"), "container").when(F.col("op") == "exclude", "absent").otherwise("leaf"))
     segments = cut(touch, [program, "_node"], "seq")
@@ -156,7 +158,7 @@ def apply_nested(deltas: DataFrame, base: DataFrame, program: str = "program", p
     level = F.struct(F.col("_k"), F.col("_own").alias("own"), F.coalesce("_was", "_base_kind", F.lit("absent")).alias("kind"), F.coalesce("_at", never).alias("at"), F.coalesce("_cut", never).alias("cut"))
     told = rows.groupBy(program, "seq").agg(F.first("op").alias("op"), F.first(path).alias(path), F.first("value").alias("value"), F.array_sort(F.collect_list(level)).alias("_levels"))
     judged = told.withColumn("_bad", F.coalesce(plain, _violation("op", "_levels"))).select(program, "seq", "op", path, "value", "_bad")
-    judged = judged.unionByName(ops.withColumn("_bad", plain).where(F.coalesce(F.size(path), F.lit(0)) < 1))
+    judged = written(judged.unionByName(ops.withColumn("_bad", plain).where(F.coalesce(F.size(path), F.lit(0)) < 1)))
     by_program = cut(judged, [program], "seq")
     at = F.when(F.col("_bad").isNotNull(), F.col("seq"))
     stops = {"abort_seq": F.min(at), "reason": F.min_by("_bad", at)}

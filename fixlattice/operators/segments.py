@@ -75,11 +75,13 @@ def cut(df: DataFrame, keys: list[str], order: str, ranges: int | None = None) -
     keyed = df.select(F.struct(*keys).alias("_key"), F.col(order).alias("_order"))
     total = keyed.count()
     # fewer than n keys have more than an n-th of the rows
-    hot = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") * n > total).select("_key")
+    counted = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") * n > total).select("_key")
+    hottest = counted.collect()
+    if not hottest:
+        return Segments(df.withColumn("_seg", F.lit(0)), keys, order, None)
+    hot = spark.createDataFrame(hottest, counted.schema)
     found = keyed.join(F.broadcast(hot), "_key").groupBy("_key").agg(F.array_sort(F.array_distinct(F.percentile_approx("_order", [k / n for k in range(1, n)], 20 * n))).alias("_bounds"))
     held = found.collect()
-    if not held:
-        return Segments(df.withColumn("_seg", F.lit(0)), keys, order, None)
     assert len(held) < n and all(len(r["_bounds"]) < n for r in held)
     bounds = spark.createDataFrame(held, found.schema)
     rows = df.withColumn("_key", F.struct(*keys)).join(F.broadcast(bounds), "_key", "left")

@@ -173,3 +173,11 @@ def test_programs_folded_by_the_batch_in_few_calls(spark, monkeypatch):
         tree, stop, reason = D.fold_tree(ops, json.loads(json.dumps(base)))
         wanted[p] = (json.dumps(tree, sort_keys=True), "ok" if stop is None else "refused", stop, reason)
     assert got == wanted and d.limit(0).count() == D.apply_trees(d.limit(0), base).count() == 0
+
+
+def test_nested_programs_read_their_operations_once(spark):
+    d = spark.createDataFrame([(1, 1, "add", ["a", "b"], "5"), (2, 2, "exclude", ["z"], None)], "program long, seq long, op string, path array<string>, value string")
+    found = D.apply_nested(d, spark.createDataFrame([(["y"], "0")], "path array<string>, value string"))
+    # what the segments read again is a written table, not the way there
+    assert found.inputFiles() and all("/loop-" in f for f in found.inputFiles())
+    assert {(r.program, tuple(r.path), r.value, r.status) for r in found.collect()} == {(1, ("a", "b"), "5", "ok"), (1, ("y",), "0", "ok"), (2, ("y",), "0", "refused")}
