@@ -28,7 +28,11 @@ def _bit(i):
 
 def as_log(spark, sf):
     """Events as log records: sign-ups are witnesses, purchases bring gauge passes."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", K().alias("k"))
+    return _log_of(table(spark, sf, "events"))
+
+
+def _log_of(events):
+    e = events.select("event_id", "user_id", "event_type", K().alias("k"))
     none = F.array().cast("array<string>")
 
     def some(test, word):
@@ -172,10 +176,11 @@ def promoted_users(spark, sf):
 def _stream_of_states(spark, sf):
     """Evidence from keyed state over the events' log, appended in two parts with a run of the stream after each; the last row of each name."""
     root = f"{shared_root(spark)}/states-{uuid.uuid4().hex}"
-    log = as_log(spark, sf)
-    middle = log.agg(F.coalesce(F.max("seq"), F.lit(0)) / 2).first()[0]
-    for part in (log.where(F.col("seq") <= middle), log.where(F.col("seq") > middle)):
-        record_log.append(part, f"{root}/log", "seq")
+    events = table(spark, sf, "events")
+    middle = events.agg(F.coalesce(F.max("event_id"), F.lit(0)) / 2).first()[0]
+    for part in (events.where(F.col("event_id") <= middle), events.where(F.col("event_id") > middle)):
+        # events are sorted before they become records: those are wider, and sorting looks at its rows twice
+        record_log.append(_log_of(part.orderBy("event_id")), f"{root}/log")
         states = node_state.evidence_stream(record_log.stream(spark, f"{root}/log"))
         schema = states.schema
         write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}")
