@@ -77,6 +77,39 @@ def test_a_digest_beyond_a_long(spark):
     assert log_store.digests(spark.range(n).select(F.lit(text).alias("x")), ["x"])[1] == n * one - (1 << 64)
 
 
+def test_round_trips_hold_one_slice_on_disk(spark, tmp_path, monkeypatch):
+    df = spark.range(1000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("a"), F.concat(F.lit("x\ny"), F.col("id") % 3).alias("b c"))
+    df = df.union(df.where("a < 100")).repartition(2)
+    wanted, rows, seen, read_back = log_store.digests(df, ["a"]), df.count(), [], log_store.read_back
+
+    def watched(part, substrate, path):
+        back = read_back(part, substrate, path)
+        seen.append((back.count(), len(list(tmp_path.iterdir()))))
+        return back
+
+    monkeypatch.setattr(log_store, "read_back", watched)
+    monkeypatch.setattr(log_store, "SLICE_ROWS", 300)
+    for s in sorted(log_store.SUBSTRATES):
+        assert log_store.digests_back(df, s, f"file://{tmp_path}/{s}", ["a"], rows) == wanted
+        assert sum(n for n, _ in seen) == rows and len(seen) == 4 and all(150 < n < 450 and held == 1 for n, held in seen)
+        seen.clear()
+        assert log_store.preserved(df, s, f"file://{tmp_path}/{s}") and log_store.preserved(df.limit(0), s, f"file://{tmp_path}/{s}")
+        seen.clear()
+    monkeypatch.setattr(log_store, "read_back", lambda part, substrate, path: read_back(part, substrate, path).select(F.raise_error(F.lit("lost")).alias("a"), "b c"))
+    with pytest.raises(Exception, match="lost"):
+        log_store.preserved(df, "json", f"file://{tmp_path}/x")
+    assert not list(tmp_path.iterdir())
+
+
+def test_substrate_digests_leave_nothing(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "shared_root", lambda spark: f"file://{tmp_path}")
+    whole = {tuple(r) for r in records.substrate_digests(spark, sf).collect()}
+    assert not list(tmp_path.iterdir())
+    monkeypatch.setattr(log_store, "SLICE_ROWS", 2000)
+    assert {tuple(r) for r in records.substrate_digests(spark, sf).collect()} == whole
+    assert not list(tmp_path.iterdir())
+
+
 def test_rings_of_one_file_of_parts_are_many_files(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "_fresh", lambda spark, name: f"file://{tmp_path}/{name}")
     for query, folder in ((records.ring_owl_files, "owl"), (records.ring_xml_files, "rings")):
